@@ -61,16 +61,17 @@ def equal_width_bin(c: str | Column, low: Column, high: Column, bins: int) -> Co
     return F.greatest(F.least(F.ceil(F.coalesce(part, F.lit(0.0))) - 1, F.lit(bins - 1)), F.lit(0)).cast("int")
 
 
-def bin_by_edges(c: str | Column, edges: Column) -> Column:
-    """0-based right-closed bin for an array of quantile edges.
+def bin_by_edges(c: str | Column, edges: Sequence[Column]) -> Column:
+    """0-based right-closed bin for ascending quantile edges.
 
     Repeated edges count once, the lowest edge belongs to bin 0, and values
     outside the edges stay in the first or last bin.
     """
     x = col(c).cast("double")
-    steps = F.array_distinct(edges)
-    below = F.size(F.filter(steps, lambda e: e < x))
-    index = F.greatest(F.least(below - 1, F.size(steps) - 2), F.lit(0))
+    fresh = [F.lit(True)] + [hi != lo for lo, hi in zip(edges[:-1], edges[1:])]
+    below = reduce(lambda a, b: a + b, [(f & (e < x)).cast("int") for f, e in zip(fresh, edges)])
+    distinct = reduce(lambda a, b: a + b, [f.cast("int") for f in fresh])
+    index = F.greatest(F.least(below - 1, distinct - 2), F.lit(0))
     return F.when(x.isNotNull(), index).cast("int")
 
 

@@ -332,9 +332,26 @@ def quantile_table(
     return long.groupBy(*by).agg(*picks)
 
 
-def only_row(stats: DataFrame) -> Column:
-    """A one-row frame as a struct column, read once as a scalar subquery."""
-    return stats.select(F.struct("*")).scalar()
+class OneRow:
+    """The values of a one-row statistics frame as literals."""
+
+    def __init__(self, stats: DataFrame):
+        self._types = {f.name: f.dataType for f in stats.schema.fields}
+        self._row = stats.first()
+
+    def __contains__(self, name: str) -> bool:
+        return name in self._types
+
+    def value(self, name: str):
+        return None if self._row is None else self._row[name]
+
+    def getField(self, name: str) -> Column:
+        return F.lit(self.value(name)).cast(self._types[name])
+
+
+def only_row(stats: DataFrame) -> OneRow:
+    """Read a one-row statistics frame once; its values become constants of the plan."""
+    return OneRow(stats)
 
 
 def rolling(
