@@ -1,4 +1,4 @@
 """All registered queries. Importing this package fills the registry."""
 
-from ledgerlens.plans.catalog import transactions  # noqa: F401
+from ledgerlens.plans.catalog import profiles, relational, transactions  # noqa: F401
 from ledgerlens.plans.registry import QUERIES  # noqa: F401
