@@ -358,30 +358,26 @@ def rolling(
     df: DataFrame,
     keys: Sequence[str],
     position: str,
-    lookback: int,
-    measures: Mapping[str, Column],
-    include_current: bool = True,
+    measures: Mapping[str, tuple[Column, int, int]],
     width: int = 1024,
 ) -> DataFrame:
-    """Aggregate over a trailing range of an integer position per key.
+    """Aggregates over trailing ranges of an integer position per key.
 
-    ``measures`` are aggregate expressions, e.g. ``F.avg("x")``. With
-    ``include_current`` the range is ``position-lookback .. position``, else it
-    ends one before. The position axis is cut into blocks of ``width``; rows
+    ``measures`` maps a name to ``(aggregate, first, last)``: ``(F.avg("x"), -5, -1)``
+    averages the five positions before the current one. Positions without a
+    row count as gaps. The position axis is cut into blocks of ``width``; rows
     near the end of a block are also sent to the next one, so every block has
     its history and blocks never need each other.
     """
-    width = max(width, lookback)
+    reach = max(-first for _, first, _ in measures.values())
+    width = max(width, reach)
     block = F.floor(F.col(position) / width)
     spread = F.when(
-        F.pmod(F.col(position), F.lit(width)) >= width - lookback,
-        F.array(block, block + 1),
+        F.pmod(F.col(position), F.lit(width)) >= width - reach, F.array(block, block + 1)
     ).otherwise(F.array(block))
     rows = df.select("*", F.explode(spread).alias("_block"))
-    window = (
-        Window.partitionBy(*keys, "_block")
-        .orderBy(F.col(position).cast("long"))
-        .rangeBetween(-lookback, 0 if include_current else -1)
+    window = Window.partitionBy(*keys, "_block").orderBy(F.col(position).cast("long"))
+    out = rows.select(
+        "*", *[agg.over(window.rangeBetween(first, last)).alias(n) for n, (agg, first, last) in measures.items()]
     )
-    out = rows.select("*", *[m.over(window).alias(n) for n, m in measures.items()])
     return out.where(F.col("_block") == block).drop("_block")

@@ -58,7 +58,7 @@ def profile_samples(t):
     return P.profile_columns(t.customer, ["c_name", "c_mktsegment", "c_nationkey"]).select("column", "sample_values")
 
 
-PART_NUMBERS = ["p_partkey", "p_size", "p_retailprice"]
+PRICED = ["l_quantity", "l_extendedprice", "l_net"]
 LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
@@ -244,9 +244,10 @@ def corr_matrix_spearman(t):
 
 
 @query("corr_pairs", "F19", "SELECT * FROM (" + " UNION ALL ".join(
-    f"SELECT '{a}' AS a, '{b}' AS b, corr({a},{b}) AS correlation FROM part" for i, a in enumerate(PART_NUMBERS) for b in PART_NUMBERS[i + 1:]) + ") WHERE abs(correlation)>0.5", "correlation")
+    f"SELECT '{a}' AS a, '{b}' AS b, corr({a},{b}) AS correlation FROM (SELECT *, l_extendedprice*(1-l_discount) AS l_net FROM lineitem)" for i, a in enumerate(PRICED) for b in PRICED[i + 1:]) + ") WHERE abs(correlation)>0.5", "correlation")
 def corr_pairs(t):
-    return P.correlated_pairs(P.correlation_matrix(t.part, PART_NUMBERS), PART_NUMBERS, 0.5)
+    rows = t.lineitem.withColumn("l_net", F.col("l_extendedprice") * (1 - F.col("l_discount")))
+    return P.correlated_pairs(P.correlation_matrix(rows, PRICED), PRICED, 0.5)
 
 
 @query("near_constant", "F29", " UNION ALL ".join(
