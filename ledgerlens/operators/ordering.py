@@ -381,3 +381,22 @@ def rolling(
         "*", *[agg.over(window.rangeBetween(first, last)).alias(n) for n, (agg, first, last) in measures.items()]
     )
     return out.where(F.col("_block") == block).drop("_block")
+
+
+def row_positions(
+    df: DataFrame, score: str, unique_id: str, descending: bool = True, name: str = "position", total: str | None = None
+) -> DataFrame:
+    """Position of every row by score, ties by id, however many rows share a score.
+
+    Rows ahead come from the distinct scores, the place among equals from
+    id-sliced cells of that score.
+    """
+    counts = df.groupBy(score).agg(F.count(F.lit(1)).alias("_ties"))
+    ladder = running(
+        counts, [], [score], {"_upto": ("sum", F.col("_ties")), "_of": ("total", F.col("_ties"))}, descending
+    )
+    ahead = ladder.select(score, (F.col("_upto") - F.col("_ties")).alias("_ahead"), "_of")
+    placed = running(df, [score], [unique_id], {"_place": ("count", F.lit(1))})
+    out = placed.join(ahead, score)
+    extra = [F.col("_of").alias(total)] if total else []
+    return out.select(*df.columns, (F.col("_ahead") + F.col("_place")).alias(name), *extra)
