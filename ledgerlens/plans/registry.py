@@ -33,15 +33,23 @@ class Tables:
         return self._spark.read.parquet(f"{self._folder}/{name}.parquet")
 
 
+# ties such as x.xxxxxx5 are pushed to the same side whatever the order of float additions
+NUDGE = 1.000000000001
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Round doubles so that the order of float additions does not show."""
-    fields = df.schema.fields
+    """Round doubles, the larger ones to fewer digits, so that the order of additions does not show."""
+
+    def rounded(name: str):
+        x = F.col(f"`{name}`").cast("double") * NUDGE
+        size = F.abs(x)
+        steps = F.when(size >= 1e6, F.round(x, 2)).when(size >= 1e3, F.round(x, 4)).otherwise(F.round(x, DIGITS))
+        return (steps + F.lit(0.0)).alias(name)
+
     return df.select(
         *[
-            (F.round(F.col(f"`{f.name}`").cast("double"), DIGITS) + F.lit(0.0)).alias(f.name)
-            if isinstance(f.dataType, (T.DoubleType, T.FloatType))
-            else F.col(f"`{f.name}`")
-            for f in fields
+            rounded(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f"`{f.name}`")
+            for f in df.schema.fields
         ]
     )
 
@@ -49,8 +57,15 @@ def settle(df: DataFrame) -> DataFrame:
 def settled_sql(sql: str, doubles: Sequence[str]) -> str:
     if not doubles:
         return sql
-    parts = ", ".join(f'round(CAST("{d}" AS DOUBLE), {DIGITS}) + 0.0 AS "{d}"' for d in doubles)
-    return f"SELECT * REPLACE ({parts}) FROM (\n{sql.strip()}\n) AS result"
+
+    def rounded(d: str) -> str:
+        x = f'CAST("{d}" AS DOUBLE)*CAST({NUDGE} AS DOUBLE)'
+        return (
+            f'CASE WHEN abs({x})>=1e6 THEN round({x}, 2) WHEN abs({x})>=1e3 THEN round({x}, 4) '
+            f'ELSE round({x}, {DIGITS}) END + 0.0::DOUBLE AS "{d}"'
+        )
+
+    return f"SELECT * REPLACE ({', '.join(rounded(d) for d in doubles)}) FROM (\n{sql.strip()}\n) AS result"
 
 
 def query(name: str, operators: str, sql: str | None = None, doubles: str = ""):
