@@ -72,7 +72,7 @@ def curve_points(df: DataFrame, label: str, score: str) -> DataFrame:
     )
 
 
-def _rates(tp: Column, fp: Column, fn: Column, tn: Column) -> dict[str, Column]:
+def rates(tp: Column, fp: Column, fn: Column, tn: Column) -> dict[str, Column]:
     precision, recall = S.safe_ratio(tp, tp + fp), S.safe_ratio(tp, tp + fn)
     return {
         "precision": precision,
@@ -91,7 +91,7 @@ def confusion(df: DataFrame, label: str, predicted: str, by: Sequence[str] = ())
         F.count_if((p == 1) & (y == 1)).alias("tp"), F.count_if((p == 1) & (y == 0)).alias("fp"),
         F.count_if((p == 0) & (y == 1)).alias("fn"), F.count_if((p == 0) & (y == 0)).alias("tn"),
     )
-    return cells.withColumns(_rates(F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn")))
+    return cells.withColumns(rates(F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn")))
 
 
 def threshold_sweep(df: DataFrame, label: str, score: str, thresholds: Sequence[float], cost_fp: float = 1.0, cost_fn: float = 10.0) -> DataFrame:
@@ -118,7 +118,7 @@ def threshold_sweep(df: DataFrame, label: str, score: str, thresholds: Sequence[
         "threshold", "tp", "fp", (F.col("_P") - F.col("tp")).alias("fn"), (F.col("_N") - F.col("fp")).alias("tn")
     )
     return out.withColumns(
-        {**_rates(F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn")), "cost": cost_fp * F.col("fp") + cost_fn * F.col("fn")}
+        {**rates(F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn")), "cost": cost_fp * F.col("fp") + cost_fn * F.col("fn")}
     )
 
 

@@ -232,7 +232,7 @@ def popularity_baseline(t):
 @query("svd_scores", "Z3")
 def svd_scores(t):
     b = buys(t).select("customer_id", "isin").distinct()
-    return RC.svd_scores(b, b, "customer_id", "isin", k=8, oversample=4)
+    return RC.svd_scores(b, b, "customer_id", "isin", k=5, oversample=3)
 
 
 @query("als_scores", "Z3")
