@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import scalars as S
-from ledgerlens.operators.ordering import average_rank, dense_index, only_row, quantile_table
+from ledgerlens.operators.ordering import average_ranks, dense_index, only_row, quantile_table
 
 
 def lookup(df: DataFrame, stats: DataFrame, keys: Sequence[str], values: Mapping[str, Column | float | int | None]) -> DataFrame:
@@ -173,9 +173,8 @@ def apply_quantile_bins(df: DataFrame, stats: DataFrame, column: str, name: str)
 
 def cohort_rank(df: DataFrame, columns: Sequence[str], by: Sequence[str], suffix: str = "__rank", null_rank: float | None = 0.5) -> DataFrame:
     """Average-rank percentiles within a cohort."""
-    out = df
-    for c in columns:
-        out = average_rank(out, c, by, pct=f"{c}{suffix}")
+    names = {c: f"{c}{suffix}" for c in columns}
+    out = average_ranks(df, names, by)
     if null_rank is not None:
-        out = out.withColumns({f"{c}{suffix}": F.coalesce(F.col(f"{c}{suffix}"), F.lit(null_rank)) for c in columns})
+        out = out.withColumns({n: F.coalesce(F.col(n), F.lit(null_rank)) for n in names.values()})
     return out

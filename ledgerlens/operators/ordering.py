@@ -228,31 +228,37 @@ def hash_positions(
     return running(rows, keys, ["_u", *ids], measures, sliced=True).drop("_u", SLICE)
 
 
-def average_rank(df: DataFrame, value: str, by: Sequence[str] = (), pct: str | None = None, rank: str | None = None) -> DataFrame:
-    """Add the rank of ``value`` within ``by``, ties sharing their mean rank.
-
-    ``pct`` divides by the number of non-null values. Null values and rows with
-    a null group get a null rank. Ranks are computed on distinct values and
-    joined back, so a value or group of any size costs one counter.
-    """
+def rank_table(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """Distinct (by, value) with their average rank ``_rank`` and the group's count ``_of``; no nulls."""
     by = list(by)
-    present = [F.col(c).isNotNull() for c in [*by, value]]
-    condition = present[0]
-    for p in present[1:]:
-        condition = condition & p
-    counts = df.where(condition).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_ties"))
+    counts = df.select(*by, value).dropna().groupBy(*by, value).agg(F.count(F.lit(1)).alias("_ties"))
     ranked = running(
         counts, by, [value], {"_upto": ("sum", F.col("_ties")), "_of": ("total", F.col("_ties"))}
     )
     mean_rank = F.col("_upto") - F.col("_ties") + (F.col("_ties") + 1) / 2
-    extra = []
-    if rank:
-        extra.append(mean_rank.alias(rank))
-    if pct:
-        extra.append((mean_rank / F.col("_of")).alias(pct))
-    return df.join(ranked.select(*by, value, *extra), [*by, value], "left").select(
-        *df.columns, *[n for n in (rank, pct) if n]
-    )
+    return ranked.select(*by, value, mean_rank.alias("_rank"), "_of")
+
+
+def average_ranks(df: DataFrame, names: Mapping[str, str], by: Sequence[str] = (), pct: bool = True) -> DataFrame:
+    """Add the rank of each column within ``by``, ties sharing their mean rank.
+
+    ``pct`` divides by the number of non-null values. Null values and rows with
+    a null group get a null rank. Ranks are computed on distinct values and
+    joined back, so a value or group of any size costs one counter. Every rank
+    table starts from ``df`` itself: the plan grows by one join per column.
+    """
+    by = list(by)
+    out = df
+    for value, name in names.items():
+        rank = F.col("_rank") / F.col("_of") if pct else F.col("_rank")
+        table = rank_table(df, value, by).select(*by, value, rank.alias(name))
+        out = out.join(table, [*by, value], "left")
+    return out.select(*df.columns, *names.values())
+
+
+def average_rank(df: DataFrame, value: str, by: Sequence[str] = (), pct: str | None = None, rank: str | None = None) -> DataFrame:
+    """One column's average rank, as a percentile (``pct``) or a position (``rank``)."""
+    return average_ranks(df, {value: pct or rank}, by, pct=pct is not None)
 
 
 def exact_quantiles(

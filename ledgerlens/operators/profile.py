@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ledgerlens.functions import scalars as S
 from ledgerlens.operators.columns import numeric_columns
-from ledgerlens.operators.ordering import average_rank, exact_quantiles, only_row, quantile_table, running
+from ledgerlens.operators.ordering import average_ranks, exact_quantiles, only_row, quantile_table, running
 
 PERCENT = 100.0
 
@@ -263,7 +263,7 @@ def target_correlation(df: DataFrame, columns: Sequence[str], target: str, metho
         parts = []
         for c in columns:
             pair = df.select(F.col(c).cast("double").alias("_x"), F.col(target).cast("double").alias("_y")).dropna()
-            ranked = average_rank(average_rank(pair, "_x", rank="_rx"), "_y", rank="_ry")
+            ranked = average_ranks(pair, {"_x": "_rx", "_y": "_ry"}, pct=False)
             parts.append(
                 ranked.agg(F.corr("_rx", "_ry").alias("correlation"), F.count(F.lit(1)).alias("n"), F.stddev_samp("_x").alias("_sd"))
                 .withColumn("column", F.lit(c))
@@ -324,8 +324,8 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], method: str = "pea
     """
     rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
     if method == "spearman":
-        for c in columns:
-            rows = average_rank(rows, c, rank="_r").withColumn(c, F.col("_r")).drop("_r")
+        ranked = average_ranks(rows, {c: f"{c}__rank" for c in columns}, pct=False)
+        rows = ranked.select(*[F.col(f"{c}__rank").alias(c) for c in columns])
     pairs = [(a, b) for a in columns for b in columns]
     wide = rows.agg(*[F.corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
     cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{i}`").alias("correlation")) for i, (a, b) in enumerate(pairs)]
