@@ -74,7 +74,7 @@ def clean_codes(df: DataFrame, columns: Sequence[str], codes: Sequence, cap: flo
     """Codes that mean "unknown" set a flag and become ``fill``; others are capped."""
     any_code = reduce(lambda a, b: a | b, [F.coalesce(F.col(c).isin(*codes), F.lit(False)) for c in columns])
     cleaned = {
-        c: F.coalesce(F.least(F.when(~F.col(c).isin(*codes), F.col(c).cast("double")), F.lit(float(cap))), F.lit(float(fill)))
+        c: F.coalesce(S.clip(F.when(~F.col(c).isin(*codes), F.col(c).cast("double")), None, float(cap)), F.lit(float(fill)))
         for c in columns
     }
     return df.withColumns({unknown: any_code.cast("int"), **cleaned})

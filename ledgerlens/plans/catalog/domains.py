@@ -37,7 +37,7 @@ def borrowers(t):
         F.when(nation == 3, 96).otherwise(zero("o")).alias("DPD_60_89"), F.when(nation != 9, zero("p")).alias("DPD_90plus"))
 
 
-_code = lambda c: f"coalesce(least(CASE WHEN {c} NOT IN (96,98) THEN {c}::DOUBLE END, 10.0), 0.0)"
+_code = lambda c: f"coalesce(CASE WHEN {c} NOT IN (96,98) THEN least({c}::DOUBLE, 10.0) END, 0.0)"
 _AGE = "least(greatest(age::DOUBLE,18.0),100.0)"
 
 

@@ -29,8 +29,8 @@ def risk_label(claim: str | Column, gap: str | Column) -> Column:
 
 
 def gap_features(df: DataFrame) -> DataFrame:
-    raised = [F.greatest(F.col(f"{p}_gap"), F.lit(0.0)) for p in PILLARS]
-    clipped = {f"fe_{p}_gap_clipped": F.greatest(F.col(f"{p}_gap"), F.lit(0.0)) for p in [*PILLARS, "avg"]}
+    raised = [S.clip(f"{p}_gap", 0.0) for p in PILLARS]
+    clipped = {f"fe_{p}_gap_clipped": S.clip(f"{p}_gap", 0.0) for p in [*PILLARS, "avg"]}
     return df.withColumns(
         {
             **clipped,
