@@ -181,8 +181,8 @@ _RM = f"(({'+'.join(_R)})/3)"
 
 
 @query("esg_features", "P13 P30 P38 P8 E2 E7 P12", f"""
-WITH {COMPANIES}, rk AS (SELECT sector, avg(CASE greenwashing_risk WHEN 'Low' THEN 0 WHEN 'Medium' THEN 1 ELSE 2 END) AS r FROM x WHERE doc_id<800 GROUP BY 1), dr AS (SELECT avg(r) AS d FROM rk),
-tp AS (SELECT sector FROM x WHERE doc_id<800 GROUP BY 1 ORDER BY count(*) DESC, sector LIMIT 8)
+WITH {COMPANIES}, rk AS (SELECT sector, avg(CASE greenwashing_risk WHEN 'Low' THEN 0 WHEN 'Medium' THEN 1 ELSE 2 END) AS r FROM x WHERE composite_esg<58 GROUP BY 1), dr AS (SELECT avg(r) AS d FROM rk),
+tp AS (SELECT sector FROM x WHERE composite_esg<58 GROUP BY 1 ORDER BY count(*) DESC, sector LIMIT 8)
 SELECT doc_id, greatest(e_gap,0) AS fe_e_gap_clipped, greatest(s_gap,0) AS fe_s_gap_clipped, greatest(g_gap,0) AS fe_g_gap_clipped, greatest(avg_gap,0) AS fe_avg_gap_clipped,
  coalesce(sqrt((({_R[0]}-{_RM})**2+({_R[1]}-{_RM})**2+({_R[2]}-{_RM})**2)/2)/nullif({_RM},0),0) AS fe_gap_cv, greatest({','.join(_R)}) AS fe_max_gap, (reported_e+reported_s+reported_g)/3-composite_esg AS fe_composite_delta,
  composite_esg AS fe_composite_esg, CAST(composite_esg<40 AS INTEGER) AS fe_esg_low, CAST(composite_esg>=70 AS INTEGER) AS fe_esg_high, e_score/100 AS fe_e_score_norm, s_score/100 AS fe_s_score_norm, g_score/100 AS fe_g_score_norm,
@@ -192,7 +192,7 @@ FROM x LEFT JOIN rk USING (sector), dr""",
        "fe_e_gap_clipped fe_s_gap_clipped fe_g_gap_clipped fe_avg_gap_clipped fe_gap_cv fe_max_gap fe_composite_delta fe_composite_esg fe_e_score_norm fe_s_score_norm fe_g_score_norm fe_log_market_cap fe_log_revenue fe_log_emissions fe_sector_risk_te fe_claim_x_gap fe_gap_x_emissions")
 def esg_features(t):
     rows = disclosures(t)
-    top, rates = esg.fit_sectors(rows.where("doc_id < 800"))
+    top, rates = esg.fit_sectors(rows.where("composite_esg < 58"))
     out = esg.structured_features(rows, top, rates)
     keep = [c for c in out.columns if c.startswith("fe_") and (not c.startswith("fe_sector_") or c in ("fe_sector_Other", "fe_sector_risk_te"))]
     return out.select("doc_id", *keep)
