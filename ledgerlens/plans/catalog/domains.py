@@ -120,7 +120,7 @@ def churn_plan_length(t):
 # --- insurance --------------------------------------------------------------
 
 POLICIES = """raw AS (SELECT p_partkey AS id, CASE WHEN p_size<5 THEN -1 ELSE p_size END AS ps_ind_01, CAST(substr(p_brand,7) AS INTEGER) AS ps_ind_02_cat, CAST(p_type='SMALL' AS INTEGER) AS ps_ind_03_bin,
- p_retailprice/1000 AS ps_reg_01, CASE WHEN p_retailprice>950 THEN -1.0 ELSE p_retailprice/900 END AS ps_reg_03, (p_retailprice-900)/100 AS ps_car_13, power(p_size,6)/1e6 AS ps_car_12, CASE WHEN p_size>45 THEN -1 ELSE length(p_type) END AS ps_car_02_cat,
+ p_retailprice/1000 AS ps_reg_01, CASE WHEN p_size>40 THEN -1.0 ELSE p_retailprice/900 END AS ps_reg_03, (p_retailprice-900)/100 AS ps_car_13, power(p_size,6)/1e6 AS ps_car_12, CASE WHEN p_size>45 THEN -1 ELSE length(p_type) END AS ps_car_02_cat,
  CAST(p_size>25 AS INTEGER) AS ps_car_03_bin, p_size*1.5 AS ps_calc_01, CAST(p_name LIKE 'red%' AS INTEGER) AS target FROM part),
 pol AS (SELECT id, nullif(ps_ind_01,-1) AS ind1, ps_ind_02_cat AS ind2, ps_ind_03_bin AS ind3, ps_reg_01 AS reg1, nullif(ps_reg_03,-1) AS reg3, nullif(ps_car_13,-1) AS car13, ps_car_12 AS car12, nullif(ps_car_02_cat,-1) AS car2, ps_car_03_bin AS car3, target FROM raw)"""
 
@@ -129,7 +129,7 @@ def policies(t):
     size, price = F.col("p_size"), F.col("p_retailprice")
     raw = t.part.select(
         F.col("p_partkey").alias("id"), F.when(size < 5, -1).otherwise(size).alias("ps_ind_01"), F.substring("p_brand", 7, 10).cast("int").alias("ps_ind_02_cat"),
-        S.flag(F.col("p_type") == "SMALL").alias("ps_ind_03_bin"), (price / 1000).alias("ps_reg_01"), F.when(price > 950, -1.0).otherwise(price / 900).alias("ps_reg_03"),
+        S.flag(F.col("p_type") == "SMALL").alias("ps_ind_03_bin"), (price / 1000).alias("ps_reg_01"), F.when(size > 40, -1.0).otherwise(price / 900).alias("ps_reg_03"),
         ((price - 900) / 100).alias("ps_car_13"), (F.pow(size, F.lit(6)) / 1e6).alias("ps_car_12"), F.when(size > 45, -1).otherwise(F.length("p_type")).alias("ps_car_02_cat"),
         S.flag(size > 25).alias("ps_car_03_bin"), (size * 1.5).alias("ps_calc_01"), S.flag(F.col("p_name").startswith("red")).alias("target"))
     return insurance.without_sentinels(raw)
