@@ -34,9 +34,11 @@ LETTER, NUMBER, OTHER, SPACE, JOIN, LONE, TWO, THREE = range(8)
 #: contraction still to come.
 CLOSED, IN_LETTERS, IN_NUMBERS, IN_OTHER, IN_SPACE, JOINED, ONE_LEFT, TWO_LEFT = range(8)
 BLOCK = 256
-CACHED_PIECES = 300_000
+CACHED_PIECES = 150_000
 #: Longest piece merged together with others; longer ones take a heap.
 SHORT = 64
+#: Rows decoded at once.
+DECODED_ROWS = 256
 NO_RANK = (1 << 63) - 1
 
 
@@ -362,9 +364,10 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = {rank: token for token, rank in read_ranks(vocabulary.value).items()}
         for batch in batches:
-            lists = batch.column(place)
-            decoded = [None if x is None else b"".join(map(tokens.__getitem__, x.values.to_numpy(zero_copy_only=False).tolist())) for x in lists]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], [*batch.schema.names, out])
+            for start in range(0, batch.num_rows, DECODED_ROWS):
+                part = batch.slice(start, DECODED_ROWS)
+                decoded = [None if x is None else b"".join(map(tokens.__getitem__, x)) for x in part.column(place).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(decoded, pa.binary())], [*part.schema.names, out])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields)
     return inner.mapInArrow(run, f"{fields}, `{out}` binary")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, quality, sharding, token_counts
+from ledgerlens.llm import bpe, html_text, language, licenses, quality, sharding, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +69,31 @@ def op8_token_counts(spark, folder):
     docs = documents(spark, folder).select("doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
     counted = token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
+def learnable(docs: DataFrame) -> DataFrame:
+    """The rows a language model may learn from: crc32 of the id's digits, mod 3, is not 1."""
+    return docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
+
+
+@query("op10_language")
+def op10_language(spark, folder):
+    """Language of every document by a model learned from two thirds of them."""
+    docs = documents(spark, folder).select("doc_id", "text", "lang")
+    model = language.fit(learnable(docs), ["doc_id"])
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    scored = language.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model)
+    return scored.drop("text")
+
+
+@query("op7_html")
+def op7_html(spark, folder):
+    """Main text of every page."""
+    pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url", "html")
+    return html_text.extract(pages).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@query("op9_licenses", licenses.scan_sql())
+def op9_licenses(spark, folder):
+    """Licences of every document: as its whole text, and as notices among its lines."""
+    return licenses.scan(documents(spark, folder), "doc_id")
