@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, html_text, language, licenses, quality, sharding, token_counts
+from ledgerlens.llm import bpe, html_text, language, licenses, near_dedup, quality, sharding, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,3 +97,9 @@ def op7_html(spark, folder):
 def op9_licenses(spark, folder):
     """Licences of every document: as its whole text, and as notices among its lines."""
     return licenses.scan(documents(spark, folder), "doc_id")
+
+
+@query("op4_near_dedup")
+def op4_near_dedup(spark, folder):
+    """Component of every document under links of 85 percent."""
+    return near_dedup.near_duplicates(documents(spark, folder), percent=85).drop("row")
