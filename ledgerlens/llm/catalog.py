@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, html_text, language, licenses, near_dedup, quality, sharding, token_counts
+from ledgerlens.llm import bpe, decontamination, html_text, language, licenses, near_dedup, quality, sharding, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -103,3 +103,10 @@ def op9_licenses(spark, folder):
 def op4_near_dedup(spark, folder):
     """Component of every document under links of 85 percent."""
     return near_dedup.near_duplicates(documents(spark, folder), percent=85).drop("row")
+
+
+@query("op6_decontamination")
+def op6_decontamination(spark, folder):
+    """Documents that hold passages of the benchmark, and which."""
+    items = spark.read.parquet(f"{folder}/benchmark.parquet")
+    return decontamination.find_leaks(documents(spark, folder), items)
