@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, decontamination, html_text, language, licenses, near_dedup, quality, sharding, token_counts
+from ledgerlens.llm import bpe, decontamination, html_text, language, licenses, near_dedup, quality, sharding, substring_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -110,3 +110,9 @@ def op6_decontamination(spark, folder):
     """Documents that hold passages of the benchmark, and which."""
     items = spark.read.parquet(f"{folder}/benchmark.parquet")
     return decontamination.find_leaks(documents(spark, folder), items)
+
+
+@query("op5_substring_dedup")
+def op5_substring_dedup(spark, folder):
+    """Passages of every document that an earlier one has too."""
+    return substring_dedup.shared_passages(documents(spark, folder)).drop("row")
