@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import keep, lowered, other_columns, slices, small, text_arrays
+from ledgerlens.llm.common import keep, lowered, mix, other_columns, slices, small, text_arrays
 from ledgerlens.llm.near_dedup import SHINGLE, shingle_hashes, word_hashes
 
 #: Neighbouring windows of which the smallest is a seed; a power of two.
@@ -53,7 +53,21 @@ def seed_places(words: np.ndarray, bounds: np.ndarray, least: int) -> tuple[np.n
         high = np.maximum(high[:-width], high[width:])
         width *= 2
     at = np.flatnonzero((high[:n] == hashes) & (hashes != 0))
-    return hashes[at], owner[at], at - bounds[:-1][owner[at]]
+    return hashes[at] + repeats(hashes[at], owner[at]), owner[at], at - bounds[:-1][owner[at]]
+
+
+def repeats(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """A number to tell the second and later seeds of one hash in a text from the first: its count, mixed; 0 at first.
+
+    So repeated stretches are matched in order, not all to one place.
+    """
+    order = np.lexsort((hashes, owner))
+    new = np.ones(len(order), bool)
+    new[1:] = (hashes[order[1:]] != hashes[order[:-1]]) | (owner[order[1:]] != owner[order[:-1]])
+    place = np.arange(len(order))
+    count = np.zeros(len(order), np.uint64)
+    count[order] = place - np.maximum.accumulate(np.where(new, place, 0))
+    return np.where(count > 0, mix(count), np.uint64(0))
 
 
 def _seeds(rows: DataFrame, least: int) -> DataFrame:
