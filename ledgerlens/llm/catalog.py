@@ -83,7 +83,7 @@ def op10_language(spark, folder):
     model = language.fit(learnable(docs), ["doc_id"])
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     scored = language.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model)
-    return scored.drop("text")
+    return scored
 
 
 @query("op7_html")

@@ -233,7 +233,7 @@ def fit(df: DataFrame, key: list[str], text: str = "text", lang: str = "lang", o
 ADDED = ["lang_pred", "score", "cross_entropy", "n_letters", "rejected"]
 
 
-def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+def predict(df: DataFrame, model: Model | None, text: str = "text", keep_text: bool = False) -> DataFrame:
     """Add language, score, cross-entropy (nats a character), scored characters and rejection of every whole text.
 
     A null text, or one without any letter, is ``und`` with score 0 and rejected; so is every text without a model.
@@ -241,7 +241,7 @@ def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame
     language by name. Columns of these names are replaced, others stay.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
-    inner = df.select(*other_columns(df, ADDED), F.col(f"`{text}`").alias("__text"))
+    inner = df.select(*other_columns(df, ADDED if keep_text else [*ADDED, text]), F.col(f"`{text}`").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
