@@ -41,8 +41,8 @@ BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "
 CLEANED = ["kept", "n_kept_words", "n_failed_lines", "cleaned"]
 
 
-def line_fails(line: str, n_words: int) -> bool:
-    """Whether a line with words fails a rule."""
+def line_fails(line: str, n_words: int, last: bool = False) -> bool:
+    """Whether a line with words fails a rule. The last line needs no end mark: texts are cut off."""
     entries = MENU_MARKS.split(line)
     if len(entries) >= 2 and all(len(e.split()) <= MENU_WORDS for e in entries):
         return True
@@ -55,7 +55,7 @@ def line_fails(line: str, n_words: int) -> bool:
         small = len(cased) - upper
         if upper + small >= CAPITAL_LETTERS and upper > CAPITALS * (upper + small):
             return True
-    if n_words > TITLE_WORDS and not line.rstrip().endswith(END_MARKS):
+    if n_words > TITLE_WORDS and not last and not line.rstrip().endswith(END_MARKS):
         return True
     folded = line.lower()
     return any(p in folded for p in BOILERPLATE)
@@ -91,7 +91,9 @@ def judge(text: str, most_lost: float) -> tuple:
     duplicates = failed = kept_words = 0
     kept_lines = []
     verdicts: dict[str, bool] = {}
-    for line in text.split("\n"):
+    lines = text.split("\n")
+    end = max((i for i, line in enumerate(lines) if line.strip()), default=0)
+    for i, line in enumerate(lines):
         n = len(line.encode().split())
         if not n:
             kept_lines.append(line)
@@ -99,8 +101,8 @@ def judge(text: str, most_lost: float) -> tuple:
         if line in seen:
             duplicates += 1
         seen.add(line)
-        if (bad := verdicts.get(line)) is None:
-            bad = verdicts[line] = line_fails(line, n)
+        if (bad := verdicts.get(line)) is None or i == end:
+            bad = verdicts[line] = line_fails(line, n, i == end)
         if bad:
             failed += 1
         else:
