@@ -40,7 +40,7 @@ negative noncompliance nonperformance objection obstacle offset omit overdue pen
 reduced reduction reject resigned restructure restructuring risk risks severe shortage slowdown suspect
 terminate termination uncertainty underperform unfavorable unprofitable violation volatile volatility
 vulnerable weak weakness withdraw worst write-down write-off writedown writeoff
-""".split()
+""".split() + ["revenue loss"]
 
 UNCERTAINTY = """
 alleged almost ambiguity ambiguous anticipate anticipated appear appears approximate approximately arbitrage

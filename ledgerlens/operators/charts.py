@@ -116,9 +116,9 @@ def market_kpis(df: DataFrame, stock: str, time: str, rv: str) -> DataFrame:
     )
 
 
-def scatter_sample(df: DataFrame, x: str, y: str, n: int, seed: int = 42, log_axes: Sequence[str] = ()) -> DataFrame:
-    """A random sample for a scatter chart with log1p on chosen axes."""
-    rows = df.select(x, y).dropna().orderBy(F.xxhash64(x, y, F.lit(seed)), x, y).limit(n)
+def scatter_sample(df: DataFrame, x: str, y: str, n: int, unique_id: Sequence[str], seed: int = 42, log_axes: Sequence[str] = ()) -> DataFrame:
+    """A random sample of rows, by a hash of their unique id, for a scatter chart with log1p on chosen axes."""
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).orderBy(F.xxhash64(*unique_id, F.lit(seed)), *unique_id, x, y).limit(n).select(x, y)
     return rows.withColumns({c: F.log1p(c) for c in log_axes}) if log_axes else rows
 
 

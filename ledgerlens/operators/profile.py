@@ -296,15 +296,23 @@ def point_biserial(df: DataFrame, columns: Sequence[str], target: str) -> DataFr
 
     def add_p(batches):
         for pdf in batches:
-            pdf["p_value"] = [student_p(t_, n_ - 2) for t_, n_ in zip(pdf["t"], pdf["n"])]
+            exact = pdf["abs_correlation"] == 1  # the statistic is infinite
+            pdf["p_value"] = [student_p(math.inf if e else t_, n_ - 2) for t_, n_, e in zip(pdf["t"], pdf["n"], exact)]
             yield pdf
 
     return rows.mapInPandas(add_p, "column string, correlation double, abs_correlation double, n long, t double, p_value double")
 
 
-def student_p(t: float | None, dof: float) -> float:
-    """Two-sided tail of Student's t: the density in the angle atan(t/sqrt(dof)) is a power of its cosine."""
-    if t is None or math.isnan(t) or dof < 1:
+def student_p(t: float | None, dof: float) -> float | None:
+    """Two-sided tail of Student's t: the density in the angle atan(t/sqrt(dof)) is a power of its cosine.
+
+    Null without a statistic or with under two rows; two rows always lie on a line and say nothing (1).
+    """
+    if dof == 0:
+        return 1.0
+    if t is None or math.isnan(t) or dof < 0:
+        return None
+    if math.isinf(t):
         return 0.0
     start = math.atan(abs(t) / math.sqrt(dof))
     angle = np.linspace(start, min(math.pi / 2, start + 40 / math.sqrt(dof)), 20_001)

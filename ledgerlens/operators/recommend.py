@@ -112,7 +112,7 @@ def svd_scores(positives: DataFrame, pairs: DataFrame, customer: str, item: str,
     inner products reach the driver, for orthogonalisation. Unknown customers
     and assets score 0.
     """
-    cells = positives.select(customer, item).distinct().persist()
+    cells = cut_lineage(positives.select(customer, item).distinct())
     width = k + oversample
     cols = [f"_f{j}" for j in range(width)]
     start = [(F.hash(F.col(item), F.lit(seed + j)).cast("double") / float(1 << 31)).alias(c) for j, c in enumerate(cols)]
@@ -143,7 +143,7 @@ def svd_scores(positives: DataFrame, pairs: DataFrame, customer: str, item: str,
         return rotate(df, key, vectors * scale)
 
     for _ in range(iterations):
-        v = orthonormal(cut_lineage(to_items(to_customers(v)).persist()), item)
+        v = orthonormal(cut_lineage(to_items(to_customers(v))), item)
     # directions inside the subspace, the strongest first
     values, vectors = np.linalg.eigh(gram(to_customers(v)))
     v = rotate(v, item, vectors[:, np.argsort(-values)[:k]])

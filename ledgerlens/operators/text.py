@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import lexicons as L
 from ledgerlens.functions import scalars as S
+from ledgerlens.session import cut_lineage
 
 # whitespace as Python's str.split() sees it
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]+"
@@ -131,10 +132,11 @@ def vocabulary(df: DataFrame, text: str, label: str, **token_options) -> DataFra
 def discriminative_terms(df: DataFrame, text: str, label: str, classes: Sequence, per_class: int = 40, min_count: int = 3, k: int = 20) -> DataFrame:
     """Frequent terms that one class uses most: largest class count over all counts plus one.
 
-    Counts outside a class's own top list are taken as 0. Returns class shares.
+    Terms come from the top list of any class, their counts from all texts. Returns class shares.
     """
-    top = top_ngrams(df, text, label, 1, per_class)
-    table = top.groupBy("gram").agg(
+    counts = cut_lineage(ngram_counts(df, text, label, 1))  # read for the lists and for the counts
+    listed = top_per_group(counts, label, "n", "gram", per_class).select("gram").distinct()
+    table = counts.join(listed, "gram", "left_semi").groupBy("gram").agg(
         *[F.coalesce(F.sum(F.when(F.col(label) == c, F.col("n"))), F.lit(0)).alias(f"class_{c}") for c in classes]
     )
     names = [f"class_{c}" for c in classes]

@@ -10,6 +10,7 @@ from ledgerlens.plans import card_default, churn, credit, esg, fraud, insurance,
 from ledgerlens.plans.catalog.relational import DAILY, ORDER, PAYMENTS, daily_log, payments, statements
 from ledgerlens.plans.catalog.transactions import TRAIN_BEFORE, orders_with_customer, train
 from ledgerlens.plans.registry import query
+from ledgerlens.session import cut_lineage
 from ledgerlens.sources import tables as SRC
 
 
@@ -61,7 +62,7 @@ def credit_features(t):
 @query("credit_imputed", "I3 P21")
 def credit_imputed(t):
     holed = borrowers(t).withColumn("MonthlyIncome", F.when(F.col("c_nationkey") < 20, F.col("MonthlyIncome")))
-    rows = credit.impute(credit.clean(holed), "borrower_id").persist()  # read by the fit and by the features
+    rows = cut_lineage(credit.impute(credit.clean(holed), "borrower_id"))  # read by the fit and by the features
     out = credit.features(rows, credit.fit(rows))
     return out.select("borrower_id", "MonthlyIncome", *[c for c in out.columns if c.startswith("fe_")])
 

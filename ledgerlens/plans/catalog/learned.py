@@ -61,8 +61,10 @@ def pca(t):
 
 @query("isotonic", "Z4 M16")
 def isotonic(t):
-    rows = scored(t).select("o_orderkey", "label", "score")
-    return L.isotonic_calibration(rows, "score")[1].select("o_orderkey", "score", "calibrated")
+    rows = D.stratified_split(scored(t), "o_orderkey", "label", 0.3).select("o_orderkey", "label", "score", "split")
+    model, _ = L.isotonic_calibration(rows.where("split = 'train'"), "score")
+    val = rows.where("split = 'val'").withColumn("label", F.col("label").cast("double"))
+    return model.transform(val).select("o_orderkey", "score", "calibrated")
 
 
 FEATURES = ["l_quantity", "l_discount", "l_tax", "unit_price"]
@@ -101,7 +103,7 @@ def mllib_time_cv(t):
 
 @query("mllib_search", "L14 L15 L3")
 def mllib_search(t):
-    rows = D.stratified_split(scored(t), "o_orderkey", "label", 0.25).withColumn("label", S.flag(F.col("score") > 0.6))
+    rows = D.stratified_split(scored(t), "o_orderkey", "label", 0.25)
     train, val = rows.where("split = 'train'"), rows.where("split = 'val'")
     grid = L.parameter_sample({"maxDepth": [2, 3], "numTrees": [5]}, 2)
     build = lambda p: L.classifier("forest", ["o_totalprice", "o_custkey"], **p)
@@ -139,20 +141,22 @@ def mllib_blend(t):
 
 @query("mllib_network", "L5")
 def mllib_network(t):
-    rows = L.as_vector(t.embeddings, "embedding")
-    model = L.classifier("network", "embedding", layers=[64, 8, 10], maxIter=10).fit(rows)
-    return model.transform(rows).select("vec_id", "label", "prediction")
+    rows = D.stratified_split(L.as_vector(t.embeddings, "embedding"), "vec_id", "label", 0.25)
+    model = L.classifier("network", "embedding", layers=[64, 8, 10], maxIter=10).fit(rows.where("split = 'train'"))
+    return model.transform(rows.where("split = 'val'")).select("vec_id", "label", "prediction")
 
 
-@query("mllib_bayes", "L19 X12")
+@query("mllib_bayes", "X12")
 def mllib_bayes(t):
+    """Naive Bayes on lexical counts, fitted on the training split and applied to the other."""
     rows = X.lexical_features(t.documents.join(t.labels, "doc_id"), "text")
+    rows = D.stratified_split(rows, "doc_id", "quality", 0.25)
     names = ["word_count", "lm_positive", "lm_negative", "lm_uncertainty", "has_negation", "exclamation_count"]
-    model = L.classifier("bayes", names, label="quality", modelType="complement").fit(rows)
-    return L.score_table(model, rows, ["doc_id", "quality"])
+    model = L.classifier("bayes", names, label="quality", modelType="complement").fit(rows.where("split = 'train'"))
+    return L.score_table(model, rows.where("split = 'val'"), ["doc_id", "quality"])
 
 
-@query("mllib_ranker", "L11 L4 L18")
+@query("mllib_ranker", "L11 L4")
 def mllib_ranker(t):
     from ledgerlens.plans.catalog.samples import assets, buys, customers, trades
     from ledgerlens.operators import recommend as RC
@@ -161,13 +165,15 @@ def mllib_ranker(t):
     users = RC.user_features(customers(t), trades(t), "customer_id", "isin", "side", "value").select("customer_id", "user_n_buy_tx", "user_total_buy")
     items = RC.item_features(assets(t), buys(t), "customer_id", "isin", "value").select("isin", "item_n_buyers", "item_total_vol")
     matrix = RC.feature_matrix(pairs, users, items, "customer_id", "isin")
-    model = L.classifier("boosted", ["user_n_buy_tx", "user_total_buy", "item_n_buyers", "item_total_vol"], maxIter=3).fit(matrix)
-    return L.score_table(model, matrix, ["customer_id", "isin", "label"])
+    model = L.classifier("boosted", ["user_n_buy_tx", "user_total_buy", "item_n_buyers", "item_total_vol"], maxIter=3)
+    rows = matrix.withColumn("_late", F.pmod(F.xxhash64("customer_id"), F.lit(4)) == 0)  # whole customers are held out
+    fitted = model.fit(rows.where("not _late").drop("_late"))
+    return L.score_table(fitted, rows.where("_late").drop("_late"), ["customer_id", "isin", "label"])
 
 
 @query("tree_importance", "H11 L3")
 def tree_importance(t):
-    rows = priced_lines(t)
-    model = L.classifier("forest", FEATURES, numTrees=5, maxDepth=4).fit(rows)
-    auc = roc_auc(L.score_table(model, rows, ["row_id", "label"]), "label", "score").select("auc").scalar()
+    rows = D.stratified_split(priced_lines(t), "row_id", "label", 0.2)
+    model = L.classifier("forest", FEATURES, numTrees=5, maxDepth=4).fit(rows.where("split = 'train'"))
+    auc = roc_auc(L.score_table(model, rows.where("split = 'val'"), ["row_id", "label"]), "label", "score").select("auc").scalar()
     return L.importances(model, FEATURES, t._spark).withColumn("auc", auc)

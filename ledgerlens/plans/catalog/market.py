@@ -269,7 +269,7 @@ def waterfall(t):
 
 @query("scatter_sample", "S14")
 def scatter_sample(t):
-    return CH.scatter_sample(t.lineitem, "l_quantity", "l_extendedprice", 2000, log_axes=["l_extendedprice"])
+    return CH.scatter_sample(t.orders, "o_custkey", "o_totalprice", 2000, ["o_orderkey"], log_axes=["o_totalprice"])
 
 
 @query("null_map", "F5 S14")

@@ -285,10 +285,19 @@ def panel_facts(t):
     return P.panel_facts(t.events, "user_id", labels, "label")
 
 
-@query("data_dictionary", "F26 U1", f"""SELECT *, 'nation' AS "table" FROM ({_profile_sql('nation', {'n_nationkey': 'int', 'n_name': 'string', 'n_regionkey': 'int'})})
-UNION ALL SELECT *, 'supplier' AS "table" FROM ({_profile_sql('supplier', {'s_suppkey': 'bigint', 's_name': 'string', 's_nationkey': 'int', 's_acctbal': 'double'})})""", "pct_missing top_share")
+DICTIONARY = {
+    "region": {"r_regionkey": "int", "r_name": "string"},
+    "nation": {"n_nationkey": "int", "n_name": "string", "n_regionkey": "int"},
+    "supplier": {"s_suppkey": "bigint", "s_name": "string", "s_nationkey": "int", "s_acctbal": "double"},
+    "customer": {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": "string"},
+    "part": PART,
+    "labels": {"doc_id": "bigint", "quality": "int", "toxic": "int"},
+}
+
+
+@query("data_dictionary", "F26 U1", " UNION ALL ".join(f"""SELECT *, '{k}' AS "table" FROM ({_profile_sql(k, v)})""" for k, v in DICTIONARY.items()), "pct_missing top_share")
 def data_dictionary(t):
-    return P.data_dictionary({"nation": t.nation, "supplier": t.supplier}).drop("sample_values")
+    return P.data_dictionary({name: getattr(t, name) for name in DICTIONARY}).drop("sample_values")
 
 
 @query("feature_prefixes", "F32 F23", f"""SELECT split_part("column",'_',1) AS prefix, count(*) AS n_columns FROM ({MISSING_SQL}) GROUP BY 1""")

@@ -45,13 +45,14 @@ def two_key_join(t):
 
 
 @query("full_join", "J4 J9", """
-SELECT coalesce(a.user_id, b.user_id) AS user_id, n_click, n_error FROM
+SELECT coalesce(a.user_id, b.user_id) AS user_id, n_click, n_other FROM
 (SELECT user_id, count(*) n_click FROM events WHERE event_type='click' GROUP BY 1) a FULL JOIN
-(SELECT user_id, count(*) n_error FROM events WHERE event_type='error' GROUP BY 1) b ON a.user_id=b.user_id""")
+(SELECT user_id, count(*) n_other FROM events WHERE event_type<>'click' GROUP BY 1) b ON a.user_id=b.user_id""")
 def full_join(t):
     e = t.events
-    block = lambda kind: e.where(F.col("event_type") == kind).groupBy("user_id").agg(F.count(F.lit(1)).alias(f"n_{kind}"))
-    return R.attach(block("click"), block("error"), "user_id", how="full")
+    block = lambda rows, name: rows.groupBy("user_id").agg(F.count(F.lit(1)).alias(name))
+    clicks, others = e.where("event_type = 'click'"), e.where("event_type <> 'click'")
+    return R.attach(block(clicks, "n_click"), block(others, "n_other"), "user_id", how="full")
 
 
 @query("semi_known", "J6 U2", f"""
@@ -93,11 +94,11 @@ def round_robin(t):
 # --- grouped rates and shares -----------------------------------------------
 
 @query("rate_by_month", "A21 A17", """
-WITH s AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, sum(o_totalprice) total, count(*) n FROM orders WHERE o_orderpriority='1-URGENT' GROUP BY 1)
+WITH s AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, sum(o_totalprice) total, count(*) n FROM orders GROUP BY 1)
 SELECT CAST(m AS DATE) AS month, coalesce(total,0) AS total, coalesce(n,0) AS n
 FROM (SELECT unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH)) AS m FROM s) LEFT JOIN s ON s.month=CAST(m AS DATE)""", "total")
 def rate_by_month(t):
-    return R.period_sums(t.orders.where("o_orderpriority = '1-URGENT'"), "o_orderdate", "o_totalprice")
+    return R.period_sums(t.orders, "o_orderdate", "o_totalprice")
 
 
 @query("weekday_counts", "A22", """
@@ -136,10 +137,13 @@ def crosstab_share(t):
     return R.row_shares(table, ["F", "O", "P"])
 
 
+PART_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+
+
 @query("crosstab", "A19", """
-SELECT p_brand, count(*) FILTER (p_type='SMALL') AS "SMALL", count(*) FILTER (p_type='ECONOMY') AS "ECONOMY" FROM part GROUP BY 1""")
+SELECT p_brand, """ + ", ".join(f"""count(*) FILTER (p_type='{k}') AS "{k}\"""" for k in PART_TYPES) + " FROM part GROUP BY 1")
 def crosstab(t):
-    return R.contingency(t.part, "p_brand", "p_type", ["SMALL", "ECONOMY"])
+    return R.contingency(t.part, "p_brand", "p_type", PART_TYPES)
 
 
 @query("class_share", "A20 W18", """

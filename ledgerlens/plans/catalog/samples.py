@@ -189,10 +189,10 @@ def pref_category(t):
 
 
 @query("category_pivot", "A13", f"""
-WITH {TRADES} SELECT customer_id, {", ".join(f"count(*) FILTER (p_brand='Brand#{i}') AS inter_cat_{i}" for i in (1, 2, 3))} FROM trades JOIN part ON isin=p_partkey WHERE side='Buy' GROUP BY 1""")
+WITH {TRADES} SELECT customer_id, {", ".join(f"count(*) FILTER (p_brand='Brand#{i}') AS inter_cat_{i}" for i in range(1, 26))} FROM trades JOIN part ON isin=p_partkey WHERE side='Buy' GROUP BY 1""")
 def category_pivot(t):
-    out = RC.category_history(buys(t), assets(t), "customer_id", "isin", "category", ["Brand#1", "Brand#2", "Brand#3"])
-    return out.withColumnsRenamed({f"inter_cat_Brand#{i}": f"inter_cat_{i}" for i in (1, 2, 3)})
+    out = RC.category_history(buys(t), assets(t), "customer_id", "isin", "category", [f"Brand#{i}" for i in range(1, 26)])
+    return out.withColumnsRenamed({f"inter_cat_Brand#{i}": f"inter_cat_{i}" for i in range(1, 26)})
 
 
 @query("pair_features", "A12 J2", f"""

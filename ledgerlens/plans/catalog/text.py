@@ -53,7 +53,7 @@ def flesch(t):
 
 @query("term_disc", "X5 A19", f"""
 WITH {SENT}, {TOK}, {_top_sql(1, 40)},
-p AS (SELECT gram, coalesce(sum(n) FILTER (label=0),0) a, coalesce(sum(n) FILTER (label=1),0) b, coalesce(sum(n) FILTER (label=2),0) c FROM top GROUP BY 1)
+p AS (SELECT gram, coalesce(sum(n) FILTER (label=0),0) a, coalesce(sum(n) FILTER (label=1),0) b, coalesce(sum(n) FILTER (label=2),0) c FROM g WHERE gram IN (SELECT gram FROM top) GROUP BY 1)
 SELECT gram, greatest(a,b,c)/(a+b+c+1) AS disc, a/(a+b+c) AS class_0, b/(a+b+c) AS class_1, c/(a+b+c) AS class_2 FROM p WHERE a+b+c>=3 ORDER BY disc DESC, gram LIMIT 20""",
        "disc class_0 class_1 class_2")
 def term_disc(t):

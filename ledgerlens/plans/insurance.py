@@ -43,7 +43,7 @@ class Fitted:
             *[F.avg(F.col(c).isNull().cast("double")).alias(f"miss__{c}") for c in columns],
             *[S.sample_skew(F.greatest(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))).alias(f"skew__{c}") for c in groups["car_cont"]],
         ))
-        levels = only_row(train.agg(*[F.approx_count_distinct(c).alias(c) for c in self.modes_for])) if self.modes_for else None
+        levels = only_row(train.agg(*[F.count_distinct(F.col(c)).alias(c) for c in self.modes_for])) if self.modes_for else None
         self.flagged = [c for c in columns if row.value(f"miss__{c}") > flag_rate]
         self.logged = groups["reg"] + [c for c in groups["car_cont"] if (row.value(f"skew__{c}") or 0) > skewed]
         self.encoded = [c for c in self.modes_for if levels.value(c) > many_levels]

@@ -38,12 +38,13 @@ NUDGE = 1.000000000001
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Round doubles, the larger ones to fewer digits, so that the order of additions does not show."""
+    """Round doubles to some significant digits, so that the order of additions does not show and small values stay."""
 
     def rounded(name: str):
         x = F.col(f"`{name}`").cast("double") * NUDGE
         size = F.abs(x)
-        steps = F.when(size >= 1e6, F.round(x, 2)).when(size >= 1e3, F.round(x, 4)).otherwise(F.round(x, DIGITS))
+        steps = F.when(size >= 1e6, F.round(x, 2)).when(size >= 1e3, F.round(x, 4)).when(size >= 1e-2, F.round(x, DIGITS))
+        steps = steps.when(size >= 1e-5, F.round(x, DIGITS + 3)).otherwise(F.round(x, DIGITS + 5))
         return (steps + F.lit(0.0)).alias(name)
 
     return df.select(
@@ -62,7 +63,8 @@ def settled_sql(sql: str, doubles: Sequence[str]) -> str:
         x = f'CAST("{d}" AS DOUBLE)*CAST({NUDGE} AS DOUBLE)'
         return (
             f'CASE WHEN abs({x})>=1e6 THEN round({x}, 2) WHEN abs({x})>=1e3 THEN round({x}, 4) '
-            f'ELSE round({x}, {DIGITS}) END + 0.0::DOUBLE AS "{d}"'
+            f"WHEN abs({x})>=1e-2 THEN round({x}, {DIGITS}) WHEN abs({x})>=1e-5 THEN round({x}, {DIGITS + 3}) "
+            f'ELSE round({x}, {DIGITS + 5}) END + 0.0::DOUBLE AS "{d}"'
         )
 
     return f"SELECT * REPLACE ({', '.join(rounded(d) for d in doubles)}) FROM (\n{sql.strip()}\n) AS result"

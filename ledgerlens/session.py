@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,16 +27,13 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the folder the cluster names.
+    """Reliable checkpoint into the folder the cluster names: computed once, then read.
 
-    ``spark.checkpoint.dir`` is a shared folder on a cluster. Without it the
-    plan is returned as it is: a machine-local folder would not survive the
-    loss of an executor, and recomputing is always correct.
+    ``spark.checkpoint.dir`` is a shared folder on a cluster. Only where it is
+    unset, on a single machine as in tests, a temporary folder takes its place.
     """
     spark = df.sparkSession
-    folder = spark.conf.get(CHECKPOINT_SETTING, None)
-    if not folder:
-        return df
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+        folder = spark.conf.get(CHECKPOINT_SETTING, None)
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ledgerlens-checkpoint-"))
     return df.checkpoint(eager=True)

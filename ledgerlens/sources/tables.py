@@ -101,8 +101,8 @@ def write_table(df: DataFrame, path: str, by: Sequence[str] = (), mode: str = "o
 
 
 def write_report(df: DataFrame, path: str) -> None:
-    """A small aggregate as one CSV file with a header."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """A small aggregate as one CSV file with a header; only its rows meet in one task, not the work before."""
+    df.repartition(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_stats(stats: Mapping[str, DataFrame], folder: str) -> None:
@@ -119,6 +119,8 @@ def read_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]
     """The written table if there is one, else build and write it."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise  # a table that can't be read is not one that isn't there
         build().write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
