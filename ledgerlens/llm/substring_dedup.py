@@ -307,12 +307,14 @@ def shared_passages(df: DataFrame, key: str = "doc_id", text: str = "text", leas
         return chains.select(F.col(name).alias("class"), "chain", F.lit(side).alias("side"), first.alias("first"), last.alias("last"))
 
     requests = request(0, "class", "b").union(request(1, "first_class", "a"))
-    counts = requests.groupBy("class").count()
-    dealt = requests.join(counts, "class").withColumn("part", F.pmod(F.xxhash64("chain"), F.ceil(F.col("count") / TOGETHER)))
+    # requests for one text are dealt into parts only where there are many; such texts are few, at most a TOGETHER-th
+    often = keep(requests.groupBy("class").count().where(F.col("count") > TOGETHER))
+    part = F.pmod(F.xxhash64("chain"), F.ceil(F.col("count") / TOGETHER))
+    dealt = requests.join(small(often), "class", "left").withColumn("part", F.coalesce(part, F.lit(0)))
     wanted = dealt.groupBy("class", "part").agg(F.collect_list(F.struct("chain", "side", "first", "last")).alias("wanted"))
     wanted = keep(wanted.join(classes.select("class", "row"), "class").select("row", "wanted"))
     # rows of one fingerprint have one text
-    cuts = keep(_cuts(rows.select("row", "text").join(small(wanted, 50_000), "row").select("text", "wanted")).dropDuplicates(["chain", "side"]))
+    cuts = keep(_cuts(rows.select("row", "text").join(wanted, "row").select("text", "wanted")).dropDuplicates(["chain", "side"]))
     left = cuts.where("side = 0").select("chain", F.col("first").alias("first_b"), "base", F.col("cut").alias("text_b"))
     right = cuts.where("side = 1").select("chain", F.col("first").alias("first_a"), F.col("cut").alias("text_a"))
     both = chains.join(left, "chain").join(right, "chain").select("class", "first_class", "b", "a", "first_b", "base", "text_b", "first_a", "text_a")
@@ -338,7 +340,7 @@ def remove_passages(df: DataFrame, found: DataFrame, key: str = "doc_id", text:
     """
     spans = keep(found.groupBy("row").agg(F.collect_set(F.struct("start_byte", "end_byte")).alias("__spans")).withColumnRenamed("row", "__row"))
     rest = other_columns(df, [text])
-    marked = df.withColumn("__row", F.xxhash64(f"`{key}`", f"`{text}`")).join(small(spans, 50_000), "__row", "left")
+    marked = df.withColumn("__row", F.xxhash64(f"`{key}`", f"`{text}`")).join(spans, "__row", "left")
     inner = marked.select(*rest, F.col(f"`{text}`").alias("__text"), "__spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
