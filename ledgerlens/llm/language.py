@@ -16,6 +16,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ EVIDENCE = 40
 #: Shorter texts are never rejected for their fit.
 REJECT_FROM = 100
 UNKNOWN = "und"
+#: Bytes of text scored at once; a longer document is scored alone.
+SLICE = 1 << 18
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -93,10 +96,9 @@ def count_grams(df: DataFrame, text: str, lang: str, order: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            frame = pd.DataFrame({"lang": batch.column(0).to_pandas(), "text": text_arrays(batch.column(1)).to_pandas()})
-            for name, part in frame.groupby("lang"):
-                texts = text_arrays(pa.array(part.text))
-                for start, end in slices(texts):
+            for name in pc.unique(batch.column(0)).to_pylist():
+                texts = text_arrays(batch.column(1).filter(pc.equal(batch.column(0), name)))
+                for start, end in slices(texts, SLICE):
                     chars, bounds, _ = characters(*utf8(texts, start, end), order)
                     at = _places(bounds, order)
                     for n in range(1, order + 1):
@@ -241,17 +243,20 @@ def predict(df: DataFrame, model: Model | None, text: str = "text", keep_text: b
     language by name. Columns of these names are replaced, others stay.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
-    inner = df.select(*other_columns(df, ADDED if keep_text else [*ADDED, text]), F.col(f"`{text}`").alias("__text"))
+    rest = other_columns(df, [*ADDED, text])
+    inner, place = df.select(*rest, F.col(f"`{text}`")), len(rest)
+    passed = place + keep_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            texts = text_arrays(batch.column(batch.num_columns - 1))
-            for start, end in slices(texts):
-                before = [c.slice(start, end - start) for c in batch.columns[:-1]]
-                yield pa.RecordBatch.from_arrays(before + judge(model, *utf8(texts, start, end)), [*batch.schema.names[:-1], *ADDED])
+            texts = text_arrays(batch.column(place))
+            names = [*batch.schema.names[:passed], *ADDED]
+            for start, end in slices(texts, SLICE):
+                before = [c.slice(start, end - start) for c in batch.columns[:passed]]
+                yield pa.RecordBatch.from_arrays(before + judge(model, *utf8(texts, start, end)), names)
 
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields[:-1]]
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields[:passed]]
     return inner.mapInArrow(run, ", ".join([*kept, "lang_pred string, score double, cross_entropy double, n_letters bigint, rejected boolean"]))
 
 
