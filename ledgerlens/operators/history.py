@@ -29,7 +29,7 @@ def velocity(
     see each other; by default the history runs across splits. A null key has
     no history.
     """
-    out = with_slice(df, ts)
+    out = with_slice(df, [ts, unique_id])
     added = []
     for i, (short, key) in enumerate(keys.items()):
         count = f"fe_{short}_txn_count"

@@ -7,9 +7,9 @@ small frame with at most ``slices`` rows per key carries totals from slice to
 slice. A key that holds a third of all rows is therefore spread over about a
 third of the slices.
 
-The edges come from ``approxQuantile``; they are literals in the plan, so a
-re-run task always sees the same slices. They only balance the work: every
-result is exact.
+The edges come from approximate quantiles; they are literals in the plan, so a
+re-run task always sees the same slices. A value that many rows share is cut on
+along the next order column. Edges only balance the work: every result is exact.
 """
 
 from __future__ import annotations
@@ -83,11 +83,64 @@ def assign_slices(df: DataFrame, columns: Mapping[str, str], edges: Mapping[str,
     return out.withColumns({columns[n]: F.col(columns[n]).cast("int") for n in names})
 
 
-def with_slice(df: DataFrame, order: str, slices: int | None = None) -> DataFrame:
-    """Add the ``_slice`` column for ``order``."""
-    number = order_number(df, order)
-    edges = slice_edges(df, {"_order": number}, slices or slice_count(df))
-    return assign_slices(df.withColumn("_order", number), {"_order": SLICE}, edges).drop("_order")
+def with_slice(df: DataFrame, order: str | Sequence[str], slices: int | None = None) -> DataFrame:
+    """Add the ``_slice`` column, which never decreases in the lexicographic order of the columns.
+
+    Edges are quantiles of the first column. A value that holds two edges or more gets a slice of its own, which is cut
+    again at quantiles of the next column, and so on, into as many pieces as it has edges: so neither a value that most
+    rows share nor a few of them make a large slice, unless rows are equal in all order columns.
+    """
+    order = [order] if isinstance(order, str) else list(order)
+    slices = slices or slice_count(df)
+    number = order_number(df, order[0])
+    edges = _repeated_edges(df, number, slices)
+    out = assign_slices(df.withColumn("_order", number), {"_order": SLICE}, {"_order": sorted(set(edges))}).drop("_order")
+    shared = {e: edges.count(e) for e in set(edges) if edges.count(e) > 1}
+    if not shared:
+        return out
+    # piece 2i: rows equal to the shared edge that opens slice i; 2i + 1: what else slice i holds
+    at_edge = number.isin(*shared)
+    out = out.withColumn(SLICE, F.when(at_edge, 2 * F.col(SLICE)).otherwise(2 * F.col(SLICE) + 1).cast("long"))
+    places = {r[0]: r[1] for r in out.where(at_edge).select(number.alias("v"), SLICE).distinct().collect()}  # a row an edge
+    pieces = {places[v]: n for v, n in shared.items() if v in places}
+    for name in order[1:]:
+        out, pieces = _cut_again(out, name, pieces, slices)
+        if not pieces:
+            break
+    return out
+
+
+def _repeated_edges(df: DataFrame, number: Column, slices: int) -> list[float]:
+    """Inner edges as found: a value that many rows share stands for several of them."""
+    steps = [i / slices for i in range(1, slices)]
+    return sorted(df.select(number.alias("_n")).approxQuantile("_n", steps, max(1e-4, 0.25 / slices)))
+
+
+def _cut_again(df: DataFrame, name: str, pieces: Mapping[int, int], slices: int) -> tuple[DataFrame, dict[int, int]]:
+    """Cut the slices in ``pieces`` (slice: wanted number) by another column; returns those that hold one value again.
+
+    All slices are renumbered by one factor, so that their order stays. The edges of all slices together are no more
+    than those of the whole table.
+    """
+    number = F.coalesce(order_number(df, name), F.lit(float("-inf")))
+    rows = df.where(F.col(SLICE).isin(*pieces)).select(SLICE, number.alias("_n"))
+    steps = F.array(*[F.lit(i / slices) for i in range(1, slices)])
+    found = rows.groupBy(SLICE).agg(F.percentile_approx("_n", steps, 100 * slices).alias("edges")).collect()
+    width = 2 * slices + 2
+    cut, again = F.lit(0), {}
+    for row in found:
+        wanted = pieces[row[0]]
+        edges = [row.edges[i * len(row.edges) // wanted] for i in range(1, wanted)] if wanted > 1 else []
+        inner = sorted(set(edges))
+        if not inner:
+            continue
+        below = F.size(F.filter(F.array(*[F.lit(e) for e in inner]), lambda e: e <= number))
+        shared = [e for e in inner if edges.count(e) > 1]
+        equal = number.isin(*shared) if shared else F.lit(False)
+        cut = F.when(F.col(SLICE) == row[0], F.when(equal, 2 * below).otherwise(2 * below + 1)).otherwise(cut)
+        for e in shared:
+            again[row[0] * width + 2 * (inner.index(e) + 1)] = edges.count(e)
+    return df.withColumn(SLICE, (F.col(SLICE) * width + cut).cast("long")), again
 
 
 _INPUT = {
@@ -116,14 +169,14 @@ def running(
     of the key) and ``previous`` (the input of the row before). ``order``
     must be unique within a key and its first column must not be null. Pass
     ``sliced=True`` when ``df`` already has a ``_slice`` column that agrees with
-    the first order column.
+    the order.
 
     One shuffle of the rows by (key, slice). What a slice inherits from
     earlier ones travels as one header row per cell that sorts before the
     cell's rows, so there is no join and null keys form a group of their own.
     """
     keys = list(keys)
-    base = df if sliced else with_slice(df, order[0], slices)
+    base = df if sliced else with_slice(df, order, slices)
     names = list(measures)
     inputs = {n: f"_in_{i}" for i, n in enumerate(names)}
     rows = base.select(

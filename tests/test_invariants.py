@@ -11,6 +11,7 @@ from ledgerlens.operators import models as L
 from ledgerlens.operators import neighbours as N
 from ledgerlens.operators import recommend as RC
 from ledgerlens.operators import splits as D
+from ledgerlens.operators import ordering
 from ledgerlens.operators.ordering import dense_index, positions, row_positions, running
 from ledgerlens.plans.catalog import QUERIES
 
@@ -194,3 +195,20 @@ def test_columns_and_filters_reach_the_scan(spark, folder):
 def test_flag_of_null_is_zero(spark):
     df = spark.createDataFrame([(None,)], "x int")
     assert df.select(S.flag(F.col("x") > 0)).first()[0] == 0
+
+
+def test_a_shared_value_is_cut_along_the_next_columns(spark):
+    rows = spark.range(40_000).select(
+        F.when(F.col("id") % 20 == 0, F.col("id")).otherwise(F.lit(7)).alias("v"), F.lit(1).alias("kind"), F.col("id").alias("row"), (F.col("id") % 3).alias("x")
+    )
+    sliced = ordering.with_slice(rows, ["v", "kind", "row"], 16)
+    sizes = [r["count"] for r in sliced.groupBy("_slice").count().collect()]
+    assert max(sizes) < 40_000 / 16 * 2.5 and len(sizes) >= 12
+    spans = sliced.groupBy("_slice").agg(F.min(F.struct("v", "kind", "row")).alias("a"), F.max(F.struct("v", "kind", "row")).alias("b")).orderBy("_slice").collect()
+    assert all(tuple(p.b) < tuple(q.a) for p, q in zip(spans, spans[1:]))
+    for down in (False, True):
+        got = ordering.running(rows, [], ["v", "kind", "row"], {"n": ("count", F.lit(1)), "s": ("sum", F.col("x"))}, descending=down, slices=16).collect()
+        total = 0
+        for i, r in enumerate(sorted(got, key=lambda r: (r.v, r.kind, r.row), reverse=down)):
+            total += r.x
+            assert (r.n, r.s) == (i + 1, total)
