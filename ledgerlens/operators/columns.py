@@ -179,3 +179,21 @@ def search_rows(df: DataFrame, text: str) -> DataFrame:
     """Rows of a small report in which any column contains the text, ignoring case."""
     cells = F.array(*[F.lower(F.col(c).cast("string")) for c in df.columns])
     return df.where(F.exists(cells, lambda x: F.contains(x, F.lit(text.lower()))))
+
+
+def sparse_columns(train: DataFrame, rate: float = 0.95) -> list[str]:
+    """Columns of which more than ``rate`` of the training rows are null, from one pass; none of an empty table."""
+    row = train.agg(F.count(F.lit(1)).alias("_n"), *[F.count(F.col(f"`{c}`")).alias(c) for c in train.columns]).first()
+    return [c for c in train.columns if row["_n"] and row["_n"] - row[c] > rate * row["_n"]]
+
+
+def drop_sparse(df: DataFrame, sparse: Sequence[str]) -> DataFrame:
+    """Leave out the columns found on the training split."""
+    return df.drop(*sparse)
+
+
+def column_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Columns that are kept, removed and engineered between two frames, in long form."""
+    old, new = before.columns, after.columns
+    rows = [("kept", c) for c in old if c in new] + [("removed", c) for c in old if c not in new] + [("engineered", c) for c in new if c not in old]
+    return before.sparkSession.createDataFrame(rows, "kind string, column string")

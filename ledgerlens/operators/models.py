@@ -11,9 +11,9 @@ import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import classification as mc
 from pyspark.ml import regression as mr
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.feature import IDF, PCA, HashingTF, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import metrics as M
@@ -225,3 +225,28 @@ def as_vector(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, array_to_vector(F.col(column).cast("array<double>")))
 
 
+
+
+def monotonicity(scored: DataFrame, features: Sequence[str], score: str, bins: int = 10) -> DataFrame:
+    """Mean score by equal-width bins (from 0 to the largest value) of features that should not lower it.
+
+    ``violates`` marks bins whose mean is below that of the bin before. Spark's trees take no monotone constraints, so a
+    model is checked after fitting instead. Rows without a value are left out.
+    """
+    tops = only_row(scored.agg(*[F.max(c).alias(c) for c in features]))
+    out = None
+    for c in features:
+        place = F.least(F.floor(F.col(c) * bins / tops.getField(c)), F.lit(bins - 1)).cast("int")
+        means = scored.where(F.col(c).isNotNull()).groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean_score"))
+        before = F.lag("mean_score").over(Window.partitionBy(F.lit(c)).orderBy("bin"))  # a row a bin
+        part = means.select(F.lit(c).alias("feature"), "bin", "n", "mean_score", F.coalesce(F.col("mean_score") < before, F.lit(False)).alias("violates"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def term_bayes(tokens: str, label: str, width: int = 1 << 14) -> Pipeline:
+    """Complement naive Bayes on hashed term frequencies times inverse document frequencies."""
+    counts = HashingTF(inputCol=tokens, outputCol="_tf", numFeatures=width)
+    weighted = IDF(inputCol="_tf", outputCol="_tfidf", minDocFreq=2)
+    bayes = mc.NaiveBayes(featuresCol="_tfidf", labelCol=label, modelType="complement")
+    return Pipeline(stages=[counts, weighted, bayes])

@@ -430,3 +430,14 @@ def narrow_integers(df: DataFrame) -> DataFrame:
         if fits:
             casts[c] = F.col(c).cast(fits)
     return df.withColumns(casts) if casts else df
+
+
+def category_values(df: DataFrame, columns: Sequence[str], most: int = 10) -> DataFrame:
+    """Number of different values of each column, and the first of them in order."""
+    pieces = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in columns])).alias("x")
+    values = df.select(pieces).select("x.*").where("v is not null").distinct()
+    place = F.row_number().over(Window.partitionBy("column").orderBy("v"))
+    first = values.withColumn("_i", place).where(F.col("_i") <= most)  # Spark keeps so many a task before the shuffle
+    sizes = values.groupBy("column").agg(F.count(F.lit(1)).alias("n_values"))
+    listed = first.groupBy("column").agg(F.array_join(F.array_sort(F.collect_list("v")), ", ").alias("values"))
+    return sizes.join(listed, "column")

@@ -197,3 +197,10 @@ def log_aggregate(df: DataFrame, user: str, means: Sequence[str], sums: Sequence
         *[F.avg(c).alias(f"{c}_mean") for c in means],
         *[F.sum(c).alias(f"{c}_sum") for c in sums],
     )
+
+
+def buy_ratio(trades: DataFrame, category: str, side: str, buy: str = "Buy") -> DataFrame:
+    """Number of trades and share of purchases by category."""
+    return trades.groupBy(F.col(category).alias("category")).agg(
+        F.count(F.lit(1)).alias("n_trades"), F.avg((F.col(side) == buy).cast("double")).alias("buy_ratio")
+    )

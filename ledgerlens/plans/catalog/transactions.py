@@ -64,7 +64,7 @@ def calendar_parts(t):
     return C.calendar_parts(t.events.select("event_id", "ts"), "ts", "2024-01-01").drop("ts")
 
 
-@query("event_time", "P6 S5", """
+@query("event_time", "P6", """
 SELECT o_orderkey, CAST(hour(e) AS INTEGER) AS event_hour, CAST(e AS DATE) AS event_date
 FROM (SELECT o_orderkey, TIMESTAMP '2017-12-01' + to_seconds(CAST(floor(o_totalprice*60) AS BIGINT)) AS e FROM orders)""")
 def event_time(t):

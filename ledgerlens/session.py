@@ -26,14 +26,18 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the folder the cluster names: computed once, then read.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``, shared by its executors.
 
-    ``spark.checkpoint.dir`` is a shared folder on a cluster. Only where it is
-    unset, on a single machine as in tests, a temporary folder takes its place.
+    Only where it is unset, on a single machine as in tests, a temporary folder takes its place.
     """
-    spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         folder = spark.conf.get(CHECKPOINT_SETTING, None)
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ledgerlens-checkpoint-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the shared folder: computed once, then read."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
