@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import SLICE_BYTES, other_columns, slices, text_arrays, utf8
+from ledgerlens.llm.common import SLICE_BYTES, other_columns, slices, text_arrays, tidy, utf8
 
 # The characters with Unicode's White_Space property.
 WHITE_SPACE = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -34,7 +34,7 @@ LETTER, NUMBER, OTHER, SPACE, JOIN, LONE, TWO, THREE = range(8)
 #: contraction still to come.
 CLOSED, IN_LETTERS, IN_NUMBERS, IN_OTHER, IN_SPACE, JOINED, ONE_LEFT, TWO_LEFT = range(8)
 BLOCK = 256
-CACHED_PIECES = 150_000
+CACHED_PIECES = 100_000
 #: Longest piece merged together with others; longer ones take a heap.
 SHORT = 64
 #: Rows decoded at once.
@@ -350,7 +350,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", ends:
 
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields[:-1])
     added = f"`{ids}` array<int>" + (f", `{ends}` array<int>" if ends else "")
-    return inner.mapInArrow(run, f"{out}, {added}" if out else added)
+    return inner.mapInArrow(tidy(run), f"{out}, {added}" if out else added)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -370,4 +370,4 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(decoded, pa.binary())], [*part.schema.names, out])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields)
-    return inner.mapInArrow(run, f"{fields}, `{out}` binary")
+    return inner.mapInArrow(tidy(run), f"{fields}, `{out}` binary")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,11 +42,23 @@ def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def words_of(text: str | bytes | None) -> list[bytes]:
-    """Words of a text: runs without ASCII white space."""
-    if text is None:
-        return []
-    return (text.encode() if isinstance(text, str) else text).split()
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A function of Arrow batches that gives freed memory back to the system when its task ends.
+
+    Spark reuses Python workers, and idle ones keep what their allocators hold.
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # in glibc only
+            if trim:
+                trim(0)
+
+    return wrapped
 
 
 def lowered(text: str | bytes | None) -> bytes:

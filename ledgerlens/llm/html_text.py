@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import other_columns, slices, text_arrays
+from ledgerlens.llm.common import other_columns, slices, text_arrays, tidy
 
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
@@ -251,4 +251,4 @@ def extract(df: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*before, pa.array(texts, pa.string())], [*batch.schema.names[:-1], out])
 
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields[:-1]]
-    return inner.mapInArrow(run, ", ".join([*kept, f"`{out}` string"]))
+    return inner.mapInArrow(tidy(run), ", ".join([*kept, f"`{out}` string"]))

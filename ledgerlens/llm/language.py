@@ -12,15 +12,18 @@ import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import mix, other_columns, slices, text_arrays, utf8
+from ledgerlens.llm.common import mix, other_columns, slices, text_arrays, tidy, utf8
+
+if TYPE_CHECKING:
+    import pandas as pd
 
 ORDER = 4
 #: Expected number of documents a language is learned from at most; a tenth of them calibrates the rejection.
@@ -257,7 +260,7 @@ def predict(df: DataFrame, model: Model | None, text: str = "text", keep_text: b
                 yield pa.RecordBatch.from_arrays(before + judge(model, *utf8(texts, start, end)), names)
 
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields[:passed]]
-    return inner.mapInArrow(run, ", ".join([*kept, "lang_pred string, score double, cross_entropy double, n_letters bigint, rejected boolean"]))
+    return inner.mapInArrow(tidy(run), ", ".join([*kept, "lang_pred string, score double, cross_entropy double, n_letters bigint, rejected boolean"]))
 
 
 def judge(model: Model | None, data: bytes, offsets: np.ndarray) -> list[pa.Array]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import keep, lowered, mix, slices, small, text_arrays
+from ledgerlens.llm.common import keep, lowered, mix, slices, small, text_arrays, tidy
 from ledgerlens.llm.components import components
 
 #: Words of a shingle.
@@ -114,7 +114,7 @@ def signatures(df: DataFrame, key: str, text: str, bands: int, rows: int) -> Dat
                 yield pa.RecordBatch.from_arrays(columns, ["key", "row", "digest", "n_shingles", "u", "v"])
 
     kind = df.schema[key].dataType.simpleString()
-    return inner.mapInArrow(run, f"key {kind}, row bigint, digest binary, n_shingles bigint, u array<bigint>, v array<bigint>")
+    return inner.mapInArrow(tidy(run), f"key {kind}, row bigint, digest binary, n_shingles bigint, u array<bigint>, v array<bigint>")
 
 
 def _lists(table: np.ndarray) -> pa.Array:
@@ -224,7 +224,7 @@ def confirmed(df: DataFrame, key: str, text: str, members: DataFrame, percent: i
                         members.append((d, b, t))
         yield from _found(cell, members, percent)
 
-    return cells.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high", "digest").mapInArrow(run, "a binary, b binary")
+    return cells.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high", "digest").mapInArrow(tidy(run), "a binary, b binary")
 
 
 def _found(cell, members, percent: int) -> Iterator[pa.RecordBatch]:

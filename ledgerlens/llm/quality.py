@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import other_columns, slices, text_arrays
+from ledgerlens.llm.common import other_columns, slices, text_arrays, tidy
 
 #: Signs counted by the base rules.
 SYMBOLS = "#*$%&|<>"
@@ -137,4 +137,4 @@ def quality(df: DataFrame, text: str = "text", most_lost: float = 0.4, cleaned:
 
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields[:-1]]
     types = ["bigint"] * 5 + ["boolean"] * 2 + ["bigint"] * 2 + ["string"]
-    return inner.mapInArrow(run, ", ".join(kept + [f"{n} {t}" for n, t in zip(names, types)]))
+    return inner.mapInArrow(tidy(run), ", ".join(kept + [f"{n} {t}" for n, t in zip(names, types)]))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import keep, lowered, mix, other_columns, slices, small, text_arrays
+from ledgerlens.llm.common import keep, lowered, mix, other_columns, slices, small, text_arrays, tidy
 from ledgerlens.llm.near_dedup import SHINGLE, shingle_hashes, word_hashes
 
 #: Neighbouring windows of which the smallest is a seed; a power of two.
@@ -87,7 +87,7 @@ def _seeds(rows: DataFrame, least: int) -> DataFrame:
                     ["h", "key", "class", "at"],
                 )
 
-    return rows.select("key", "class", "text").mapInArrow(run, f"h bigint, key {kind}, class bigint, at int")
+    return rows.select("key", "class", "text").mapInArrow(tidy(run), f"h bigint, key {kind}, class bigint, at int")
 
 
 def chain(here: np.ndarray, there: np.ndarray) -> list[list[int]]:
@@ -152,7 +152,7 @@ def _chains(pairs: DataFrame) -> DataFrame:
                 ints = pa.list_(pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(other), pa.array(b, ints), pa.array(a, ints)], ["class", "first_class", "b", "a"])
 
-    return pairs.mapInArrow(run, "class bigint, first_class bigint, b array<int>, a array<int>")
+    return pairs.mapInArrow(tidy(run), "class bigint, first_class bigint, b array<int>, a array<int>")
 
 
 def _cuts(wanted: DataFrame) -> DataFrame:
@@ -174,7 +174,7 @@ def _cuts(wanted: DataFrame) -> DataFrame:
                     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
-    return wanted.mapInArrow(run, "chain bigint, side int, first int, base bigint, cut string")
+    return wanted.mapInArrow(tidy(run), "chain bigint, side int, first int, base bigint, cut string")
 
 
 def word_edges(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -277,7 +277,7 @@ def _aligned(rows: DataFrame, least: int, similarity: float) -> DataFrame:
                 kinds = [pa.int64()] * 5 + [pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
-    return rows.mapInArrow(run, "class bigint, first_class bigint, start_byte bigint, end_byte bigint, n_words bigint, similarity double")
+    return rows.mapInArrow(tidy(run), "class bigint, first_class bigint, start_byte bigint, end_byte bigint, n_words bigint, similarity double")
 
 
 def shared_passages(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = PASSAGE, similarity: float = SIMILARITY) -> DataFrame:
@@ -351,7 +351,7 @@ def remove_passages(df: DataFrame, found: DataFrame, key: str = "doc_id", text:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(out, pa.string())], [*batch.schema.names[:-2], text])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields[:-2])
-    return inner.mapInArrow(run, f"{fields}, `{text}` string").select(*[f"`{c}`" for c in df.columns])
+    return inner.mapInArrow(tidy(run), f"{fields}, `{text}` string").select(*[f"`{c}`" for c in df.columns])
 
 
 def without(text: str, spans: list[dict]) -> str:

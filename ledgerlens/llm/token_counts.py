@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import other_columns, slices, text_arrays
+from ledgerlens.llm.common import other_columns, slices, text_arrays, tidy
 
 #: Characters of a chunk, and by how many a chunk runs into the next one at first.
 CHUNK, OVERLAP = 20_000, 200
@@ -110,4 +110,4 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", out: str = "n_tok
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.int64())], [*batch.schema.names[:-1], out])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields[:-1])
-    return inner.mapInArrow(run, f"{kept}, `{out}` bigint" if kept else f"`{out}` bigint")
+    return inner.mapInArrow(tidy(run), f"{kept}, `{out}` bigint" if kept else f"`{out}` bigint")
