@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerlens.session import cut_lineage
+
 SLICE = "_slice"
 
 
@@ -292,20 +294,42 @@ def rank_table(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     return ranked.select(*by, value, mean_rank.alias("_rank"), "_of")
 
 
+def rank_ladder(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Distinct (by, column, value) of numeric columns with their average rank and the group's count, in long form.
+
+    All columns go through one pass for the edges, one count and one running sum; no nulls.
+    """
+    by = list(by)
+    numbers = {f"_n{i}": F.col(c).cast("double") for i, c in enumerate(columns)}
+    rows = df.dropna(subset=by).select(*by, *[v.alias(k) for k, v in numbers.items()]) if by else df.select(*[v.alias(k) for k, v in numbers.items()])
+    edges = slice_edges(rows, {k: F.col(k) for k in numbers}, slice_count(df))
+    cut = assign_slices(rows, {k: f"_s{k}" for k in numbers}, edges)
+    pieces = F.array(*[F.struct(F.lit(c).alias("_column"), F.col(k).alias("_value"), F.col(f"_s{k}").alias(SLICE)) for c, k in zip(columns, numbers)])
+    counts = cut.select(*by, F.inline(pieces)).where("_value is not null and not isnan(_value)").groupBy(*by, "_column", SLICE, "_value").agg(F.count(F.lit(1)).alias("_ties"))
+    ranked = running(counts, [*by, "_column"], ["_value"], {"_upto": ("sum", F.col("_ties")), "_of": ("total", F.col("_ties"))}, sliced=True)
+    mean_rank = F.col("_upto") - F.col("_ties") + (F.col("_ties") + 1) / 2
+    return ranked.select(*by, "_column", "_value", mean_rank.alias("_rank"), "_of")
+
+
 def average_ranks(df: DataFrame, names: Mapping[str, str], by: Sequence[str] = (), pct: bool = True) -> DataFrame:
     """Add the rank of each column within ``by``, ties sharing their mean rank.
 
     ``pct`` divides by the number of non-null values. Null values and rows with
-    a null group get a null rank. Ranks are computed on distinct values and
-    joined back, so a value or group of any size costs one counter. Every rank
-    table starts from ``df`` itself: the plan grows by one join per column.
+    a null group get a null rank. Ranks are computed on distinct values, for
+    all numeric columns at once, and joined back, so a value or group of any
+    size costs one counter.
     """
     by = list(by)
-    out = df
+    out, rank = df, F.col("_rank") / F.col("_of") if pct else F.col("_rank")
+    exact = (T.DoubleType, T.FloatType, T.IntegerType, T.ShortType, T.ByteType)
+    together = [c for c in names if isinstance(df.schema[c].dataType, exact)]
+    ladder = cut_lineage(rank_ladder(df, together, by)) if len(together) > 1 else None
     for value, name in names.items():
-        rank = F.col("_rank") / F.col("_of") if pct else F.col("_rank")
-        table = rank_table(df, value, by).select(*by, value, rank.alias(name))
-        out = out.join(table, [*by, value], "left")
+        if ladder is not None and value in together:
+            own = ladder.where(F.col("_column") == value).select(*by, F.col("_value").cast(df.schema[value].dataType).alias(value), rank.alias(name))
+        else:
+            own = rank_table(df, value, by).select(*by, value, rank.alias(name))
+        out = out.join(own, [*by, value], "left")
     return out.select(*df.columns, *names.values())
 
 
