@@ -74,8 +74,7 @@ def nearest(queries: DataFrame, points: DataFrame, unique_id: str, vector: str,
     """The k nearest points of every query: query, neighbour, distance, rank; ties by id.
 
     ``same`` says that queries are themselves points and must not find
-    themselves. Vectors are arrays of doubles without nulls. Among more than k
-    points at distance 0 any k are returned.
+    themselves. Vectors are arrays of doubles without nulls.
     """
     width = len(points.select(vector).first()[0])
     direction = _direction(width, seed)
@@ -102,8 +101,17 @@ def nearest(queries: DataFrame, points: DataFrame, unique_id: str, vector: str,
     spread = _parts(spread, "_id", "_chunk", size, seed + 1)
     each = spread.join(parts, "_block").select("*", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
     more = _pairwise(each, pts, k, bounded=True)
-    settled = near.join(radius.where(F.col("_r") == 0).select("query"), "query", "left_semi")
-    return _best(more.unionByName(settled), k)
+    return _best(more.unionByName(_equal_points(asks, pts, radius.where(F.col("_r") == 0), k)), k)
+
+
+def _equal_points(asks: DataFrame, pts: DataFrame, settled: DataFrame, k: int) -> DataFrame:
+    """The equal points of smallest id for queries that have k of them: k + 1 rows a vector, whatever its number of points."""
+    by_id = Window.partitionBy("_v").orderBy("_id")
+    first = pts.select("_v", "_id").withColumn("_i", F.row_number().over(by_id))
+    first = first.where(F.col("_i") <= k + 1).select("_v", F.col("_id").alias("neighbour"))
+    asked = asks.select(F.col("_id").alias("query"), "_v", "_self").join(settled.select("query"), "query", "left_semi")
+    found = asked.join(first, "_v").where(~(F.col("_self") & (F.col("query") == F.col("neighbour"))))
+    return found.select("query", "neighbour", F.lit(0.0).alias("distance"))
 
 
 def _pairwise(asked: DataFrame, pts: DataFrame, k: int, bounded: bool) -> DataFrame:

@@ -212,3 +212,13 @@ def test_a_shared_value_is_cut_along_the_next_columns(spark):
         for i, r in enumerate(sorted(got, key=lambda r: (r.v, r.kind, r.row), reverse=down)):
             total += r.x
             assert (r.n, r.s) == (i + 1, total)
+
+
+def test_many_equal_points_are_taken_by_id(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(300)] + [(1000 + i, [float(i), 0.0]) for i in range(20)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    got = N.nearest(df, df, "vec_id", "v", 3, same=True, size=16).collect()
+    by = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        by.setdefault(r.query, []).append(r.neighbour)
+    assert by[0] == [1, 2, 3] and by[2] == [0, 1, 3] and all(by[i] == [0, 1, 2] for i in range(3, 300))
