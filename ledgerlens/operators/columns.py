@@ -193,7 +193,6 @@ def drop_sparse(df: DataFrame, sparse: Sequence[str]) -> DataFrame:
 
 
 def column_changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Columns that are kept, removed and engineered between two frames, in long form."""
-    old, new = before.columns, after.columns
-    rows = [("kept", c) for c in old if c in new] + [("removed", c) for c in old if c not in new] + [("engineered", c) for c in new if c not in old]
+    """Columns that are kept, new and dropped between two frames, in long form."""
+    rows = [(kind, c) for kind, names in compare_schemas(before, after).items() for c in names]
     return before.sparkSession.createDataFrame(rows, "kind string, column string")

@@ -109,7 +109,7 @@ def category_values(t):
     return P.category_values(t.orders, ["o_orderpriority", "o_orderstatus"])
 
 
-@query("new_columns", "F23", """SELECT 'engineered' AS kind, unnest(['doubled','log_price']) AS "column" UNION ALL SELECT 'kept', unnest(['o_orderkey','o_totalprice']) UNION ALL SELECT 'removed', 'o_custkey'""")
+@query("new_columns", "F23", """SELECT 'new' AS kind, unnest(['doubled','log_price']) AS "column" UNION ALL SELECT 'kept', unnest(['o_orderkey','o_totalprice']) UNION ALL SELECT 'dropped', 'o_custkey'""")
 def new_columns(t):
     """Which columns a step has kept, removed and made."""
     before = t.orders.select("o_orderkey", "o_totalprice", "o_custkey")

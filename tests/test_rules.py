@@ -186,3 +186,11 @@ def test_global_rank_of_unseen_values(spark):
     new = spark.createDataFrame([(1, 0.5), (2, 2.0), (3, 3.0), (4, 9.0), (5, None)], "id long, v double")
     out = H.apply_global_rank(new, H.fit_global_rank(train, "v"), "id", "v", "r")
     assert {r["id"]: r["r"] for r in out.collect()} == {1: 0.0, 2: 0.25, 3: 0.75, 4: 1.0, 5: 0.5}
+    assert P.student_p(None, 10) is None and P.student_p(1.0, -1) is None and P.student_p(None, 0) == 1.0
+    assert P.student_p(math.inf, 3) == 0.0
+
+
+def test_sparse_columns_are_found_on_training_rows(spark):
+    df = spark.createDataFrame([(i, None if i else 1.0, None if i % 2 else 1.0) for i in range(40)], "id long, few double, half double")
+    assert C.sparse_columns(df, 0.95) == ["few"] and C.sparse_columns(df.limit(0)) == []
+    assert C.drop_sparse(df, C.sparse_columns(df)).columns == ["id", "half"]

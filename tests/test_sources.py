@@ -1,5 +1,7 @@
 """Sources and sinks on small files."""
 
+import pytest
+
 from ledgerlens.operators import encode as E
 from ledgerlens.operators import columns as C
 from ledgerlens.operators.profile import narrow_integers
@@ -71,3 +73,10 @@ def test_narrow_integers_and_schema_tools(spark):
     groups = C.group_columns(["ps_ind_1_bin", "ps_ind_2", "x"], {"bin": ".*_bin", "ind": "ps_ind.*"})
     assert groups == {"bin": ["ps_ind_1_bin"], "ind": ["ps_ind_2"]}
     assert C.compare_schemas(df, df.drop("a").withColumn("e", df.b)) == {"kept": ["b", "c", "d"], "new": ["e"], "dropped": ["a"]}
+
+
+def test_a_table_that_cannot_be_read_is_not_rebuilt(spark, tmp_path):
+    (tmp_path / "part-0.parquet").write_text("not parquet")
+    with pytest.raises(Exception):
+        T.read_or_build(spark, str(tmp_path), lambda: spark.range(1)).collect()
+    assert (tmp_path / "part-0.parquet").read_text() == "not parquet"
