@@ -67,10 +67,12 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, and whether they decode to the same bytes."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    decoded = bpe.decode(bpe.encode(docs.select("doc_id", "text", "lang", "source", "n_chars"), path), path)
-    return decoded.select(
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    rows = docs.select("doc_id", "text", "lang", "source", "n_chars", digest.alias("digest"))
+    encoded = bpe.encode(rows, path, decoded="decoded", drop=True)
+    return encoded.select(
         "doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids",
-        (F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).alias("round_trip"),
+        (F.sha2("decoded", 256) == F.col("digest")).alias("round_trip"),
     )
 
 

@@ -198,6 +198,7 @@ class Merges(dict):
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
         self.ranks, self.pairs = ranks, Pairs(ranks)
+        self.tokens = {rank: token for token, rank in ranks.items()}
         self.bytes = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
 
     def learn(self, pieces: list[bytes]) -> None:
@@ -316,41 +317,54 @@ def encode_slice(data: bytes, offsets: np.ndarray, merges: Merges, lengths: np.n
     return ids, ends, np.diff(np.searchsorted(ends, offsets, side="right"))
 
 
-def _lists(counts: list[np.ndarray], values: list[np.ndarray]) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values), pa.int32()))
+def _lists(counts: np.ndarray, values: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", ends: str | None = None, drop: bool = False) -> DataFrame:
+def decoded_slice(ids: np.ndarray, stops: np.ndarray, counts: np.ndarray, merges: Merges) -> pa.Array:
+    """The bytes that the ids of each text stand for."""
+    joined = b"".join(map(merges.tokens.__getitem__, ids.tolist()))
+    offsets = np.concatenate([[0], stops])[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(joined)])
+
+
+def encode(
+    df: DataFrame, path: str, text: str = "text", ids: str = "ids", ends: str | None = None, decoded: str | None = None, drop: bool = False
+) -> DataFrame:
     """Add the token ids of every whole text, each piece encoded by itself, without special tokens.
 
     ``path`` is a file of base64 tokens and ranks that has all 256 bytes. A null or empty text has an empty list. With
-    ``ends`` the byte offset (in the text's UTF-8) at which each token ends is added too. Columns of these names are
-    replaced, others stay; with ``drop`` the text does not stay. The file is read on the driver and sent to the
+    ``ends`` the byte offset (in the text's UTF-8) at which each token ends is added too, with ``decoded`` the bytes that
+    the ids decode to, as :func:`decode` has them but in the same pass. Columns of these names are replaced, others stay;
+    with ``drop`` the text does not stay. The file is read on the driver and sent to the
     executors: a vocabulary, whose size does not depend on the data.
     """
     with open(path, "rb") as f:
         vocabulary = df.sparkSession.sparkContext.broadcast(f.read())
-    rest = other_columns(df, [ids, *([ends] if ends else []), *([text] if drop else [])])
-    inner = df.select(*rest, F.col(f"`{text}`").alias("__text"))
-    names = inner.columns[:-1]
+    added = [c for c in (ids, ends, decoded) if c]
+    inner = df.select(*other_columns(df, [*added, text]), F.col(f"`{text}`"))
+    names = inner.columns[:-1] if drop else inner.columns
+    place = len(inner.columns) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges, lengths = encoder(vocabulary.value)
         for batch in batches:
-            texts = text_arrays(batch.column(len(names)))
+            texts = text_arrays(batch.column(place))
             for start, end in slices(texts, SLICE_BYTES):
                 data, offsets = utf8(texts, start, end)
                 found, stops, counts = encode_slice(data, offsets, merges, lengths)
-                columns = [batch.column(i).slice(start, end - start) for i in range(len(names))] + [_lists([counts], [found])]
+                columns = [batch.column(i).slice(start, end - start) for i in range(len(names))] + [_lists(counts, found)]
                 if ends:
-                    columns.append(_lists([counts], [stops - np.repeat(offsets[:-1], counts)]))
-                yield pa.RecordBatch.from_arrays(columns, [*names, ids, *([ends] if ends else [])])
+                    columns.append(_lists(counts, stops - np.repeat(offsets[:-1], counts)))
+                if decoded:
+                    columns.append(decoded_slice(found, stops, counts, merges))
+                yield pa.RecordBatch.from_arrays(columns, [*names, *added])
                 merges.trim()
 
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields[:-1])
-    added = f"`{ids}` array<int>" + (f", `{ends}` array<int>" if ends else "")
-    return inner.mapInArrow(tidy(run), f"{out}, {added}" if out else added)
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields[: len(names)]]
+    kinds = [f"`{c}` {'binary' if c == decoded else 'array<int>'}" for c in added]
+    return inner.mapInArrow(tidy(run), ", ".join(kept + kinds))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:

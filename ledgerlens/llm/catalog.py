@@ -32,9 +32,8 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 def op1_bpe(spark, folder):
     """Token ids of every document and their way back, as digests."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe.encode(documents(spark, folder).select("doc_id", "text"), path, drop=True)
-    decoded = bpe.decode(encoded, path)
-    return decoded.select(
+    encoded = bpe.encode(documents(spark, folder).select("doc_id", "text"), path, decoded="decoded", drop=True)
+    return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
