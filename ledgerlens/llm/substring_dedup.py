@@ -230,30 +230,31 @@ def align(b: np.ndarray, a: np.ndarray, at_b: np.ndarray, at_a: np.ndarray) -> t
 def passages(places: np.ndarray, equal: np.ndarray, least: int = PASSAGE, similarity: float = SIMILARITY) -> list[tuple[int, int, float]]:
     """Stretches of an alignment, as (first place, last place, share of equal columns), that are long and alike enough.
 
-    A column gains what makes ``similarity`` break even; the stretch of the highest sum comes first, then what lies on
-    either side of it.
+    A column gains what makes ``similarity`` break even, so that a stretch is alike enough if its sum is not negative. Of
+    those with ``least`` own words that of the highest sum comes first, then what lies on either side of it; no other
+    such stretch lies beside the ones found.
     """
     gain = np.where(equal, 1 - similarity, -similarity)
+    own = np.concatenate([[0], np.cumsum(places >= 0)])
+    sums = np.concatenate([[0.0], np.cumsum(gain)])
     out, todo = [], [(0, len(gain))]
     while todo:
         low, high = todo.pop()
-        if high - low < least:
+        if own[high] - own[low] < least:
             continue
-        sums = np.concatenate([[0.0], np.cumsum(gain[low:high])])
-        rise = sums - np.minimum.accumulate(sums)
-        end = int(np.argmax(rise))
-        if rise[end] <= 0:
+        # for each end the last start that is far enough before it, and the lowest sum up to there
+        ends = np.arange(int(np.searchsorted(own, own[low] + least)), high + 1)
+        starts = np.searchsorted(own, own[ends] - least, side="right") - 1
+        rise = sums[ends] - np.minimum.accumulate(sums[low : high + 1])[starts - low]
+        best = int(np.argmax(rise))
+        if rise[best] < -1e-9:
             continue
-        start = int(np.argmin(sums[: end + 1]))
-        found = places[low + start : low + end]
-        own = found[found >= 0]
-        if len(own) < least:
-            # a shorter stretch has a lower sum, and longer ones are less alike
-            if end - start < least:
-                todo += [(low, low + start), (low + end, high)]
-            continue
-        out.append((int(own[0]), int(own[-1]), float(equal[low + start : low + end].mean())))
-        todo += [(low, low + start), (low + end, high)]
+        end = int(ends[best])
+        start = low + int(np.argmin(sums[low : starts[best] + 1]))
+        found = places[start:end]
+        found = found[found >= 0]
+        out.append((int(found[0]), int(found[-1]), float(equal[start:end].mean())))
+        todo += [(low, start), (end, high)]
     return out
 
 

@@ -124,6 +124,29 @@ def test_shared_passages(spark):
     assert left[4] == prose(5, 70) and left[9] == "" and left[1] == texts[1] and left[8] == texts[8]
 
 
+def test_passages_are_all_stretches_long_and_alike_enough():
+    import numpy as np
+
+    for parts in ((45, 3, 11), (40, 5, 15), (48, 2, 8)):
+        equal = np.repeat([True, False, True], parts)
+        assert substring_dedup.passages(np.arange(len(equal)), equal) == [(0, len(equal) - 1, equal.mean())]
+    rng = np.random.default_rng(5)
+    for case in range(300):
+        n = int(rng.integers(1, 60))
+        equal = rng.random(n) < rng.choice([0.6, 0.8, 0.95])
+        lone = ~equal & (rng.random(n) < 0.3)
+        places = np.where(lone, -1, np.cumsum(~lone) - 1)
+        at = {int(x): i for i, x in enumerate(places) if x >= 0}
+        found = substring_dedup.passages(places, equal, 10, 0.8)
+        free = np.ones(n, bool)
+        for x, y, share in found:
+            assert y - x + 1 >= 10 and share >= 0.8 - 1e-9 and free[at[x] : at[y] + 1].all()
+            free[at[x] : at[y] + 1] = False
+        whole = [(i, j) for i in range(n) for j in range(i + 1, n + 1) if (places[i:j] >= 0).sum() >= 10 and equal[i:j].mean() >= 0.8]
+        assert bool(whole) == bool(found), case
+        assert not any(free[i:j].all() for i, j in whole), case
+
+
 def test_passages_of_odd_documents(spark):
     rows = odd(spark)
     found = {(r.doc_id, r.first_doc_id, r.n_words) for r in substring_dedup.shared_passages(rows).collect()}
