@@ -1,9 +1,12 @@
 """Passages that documents share, exactly or nearly, by collinear chaining.
 
-Seeds are windows of five words, thinned to the smallest hash of every few neighbours, so that any common run of
-``SEED_SPAN`` + 4 words has a common seed. Each seed is joined to its first occurrence, by document; seeds that a document
-has in common with one other are chained in order, with a cost for gaps, by a Fenwick tree of prefix maxima. Texts around
-a chain are then aligned word by word, and stretches that agree well enough and are long enough are the passages.
+Exact runs: every window of 50 words has an anchor, the smallest of its five-word windows; where an anchor is shared, the
+windows are joined by anchor, offset and digest to the first document that has the whole window.
+
+Near ones: seeds are five-word windows, thinned to the smallest hash of every few neighbours. Each seed is joined to its
+first occurrence, by document; every occurrence of a seed that a document has in common with one other is chained in
+order, with a cost for gaps, by a Fenwick tree of prefix maxima. One seed is a chain. Texts around a chain are then aligned
+word by word, and stretches that agree well enough and are long enough are the passages.
 """
 
 from __future__ import annotations
@@ -16,14 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import keep, lowered, mix, other_columns, slices, small, text_arrays, tidy
-from ledgerlens.llm.near_dedup import SHINGLE, shingle_hashes, word_hashes
+from ledgerlens.llm.near_dedup import _POWER, SHINGLE, shingle_hashes, word_hashes
 
 #: Neighbouring windows of which the smallest is a seed; a power of two.
 SEED_SPAN = 16
 #: Shortest passage in words, and lowest share of its words that agree.
 PASSAGE, SIMILARITY = 50, 0.8
-#: Words that a chain's first and last seed are apart at least: an unbroken common run of PASSAGE words has that.
-REACH = PASSAGE - SHINGLE + 1 - 2 * SEED_SPAN
+#: Words after which an anchor on the diagonal of the one before is kept at the latest; the gain of a seed outweighs them.
+STEP = 32
 #: Gain of a seed, and loss for each word of a gap on either side, when seeds are chained.
 GAIN, LOSS = 16.0, 0.1
 #: Words on either side of a chain that are aligned too.
@@ -32,19 +35,16 @@ MARGIN = 64
 TOGETHER = 256
 
 
-def seed_places(words: np.ndarray, bounds: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, text and word place of the seeds of joined texts; texts of fewer than ``least`` words have none."""
-    hashes = shingle_hashes(words) if len(words) >= SHINGLE else np.zeros(0, np.uint64)
+def seed_places(hashes: np.ndarray, owner: np.ndarray, size: np.ndarray, least: int) -> np.ndarray:
+    """Places of the seeds among the shingles of joined texts; texts of fewer than ``least`` words have none."""
     n = len(hashes)
     if n < SEED_SPAN:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64)
     low, width = hashes, 1
     while width < SEED_SPAN:
         low = np.minimum(low[:-width], low[width:])
         width *= 2
-    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     last = np.arange(len(low)) + SEED_SPAN + SHINGLE - 2
-    size = np.diff(bounds)
     inside = (owner[: len(low)] == owner[last]) & (size[owner[: len(low)]] >= least)
     low = np.where(inside, low, np.uint64(0))
     high = np.concatenate([np.zeros(SEED_SPAN - 1, np.uint64), low, np.zeros(SEED_SPAN - 1, np.uint64)])
@@ -52,26 +52,37 @@ def seed_places(words: np.ndarray, bounds: np.ndarray, least: int) -> tuple[np.n
     while width < SEED_SPAN:
         high = np.maximum(high[:-width], high[width:])
         width *= 2
-    at = np.flatnonzero((high[:n] == hashes) & (hashes != 0))
-    return hashes[at] + repeats(hashes[at], owner[at]), owner[at], at - bounds[:-1][owner[at]]
+    return np.flatnonzero((high[:n] == hashes) & (hashes != 0))
 
 
-def repeats(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """A number to tell the second and later seeds of one hash in a text from the first: its count, mixed; 0 at first.
+def run_windows(hashes: np.ndarray, owner: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, anchor and digest of every window of ``least`` words inside one of the joined texts.
 
-    So repeated stretches are matched in order, not all to one place.
+    The anchor is the place of the window's smallest shingle, the first of equal ones. Starts and anchors ascend.
     """
-    order = np.lexsort((hashes, owner))
-    new = np.ones(len(order), bool)
-    new[1:] = (hashes[order[1:]] != hashes[order[:-1]]) | (owner[order[1:]] != owner[order[:-1]])
-    place = np.arange(len(order))
-    count = np.zeros(len(order), np.uint64)
-    count[order] = place - np.maximum.accumulate(np.where(new, place, 0))
-    return np.where(count > 0, mix(count), np.uint64(0))
-
-
-def _seeds(rows: DataFrame, least: int) -> DataFrame:
-    """``h``, ``key``, ``class``, ``at`` of every seed."""
+    width, n = least - SHINGLE + 1, len(owner) - least + 1
+    if n <= 0 or width <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def lower(places: np.ndarray, by: int) -> np.ndarray:
+        one, other = places[: len(places) - by], places[by:]
+        return np.where(hashes[other] < hashes[one], other, one)
+
+    anchor, span = np.arange(len(hashes)), 1
+    while 2 * span <= width:
+        anchor, span = lower(anchor, span), 2 * span
+    if span < width:
+        anchor = lower(anchor, width - span)
+    digest = np.zeros(n, np.uint64)
+    for k in [*range(0, least - SHINGLE, SHINGLE), least - SHINGLE]:
+        digest = digest * _POWER + hashes[k : k + n]
+    starts = np.flatnonzero(owner[:n] == owner[least - 1 :])
+    return starts, anchor[starts], (mix(digest[starts]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def _seeds(rows: DataFrame, least: int, windows: bool) -> DataFrame:
+    """``h``, ``key``, ``class``, ``at`` of every seed; with ``windows`` also the digests of the windows it anchors, and how
+    many words before it the first of them starts."""
     kind = rows.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,14 +91,74 @@ def _seeds(rows: DataFrame, least: int) -> DataFrame:
             for start, end in slices(texts):
                 low = [lowered(t) for t in texts.slice(start, end - start).to_pylist()]
                 offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, low), np.int64, len(low)))])
-                h, owner, at = seed_places(*word_hashes(b"".join(low), offsets), least)
-                place = pa.array(owner + start)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), batch.column(0).take(place), batch.column(1).take(place), pa.array(at.astype(np.int32))],
-                    ["h", "key", "class", "at"],
-                )
+                words, bounds = word_hashes(b"".join(low), offsets)
+                if len(words) < SHINGLE:
+                    continue
+                hashes, size = shingle_hashes(words), np.diff(bounds)
+                owner = np.repeat(np.arange(len(size)), size)
+                first, anchor, digest = run_windows(hashes, owner, least)
+                new = np.flatnonzero(np.diff(anchor, prepend=-1))
+                at = np.union1d(seed_places(hashes, owner, size, least), anchor[new])
+                place = pa.array(owner[at] + start)
+                columns = [pa.array(hashes[at].view(np.int64)), batch.column(0).take(place), batch.column(1).take(place)]
+                columns.append(pa.array((at - bounds[:-1][owner[at]]).astype(np.int32)))
+                if windows:
+                    held = np.searchsorted(at, anchor[new])
+                    back, count = np.zeros(len(at), np.int32), np.zeros(len(at), np.int32)
+                    back[held], count[held] = anchor[new] - first[new], np.diff(new, append=len(anchor))
+                    ends = np.concatenate([np.zeros(1, np.int32), np.cumsum(count, dtype=np.int32)])
+                    columns += [pa.array(back), pa.ListArray.from_arrays(pa.array(ends), pa.array(digest))]
+                yield pa.RecordBatch.from_arrays(columns, ["h", "key", "class", "at", "back", "digests"][: len(columns)])
+
+    more = ", back int, digests array<int>" if windows else ""
+    return rows.select("key", "class", "text").mapInArrow(tidy(run), f"h bigint, key {kind}, class bigint, at int{more}")
+
+
+def _exact(shared: DataFrame, least: int) -> DataFrame:
+    """``class``, ``first_class``, ``first``, ``last``: words of a class that lie in runs the other class has before it."""
+    placed = shared.where(F.size("digests") > 0).select("h", "key", "class", "at", "back", F.posexplode("digests").alias("n", "digest"))
+    start = (F.col("at") - F.col("back") + F.col("n")).alias("start")
+    windows = placed.select(F.xxhash64("h", F.col("back") - F.col("n"), "digest").alias("window"), "key", "class", start)
+    firsts = windows.groupBy("window").agg(
+        F.min(F.struct("key", "class")).alias("first"), F.min("class").alias("x"), F.max("class").alias("y")
+    ).where("x != y").select("window", F.col("first.class").alias("first_class"))
+    known = windows.select("window", "class", "start").join(firsts, "window").where("class != first_class")
+    starts = known.groupBy("class", "first_class").agg(F.sort_array(F.collect_set("start")).alias("starts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for own, other, at in zip(*(c.to_pylist() for c in batch.columns)):
+                cuts = np.flatnonzero(np.diff(at) > 1)
+                firsts, lasts = np.array(at)[np.concatenate([[0], cuts + 1])], np.array(at)[np.concatenate([cuts, [-1]])]
+                out += [(own, other, int(x), int(y) + least) for x, y in zip(firsts, lasts)]
+            if out:
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["class", "first_class", "first", "last"])
 
-    return rows.select("key", "class", "text").mapInArrow(tidy(run), f"h bigint, key {kind}, class bigint, at int")
+    return starts.mapInArrow(tidy(run), "class bigint, first_class bigint, first int, last int")
+
+
+def thinned(here: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors without those that say nothing new, sorted.
+
+    Where one place of the other text recurs within fewer words than a seed has (runs of a short period), one anchor in
+    PASSAGE words stays. Of unbroken anchors on one diagonal the first, the last and one in STEP words stay.
+    """
+    for by, gap, step, ends in ((there, SHINGLE, PASSAGE, False), (None, STEP, STEP, True)):
+        group = here - there if by is None else by
+        order = np.lexsort((here, group))
+        here, there, group = here[order], there[order], group[order]
+        new = np.ones(len(here), bool)
+        new[1:] = (group[1:] != group[:-1]) | (np.diff(here) >= gap)
+        part = (here - here[np.maximum.accumulate(np.where(new, np.arange(len(here)), 0))]) // step
+        stays = new.copy()
+        stays[1:] |= part[1:] != part[:-1]
+        if ends:
+            stays |= np.append(new[1:], True)
+        here, there = here[stays], there[stays]
+    order = np.lexsort((there, here))
+    return here[order], there[order]
 
 
 def chain(here: np.ndarray, there: np.ndarray) -> list[list[int]]:
@@ -134,19 +205,14 @@ def chain(here: np.ndarray, there: np.ndarray) -> list[list[int]]:
 
 
 def _chains(pairs: DataFrame) -> DataFrame:
-    """Chains of each pair of classes that reach far enough."""
+    """Chains of each pair of classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for own, other, anchors in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if len(anchors) < 2:
-                    continue
-                table = np.array([(x["at"], x["first_at"]) for x in anchors], np.int64)
-                for links in chain(table[:, 0], table[:, 1]):
-                    b, a = table[links, 0], table[links, 1]
-                    if min(b[-1] - b[0], a[-1] - a[0]) >= REACH:
-                        out.append((own, other, b.tolist(), a.tolist()))
+                here, there = thinned(*(np.array([x[c] for x in anchors], np.int64) for c in ("at", "first_at")))
+                out += [(own, other, here[links].tolist(), there[links].tolist()) for links in chain(here, there)]
             if out:
                 own, other, b, a = zip(*out)
                 ints = pa.list_(pa.int32())
@@ -156,7 +222,8 @@ def _chains(pairs: DataFrame) -> DataFrame:
 
 
 def _cuts(wanted: DataFrame) -> DataFrame:
-    """Cut requested stretches of words out of texts: chain, side, raw text from the first to the last word, its byte offset."""
+    """Cut requested stretches of words out of texts: chain, side, raw text from the first to the last word (not of
+    side 2), where it starts and ends in bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,13 +235,13 @@ def _cuts(wanted: DataFrame) -> DataFrame:
                     first, last = max(0, x["first"]), min(len(starts), x["last"]) - 1
                     if first <= last:
                         base, stop = int(starts[first]), int(ends[last])
-                        out.append((x["chain"], x["side"], first, base, raw[base:stop].decode()))
+                        out.append((x["chain"], x["side"], first, base, stop, raw[base:stop].decode() if x["side"] < 2 else ""))
                 if out:
-                    names = ["chain", "side", "first", "base", "cut"]
-                    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string()]
+                    names = ["chain", "side", "first", "base", "stop", "cut"]
+                    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
-    return wanted.mapInArrow(tidy(run), "chain bigint, side int, first int, base bigint, cut string")
+    return wanted.mapInArrow(tidy(run), "chain bigint, side int, first int, base bigint, stop bigint, cut string")
 
 
 def word_edges(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -286,7 +353,9 @@ def shared_passages(df: DataFrame, key: str = "doc_id", text: str = "text", leas
 
     Columns: ``key``, ``row`` (fingerprint of key and text), ``first_<key>`` (a document that has it before),
     ``start_byte`` and ``end_byte`` (in the text's UTF-8, from the first to the last word), ``n_words``, ``similarity``.
-    Passages have at least ``least`` words, of which ``similarity`` agree, A-Z lower-cased. A document found to share
+    Passages have at least ``least`` words, of which ``similarity`` agree, A-Z lower-cased. All
+    words in a run of ``least`` that an earlier document has are in some row; overlapping runs of one earlier document are
+    joined. Near passages are found where they share a seed with the document that has it first. A document found to share
     passages with several earlier ones has rows for each, which may overlap. Of documents with equal texts all but the
     first have one row that covers the whole text, if it is long enough; only the first is compared with others. Null
     and shorter texts, and rows with a null key, have no row; rows equal in key and text count as one document.
@@ -295,11 +364,12 @@ def shared_passages(df: DataFrame, key: str = "doc_id", text: str = "text", leas
         F.col(f"`{key}`").alias("key"), F.xxhash64(f"`{key}`", f"`{text}`").alias("row"), F.xxhash64(f"`{text}`").alias("class"), F.col(f"`{text}`").alias("text")
     )
     classes = keep(rows.groupBy("class").agg(F.min(F.struct("key", "row")).alias("first")).select("class", "first.*"))
-    seeds = _seeds(rows, least)
-    firsts = seeds.groupBy("h").agg(
+    firsts = _seeds(rows, least, False).groupBy("h").agg(
         F.min(F.struct("key", "class", "at")).alias("first"), F.min("class").alias("x"), F.max("class").alias("y")
     ).where("x != y").select("h", F.col("first.class").alias("first_class"), F.col("first.at").alias("first_at"))
-    anchors = seeds.select("h", "class", "at").join(firsts, "h").where("class != first_class")
+    shared = keep(_seeds(rows, least, True).join(firsts, "h"))
+    runs = keep(_exact(shared, least).withColumn("chain", F.xxhash64("class", "first_class", "first", "last")))
+    anchors = shared.where("class != first_class")
     pairs = anchors.groupBy("class", "first_class").agg(F.collect_set(F.struct("at", "first_at")).alias("anchors"))
     chains = keep(_chains(pairs).withColumn("chain", F.xxhash64("class", "first_class", "b", "a")))
 
@@ -308,6 +378,7 @@ def shared_passages(df: DataFrame, key: str = "doc_id", text: str = "text", leas
         return chains.select(F.col(name).alias("class"), "chain", F.lit(side).alias("side"), first.alias("first"), last.alias("last"))
 
     requests = request(0, "class", "b").union(request(1, "first_class", "a"))
+    requests = requests.union(runs.select("class", "chain", F.lit(2).alias("side"), "first", "last"))
     # requests for one text are dealt into parts only where there are many; such texts are few, at most a TOGETHER-th
     often = keep(requests.groupBy("class").count().where(F.col("count") > TOGETHER))
     part = F.pmod(F.xxhash64("chain"), F.ceil(F.col("count") / TOGETHER))
@@ -319,7 +390,11 @@ def shared_passages(df: DataFrame, key: str = "doc_id", text: str = "text", leas
     left = cuts.where("side = 0").select("chain", F.col("first").alias("first_b"), "base", F.col("cut").alias("text_b"))
     right = cuts.where("side = 1").select("chain", F.col("first").alias("first_a"), F.col("cut").alias("text_a"))
     both = chains.join(left, "chain").join(right, "chain").select("class", "first_class", "b", "a", "first_b", "base", "text_b", "first_a", "text_a")
-    found = _aligned(both, least, similarity)
+    alike = _aligned(both, least, similarity)
+    places = cuts.where("side = 2").select("chain", F.col("base").alias("start_byte"), F.col("stop").alias("end_byte"))
+    size = (F.col("last") - F.col("first")).cast("long").alias("n_words")
+    equal = runs.join(places, "chain").select("class", "first_class", "start_byte", "end_byte", size, F.lit(1.0).alias("similarity"))
+    found = alike.union(equal)
     owner = classes.select("class", "key", "row")
     earlier = classes.select(F.col("class").alias("first_class"), F.col("key").alias("first_key"))
     partial = found.join(owner, "class").join(earlier, "first_class").select(

@@ -147,6 +147,24 @@ def test_passages_are_all_stretches_long_and_alike_enough():
         assert not any(free[i:j].all() for i, j in whole), case
 
 
+def spans_of(spark, rows):
+    spans = defaultdict(list)
+    for x in substring_dedup.shared_passages(documents(spark, rows)).collect():
+        spans[x.doc_id].append((x.start_byte, x.end_byte))
+    return spans
+
+
+def test_runs_whose_parts_earlier_documents_have(spark):
+    rows, n = [], 20
+    for i in range(n):
+        w = prose(1000 + i, 60).split()
+        parts = [w[:40], w[:30], w[30:], w, w]
+        rows += [(100 * k + i, " ".join([prose(2000 + 10 * i + k, 30), *x, prose(3000 + 10 * i + k, 30)])) for k, x in enumerate(parts)]
+    spans, texts = spans_of(spark, rows), dict(rows)
+    for i in range(n):
+        assert set(range(30, 90)) <= covered(texts[400 + i], spans[400 + i])
+
+
 def test_passages_of_odd_documents(spark):
     rows = odd(spark)
     found = {(r.doc_id, r.first_doc_id, r.n_words) for r in substring_dedup.shared_passages(rows).collect()}
