@@ -165,6 +165,19 @@ def test_runs_whose_parts_earlier_documents_have(spark):
         assert set(range(30, 90)) <= covered(texts[400 + i], spans[400 + i])
 
 
+def test_every_copy_inside_a_document_is_found(spark):
+    passage = prose(70, 60)
+    w = passage.split()
+    rows = [(1, prose(1, 30) + " " + passage), (2, " ".join([passage, prose(2, 30), passage, prose(3, 30), passage]))]
+    rows += [(3, " ".join([*w[:30], prose(4, 20), *w[20:50], prose(5, 20), passage])), (4, "of " * 200), (5, prose(6, 20) + " of" * 300)]
+    near = edited(passage, random.Random(9), 0.05)
+    rows += [(6, near + " " + prose(7, 30) + " " + near)]
+    spans, texts = spans_of(spark, rows), dict(rows)
+    assert {*range(60), *range(90, 150), *range(180, 240)} <= covered(texts[2], spans[2])
+    assert set(range(100, 160)) <= covered(texts[3], spans[3]) and set(range(20, 320)) <= covered(texts[5], spans[5])
+    assert len(covered(texts[6], spans[6]) & {*range(60), *range(90, 150)}) >= 110
+
+
 def test_passages_of_odd_documents(spark):
     rows = odd(spark)
     found = {(r.doc_id, r.first_doc_id, r.n_words) for r in substring_dedup.shared_passages(rows).collect()}
