@@ -22,7 +22,7 @@ from ledgerlens.llm.common import keep, lowered, mix, other_columns, slices, sma
 from ledgerlens.llm.near_dedup import _POWER, SHINGLE, shingle_hashes, word_hashes
 
 #: Neighbouring windows of which the smallest is a seed; a power of two.
-SEED_SPAN = 16
+SEED_SPAN = 4
 #: Shortest passage in words, and lowest share of its words that agree.
 PASSAGE, SIMILARITY = 50, 0.8
 #: Words after which an anchor on the diagonal of the one before is kept at the latest; the gain of a seed outweighs them.

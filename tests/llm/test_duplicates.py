@@ -178,6 +178,25 @@ def test_every_copy_inside_a_document_is_found(spark):
     assert len(covered(texts[6], spans[6]) & {*range(60), *range(90, 150)}) >= 110
 
 
+def test_recall_of_near_passages(spark):
+    rng, rows, planted, wanted = random.Random(2), [], 0, {}
+    for share, least in ((0.05, 0.99), (0.1, 0.99), (0.15, 0.97), (0.2, 0.9)):
+        for size in (50, 60, 80, 100):
+            for _ in range(50):
+                planted += 1
+                w = prose(5000 + planted, size).split()
+                near = list(w)
+                for k in rng.sample(range(size), int(share * size)):
+                    near[k] = f"edit{rng.randrange(10**6)}"
+                rows += [(planted, " ".join([prose(7000 + planted, 20), *w, prose(9000 + planted, 20)]))]
+                rows += [(10_000 + planted, " ".join([prose(11_000 + planted, 20), *near, prose(13_000 + planted, 20)]))]
+                wanted.setdefault((share, least), []).append(10_000 + planted)
+    found = {x.doc_id for x in substring_dedup.shared_passages(documents(spark, rows)).collect()}
+    recall = {share: sum(k in found for k in keys) / len(keys) for (share, _), keys in wanted.items()}
+    print("recall", recall)
+    assert all(recall[share] >= least for share, least in wanted), recall
+
+
 def test_passages_of_odd_documents(spark):
     rows = odd(spark)
     found = {(r.doc_id, r.first_doc_id, r.n_words) for r in substring_dedup.shared_passages(rows).collect()}
