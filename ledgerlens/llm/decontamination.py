@@ -5,8 +5,9 @@ meet in a multi-index: the 64 bits are cut into one block more than the radius,
 radius agree in at least one block. Pairs within the radius are confirmed by the similarity of their weighted shingles.
 
 Windows are only placed where they can be confirmed at all: at least the wanted share of an item's shingles must occur
-in the document, and a window starts where a common shingle puts the item's start. That leaves out nothing, as a window
-of that similarity holds that share of the item's shingles.
+in the window. They start at a common shingle, or where one puts the item's start. That leaves out nothing, whatever the
+order of the passage: a window that starts with a shingle the item lacks can be moved on without losing a common one, up
+to the document's end.
 """
 
 from __future__ import annotations
@@ -90,19 +91,27 @@ def find_leaks(
     found = F.array(*[shingles(F.col("w"), k) for k in sizes or [SHINGLE]])
     places = spread.select("row", F.explode(found).alias("hashes")).select("row", F.posexplode("hashes").alias("at", "h"))
     hits = places.join(small(offsets), "h")
-    starts = hits.groupBy("row", "item", "n", "m", (F.col("at") - F.col("offset")).alias("start")).agg(F.count(F.lit(1)).alias("hits"))
-    starts = keep(starts)
-    # a hit counts once for each offset of its shingle in the item, so that the sum is no less than the common weight
-    enough = starts.groupBy("row", "item").agg(F.sum("hits").alias("hits"), F.max("m").alias("m")).where(
-        F.col("hits") >= similarity * F.col("m") - 1e-9
+    pairs = hits.groupBy("row", "item", "n", "m").agg(
+        F.array_sort(F.collect_set("at")).alias("at"), F.collect_set(F.greatest(F.col("at") - F.col("offset"), F.lit(0))).alias("starts")
+    )
+    # the common weight of a window is at most the number of its places whose shingle the item has
+    need = F.ceil(similarity * F.col("m") - 1e-9).cast("int")
+    enough = pairs.where(F.size("at") >= need).withColumn("need", need)
+    ahead = F.filter("at", lambda x, i: F.get("at", i + F.col("need") - 1) < x + F.col("m"))
+    placed = F.concat(
+        F.transform("starts", lambda x: F.struct(F.col("n").alias("n"), x.alias("start"), F.lit(False).alias("full"))),
+        F.transform(ahead, lambda x: F.struct(F.col("n").alias("n"), x.alias("start"), F.lit(True).alias("full"))),
+    )
+    per_row = keep(enough.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list(placed))).alias("windows")))
+    few = (per_row.agg(F.sum(F.size("windows"))).first()[0] or 0) <= 200_000
+
+    cut = rows.join(F.broadcast(per_row) if few else per_row, "row").select("key", "windows", words(F.col("text")).alias("w"))
+    # full: moved back to end with the document at the latest
+    start = lambda x: F.when(x["full"], F.greatest(F.lit(0), F.least(x["start"], F.size("w") - x["n"]))).otherwise(x["start"])
+    moved = F.array_distinct(F.transform("windows", lambda x: F.struct(x["n"].alias("n"), start(x).alias("start"))))
+    cut = cut.select("key", "w", F.explode(moved).alias("x")).select(
+        "key", F.col("x.n").alias("n"), F.col("x.start").alias("start"), F.slice("w", F.col("x.start") + 1, F.col("x.n")).alias("w")
     )
-    windows = starts.join(enough.select("row", "item"), ["row", "item"], "left_semi")
-    per_row = keep(windows.groupBy("row").agg(F.collect_set(F.struct("n", F.greatest("start", F.lit(0)).alias("start"))).alias("windows")))
-
-    cut = rows.join(small(per_row), "row").select("key", "windows", words(F.col("text")).alias("w"))
-    cut = cut.select("key", F.explode(F.transform("windows", lambda x: F.struct(
-        x["n"].alias("n"), x["start"].alias("start"), F.slice(F.col("w"), x["start"] + 1, x["n"]).alias("w")
-    ))).alias("x")).select("key", "x.*")
     cut = cut.select("key", "n", "start", shingles(F.col("w"), F.least(F.col("n"), F.lit(SHINGLE))).alias("window"))
     cut = keep(cut.where(F.size("window") > 0).withColumn("print", simhash(F.col("window"))))
 

@@ -292,6 +292,18 @@ def test_leaks_of_odd_documents(spark):
     assert decontamination.find_leaks(df, benchmark.limit(0)).count() == 0
 
 
+def test_leaks_in_another_order(spark):
+    items = [(i, prose(600 + i, 100)) for i in range(6)]
+    rows = []
+    for i, text in items:
+        w = text.split()
+        turned = [w[50:] + w[:50], w[33:] + w[:33], w[67:] + w[33:67] + w[:33], w[1:] + ["edit"]]
+        rows += [(10 * i + k, " ".join([*prose(700 + i, 40).split(), *x, *prose(800 + i, 40 * (k % 2)).split()])) for k, x in enumerate(turned)]
+    found = decontamination.find_leaks(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = brute_leaks(rows, items)
+    assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in found} == want and len(want) == len(rows)
+
+
 def test_blocks_guarantee_the_radius(spark):
     rng = random.Random(1)
     pairs = []
