@@ -3,8 +3,8 @@
 The text of a page is gathered by the path of tags from the root to its leaf. Each path has two ratios, characters and
 punctuation marks a node. In the order in which paths first appear both are smoothed, fused into one score and held
 against a threshold; paths that lie in a part marked as navigation, advert, comment or the like score nothing. The
-lowest container that holds most of the text on the chosen paths is the article; its blocks, without marked parts, are
-the result.
+lowest container that holds most of the text on the chosen paths is the article, widened to the <article> or <main> around
+it, or else to all chosen text and the headings before it; its blocks, without marked parts, are the result.
 """
 
 from __future__ import annotations
@@ -54,6 +54,7 @@ WORDS = frozenset(
     "disqus respond reply replies share sharing social related recommended pagination pager toolbar".split()
 )
 UNMARKABLE = frozenset(["html", "body", "article", "main"])
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 CONTAINERS = frozenset("html body article main section div td".split())
 #: A path is chosen from this share of the highest score on; the article holds this share of the chosen text.
 CHOSEN, HELD = 0.1, 0.8
@@ -206,12 +207,31 @@ def article(found: list[tuple[Element, int, str]], paths: set[str]) -> Element |
     if not holding:
         return None
     best = max(holding, key=lambda e: e.path.count("/"))
-    e = best
+    around = list(_ancestors(best))
+    named = [e for e in around if e.name in ("article", "main")]
+    if named:
+        return named[-1]
+    # other sections: the lowest container that holds all chosen text
+    best = next((e for e in around if e.name in CONTAINERS and e.held >= total), best)
+    # headings before it, in a container around it below the body
+    around = {id(e): n for n, e in enumerate(_ancestors(best)) if e.name in CONTAINERS - {"html", "body"}}
+    outer = best
+    for element, _, text in found:
+        if any(e is best for e in _ancestors(element)):
+            break
+        head = next((e for e in _ancestors(element) if e.name in HEADINGS), None)
+        if head is not None and not element.marked and text.strip():
+            holder = next((e for e in _ancestors(head) if e.name in CONTAINERS), None)
+            if holder is not None and around.get(id(holder), -1) > around.get(id(outer), -1):
+                outer = holder
+    return outer
+
+
+def _ancestors(e: Element | None) -> Iterator[Element]:
+    """An element and those around it, from the inside."""
     while e is not None:
-        if e.name in ("article", "main"):
-            best = e
+        yield e
         e = e.parent
-    return best
 
 
 def main_text(html: str | None) -> str:

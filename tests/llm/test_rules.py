@@ -165,6 +165,20 @@ def test_page():
     assert html_text.main_text(PAGE).split("\n") == ["A <title>", "First bold line, of text.", "Second & last, here. More", "one", "two"]
 
 
+def test_pages_of_plain_containers_are_whole():
+    title, lead, last = "A plain title", prose(31, 30), prose(33, 25)
+    body = [prose(40 + i, 60) for i in range(4)]
+    text = "".join(f"<p>{x}</p>" for x in body)
+    menu = '<div class="menu"><a>Home</a> <a>News</a></div>'
+    for tag in ("div", "section"):
+        page = f"<body>{menu}<{tag} id=post><h1>{title}</h1><{tag} class=lead><p>{lead}</p></{tag}><{tag} class=text>{text}</{tag}><{tag}><p>{last}</p></{tag}></{tag}></body>"
+        assert html_text.main_text(page).split("\n") == [title, lead, *body, last]
+        page = f"<body>{menu}<{tag} id=post><h1>{title}</h1><{tag} class=text>{text}</{tag}></{tag}></body>"
+        assert html_text.main_text(page).split("\n") == [title, *body]
+    page = f"<body>{menu}<table><tr><td><h1>{title}</h1><div><p>{lead}</p></div><div>{text}</div></td></tr></table></body>"
+    assert html_text.main_text(page).split("\n") == [title, lead, *body]
+
+
 def test_odd_pages(spark):
     rows = [(1, None, None), (2, "u", ""), (3, "u", "plain &amp; text"), (4, "u", "<p>cut <a hre"), (5, "u", "<div>" * 3000 + "deep" + "</div>" * 3000)]
     rows += [(6, "u", "<script>only</script>"), (None, None, PAGE), (7, "u", "<p>1 < 2</p></b></x>"), (8, "u", "<p title='>'>q</p><!-- open")]
