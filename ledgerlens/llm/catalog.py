@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, decontamination, html_text, language, licenses, near_dedup, quality, sharding, substring_dedup, token_counts
+from ledgerlens.llm import bpe, centroids, decontamination, html_text, language, licenses, near_dedup, quality, sharding, substring_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -115,3 +115,34 @@ def op6_decontamination(spark, folder):
 def op5_substring_dedup(spark, folder):
     """Passages of every document that an earlier one has too."""
     return substring_dedup.shared_passages(documents(spark, folder)).drop("row")
+
+
+def clusters_sql(k: int = 8, rounds: int = 10, seed: int = 3, dim: int = 64, scale: int = 1024) -> str:
+    """The same rounds with every distance measured, one common table expression a round."""
+    ctes = [
+        f"""kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+        FROM embeddings WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"""c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h, v) - 1 AS INT) AS cluster, v AS c FROM
+        (SELECT v, sha256('{seed}:' || CAST(vec_id AS VARCHAR)) AS h FROM kept ORDER BY h NULLS LAST, v LIMIT {k}))""",
+    ]
+    for t in range(rounds + 1):
+        distance = "list_sum(list_transform(range(1, len(v) + 1), lambda i: (v[i] - c[i]) * (v[i] - c[i])))"
+        ctes.append(f"""a{t} AS MATERIALIZED (SELECT r, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS distance FROM
+        (SELECT r, cluster, CAST({distance} AS BIGINT) AS d FROM kept, c{t}) GROUP BY r)""")
+        if t < rounds:
+            ctes.append(f"""m{t} AS MATERIALIZED (SELECT cluster, list(m ORDER BY i) AS c FROM
+            (SELECT cluster, i, (s - ((s % n) + n) % n) // n AS m FROM (SELECT cluster, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM
+            (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{t} JOIN kept USING (r)) GROUP BY ALL)) GROUP BY cluster)""")
+            ctes.append(f"c{t + 1} AS MATERIALIZED (SELECT cluster, coalesce(m{t}.c, c{t}.c) AS c FROM c{t} LEFT JOIN m{t} USING (cluster))")
+    return f"""WITH {", ".join(ctes)}
+    SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+      CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+    FROM a{rounds} JOIN kept USING (r) JOIN c{rounds} USING (cluster)"""
+
+
+@query("op11_centroids", clusters_sql())
+def op11_centroids(spark, folder):
+    """Cluster of every whole vector after ten rounds from eight seeds."""
+    embeddings = spark.read.parquet(f"{folder}/embeddings.parquet")
+    vectors = centroids.whole_vectors(embeddings, "vec_id", "embedding", dim=64, scale=1024)
+    return centroids.with_inertia(centroids.cluster(vectors, k=8, rounds=10, seed=3), "vec_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -22,11 +23,13 @@ SLICE_BYTES = 1 << 19
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (a single machine, as in tests) a temporary folder is made.
+    Where that is unset, a local master (a single machine, as in tests) gets a temporary folder; a cluster is an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ledgerlens-checkpoint-"))
     return context.getCheckpointDir()
 
@@ -37,6 +40,20 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def write_table(df: DataFrame, name: str) -> DataFrame:
+    """Compute once, as a Parquet table in the shared folder; its columns can be read one by one."""
+    place = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete the files of a table of ``write_table`` that nothing reads any more."""
+    for file in df.inputFiles()[:1]:
+        place = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """Hint a broadcast only if a (kept) table of a few narrow columns has at most ``rows`` rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
