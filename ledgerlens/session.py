@@ -29,10 +29,12 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``, shared by its executors.
 
-    Only where it is unset, on a single machine as in tests, a temporary folder takes its place.
+    Where it is unset, a local master (a single machine, as in tests) gets a temporary folder; a cluster is an error.
     """
     if spark.sparkContext.getCheckpointDir() is None:
         folder = spark.conf.get(CHECKPOINT_SETTING, None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_SETTING} to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ledgerlens-checkpoint-"))
     return spark.sparkContext.getCheckpointDir()
 
