@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, centroids, decontamination, html_text, language, licenses, near_dedup, quality, sharding, substring_dedup, token_counts
+from ledgerlens.llm import bpe, centroids, decontamination, html_text, language, licenses, near_dedup, quality, sharding, substring_dedup, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -146,3 +146,29 @@ def op11_centroids(spark, folder):
     embeddings = spark.read.parquet(f"{folder}/embeddings.parquet")
     vectors = centroids.whole_vectors(embeddings, "vec_id", "embedding", dim=64, scale=1024)
     return centroids.with_inertia(centroids.cluster(vectors, k=8, rounds=10, seed=3), "vec_id")
+
+
+def base32_sql(hexadecimal: str) -> str:
+    """Base32 of 40 hexadecimal digits: eight times five digits give four characters."""
+    parts = []
+    for at in range(1, 41, 5):
+        number = f"CAST('0x' || substr({hexadecimal}, {at}, 5) AS INT)"
+        parts += [f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (({number} >> {shift}) & 31) + 1, 1)" for shift in (15, 10, 5, 0)]
+    return " || ".join(parts)
+
+
+@query(
+    "op12_warc",
+    f"""WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+    g AS (SELECT *, max(page_id) OVER (PARTITION BY h, payload_bytes) AS last FROM p)
+    SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, {base32_sql("h")} AS payload_digest,
+      CASE WHEN last <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN last <> page_id THEN last END AS refers_to, TRUE AS verified FROM g""",
+)
+def op12_warc(spark, folder):
+    """Every page as a record of gzip archives, as read back from them."""
+    pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url", "html")
+    archives = warc.write_archives(pages, warc.archive_folder(spark), "page_id", "url", "html", date="2024-01-01T00:00:00Z")
+    found = warc.read_archives(archives, payloads=False)
+    return found.select(
+        F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"), "verified"
+    )
