@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, centroids, decontamination, html_text, language, licenses, near_dedup, quality, sharding, substring_dedup, token_counts, warc
+from ledgerlens.llm import bpe, centroids, decontamination, html_text, language, licenses, manifest, near_dedup, quality, sharding, substring_dedup, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -172,3 +172,14 @@ def op12_warc(spark, folder):
     return found.select(
         F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"), "verified"
     )
+
+
+@query("op13_manifest")
+def op13_manifest(spark, folder):
+    """Manifest of all documents, and each one's proof held against a text without line ends for half of them."""
+    docs = documents(spark, folder).select("doc_id", "text", "lang", "source", "n_chars")
+    fields = [F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars")]
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.lit(False))
+    leaf = manifest.leaf_digest([*fields, F.col("text")])
+    changed = manifest.leaf_digest([*fields, F.replace("text", F.lit("\n"), F.lit(""))])
+    return manifest.proofs(docs, "doc_id", "source", leaf, F.when(tampered & F.contains("text", F.lit("\n")), changed).otherwise(leaf))
