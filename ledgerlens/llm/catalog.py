@@ -174,7 +174,62 @@ def op12_warc(spark, folder):
     )
 
 
-@query("op13_manifest")
+def crc32_sql(text: str) -> str:
+    """Unsigned crc32 of ASCII text, bit by bit."""
+    bits = "list_reduce(list_prepend(xor(a, c), range(8)), lambda s, i: xor(s >> 1, 3988292384 * (s & 1)))"
+    codes = f"list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda a, c: {bits}), 4294967295)"
+
+
+def manifest_sql(levels: int = 13, top_levels: int = 6) -> str:
+    """The same trees level by level, with a row a node, for groups of at most 3^levels rows without repeated ids."""
+
+    def e(column: str) -> str:
+        text = f"CAST({column} AS VARCHAR)"
+        return f"coalesce(octet_length(encode({text})) || ':' || {text}, '-')"
+
+    def folded(nodes: str, many: int) -> list[str]:
+        """Tables {nodes}0.. of nodes, {nodes}s0.. of what stands left and right of them."""
+        out, run = [], "PARTITION BY g, pos // 3 ORDER BY pos ROWS BETWEEN"
+        for t in range(many):
+            out.append(f"""{nodes}s{t} AS MATERIALIZED (SELECT g, pos, coalesce(string_agg(d, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a,
+            coalesce(string_agg(d, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b FROM {nodes}{t} WHERE n > 1)""")
+            out.append(f"""{nodes}{t + 1} AS MATERIALIZED (SELECT g, pos // 3 AS pos, sha256(string_agg(d, '' ORDER BY pos)) AS d, (n + 2) // 3 AS n
+            FROM {nodes}{t} WHERE n > 1 GROUP BY g, pos // 3, n)""")
+        return out
+
+    def climbed(rows: str, nodes: str, many: int) -> list[str]:
+        return [
+            f"""{rows}{t + 1} AS (SELECT r.* REPLACE (r.pos // 3 AS pos, coalesce(sha256(s.a || r.f || s.b), r.f) AS f, r.p || coalesce(s.a || s.b, '') AS p)
+            FROM {rows}{t} r LEFT JOIN {nodes}s{t} s USING (g, pos))"""
+            for t in range(many)
+        ]
+
+    def roots(nodes: str, many: int) -> str:
+        return " UNION ALL ".join(f"SELECT g, d FROM {nodes}{t} WHERE n = 1" for t in range(many + 1))
+
+    head = " || ".join(e(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    ctes = [
+        f"""x AS MATERIALIZED (SELECT doc_id, source, {e("source")} AS g, sha256({head} || {e("text")}) AS leaf,
+        sha256({head} || CASE WHEN {crc32_sql("CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN {e("replace(text, chr(10), '')")} ELSE {e("text")} END) AS claimed,
+        row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM documents)""",
+        "l0 AS MATERIALIZED (SELECT g, pos, leaf AS d, n FROM x)",
+        *folded("l", levels),
+        f"subroots AS MATERIALIZED ({roots('l', levels)})",
+        """t0 AS MATERIALIZED (SELECT '' AS g, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, d, count(*) OVER () AS n, s.g AS own
+        FROM subroots s JOIN (SELECT DISTINCT g, source FROM x) USING (g))""",
+        *folded("t", top_levels),
+        f"top AS MATERIALIZED ({roots('t', top_levels)})",
+        "r0 AS (SELECT doc_id, leaf, g, pos, claimed AS f, '' AS p FROM x)",
+        *climbed("r", "l", levels),
+        f"u0 AS (SELECT doc_id, leaf, '' AS g, t0.pos, f, p, t0.d AS subroot FROM r{levels} r JOIN t0 ON t0.own = r.g)",
+        *climbed("u", "t", top_levels),
+    ]
+    return f"""WITH {", ".join(ctes)} SELECT doc_id, leaf, subroot, top.d AS root, sha256(p) AS proof_sha256, f AS folded_root, f = top.d AS verified
+    FROM u{top_levels}, top"""
+
+
+@query("op13_manifest", manifest_sql())
 def op13_manifest(spark, folder):
     """Manifest of all documents, and each one's proof held against a text without line ends for half of them."""
     docs = documents(spark, folder).select("doc_id", "text", "lang", "source", "n_chars")
