@@ -229,12 +229,16 @@ def manifest_sql(levels: int = 13, top_levels: int = 6) -> str:
     FROM u{top_levels}, top"""
 
 
-@query("op13_manifest", manifest_sql())
-def op13_manifest(spark, folder):
-    """Manifest of all documents, and each one's proof held against a text without line ends for half of them."""
-    docs = documents(spark, folder).select("doc_id", "text", "lang", "source", "n_chars")
-    fields = [F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars")]
+def manifest_of(docs: DataFrame) -> DataFrame:
+    """Manifest of documents; where 2 divides crc32 of the id's digits, a text without its line ends is held against it."""
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
     tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.lit(False))
     leaf = manifest.leaf_digest([*fields, F.col("text")])
     changed = manifest.leaf_digest([*fields, F.replace("text", F.lit("\n"), F.lit(""))])
     return manifest.proofs(docs, "doc_id", "source", leaf, F.when(tampered & F.contains("text", F.lit("\n")), changed).otherwise(leaf))
+
+
+@query("op13_manifest", manifest_sql())
+def op13_manifest(spark, folder):
+    """Leaf, proof and verdict of every document under a manifest of all."""
+    return manifest_of(documents(spark, folder))

@@ -30,7 +30,8 @@ REFRESH = 0.25
 #: Allowance for the rounding of stored distances, which are single-precision floats.
 SLACK = 1e-6
 
-STATE = "id {id}, v array<int>, near int, far array<float>, since array<smallint>"
+#: A row of the table of stored distances; vectors, distances and rounds are packed numbers, which cross to Python as they are.
+STATE = "id {id}, v binary, near int, far binary, since binary"
 Result = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]
 
 
@@ -112,27 +113,37 @@ def _matrix(column: pa.Array, kind: type) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(column), -1)
 
 
-def _lists(matrix: np.ndarray, kind: pa.DataType) -> pa.Array:
-    offsets = np.arange(len(matrix) + 1, dtype=np.int32) * matrix.shape[1]
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.ravel(), kind))
+def _packed(matrix: np.ndarray) -> pa.Array:
+    """A row of numbers as one binary value."""
+    width = matrix.shape[1] * matrix.itemsize
+    offsets = np.arange(len(matrix) + 1, dtype=np.int32) * width
+    return pa.Array.from_buffers(pa.binary(), len(matrix), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(matrix))])
+
+
+def _unpacked(column: pa.Array, kind: type) -> np.ndarray:
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2][int(offsets[0]) : int(offsets[-1])]
+    return np.frombuffer(data, kind).reshape(len(column), -1)
 
 
 def _judged(history: History, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, Result]]:
     for batch in batches:
         if batch.num_rows:
-            v = _matrix(batch.column("v"), np.int64)
-            stored = [None] * 3
-            if "near" in batch.schema.names:
-                stored = [batch.column("near").to_numpy().astype(np.int32), _matrix(batch.column("far"), np.float32), _matrix(batch.column("since"), np.int16)]
-            yield batch, v, history.nearest(v, *stored)
+            if "near" not in batch.schema.names:
+                v = _matrix(batch.column("v"), np.int64)
+                yield batch, v, history.nearest(v, None, None, None)
+                continue
+            v = _unpacked(batch.column("v"), np.int32).astype(np.int64)
+            near = batch.column("near").to_numpy().astype(np.int32)
+            yield batch, v, history.nearest(v, near, _unpacked(batch.column("far"), np.float32), _unpacked(batch.column("since"), np.int16))
 
 
 def _measure(history: History) -> Callable:
     """Rows with nearest centroids and stored distances brought up to this round."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, _, (near, far, since, _, _) in _judged(history, batches):
-            columns = [batch.column("id"), batch.column("v"), pa.array(near, pa.int32()), _lists(far, pa.float32()), _lists(since, pa.int16())]
+        for batch, v, (near, far, since, _, _) in _judged(history, batches):
+            columns = [batch.column("id"), _packed(v.astype(np.int32)), pa.array(near, pa.int32()), _packed(far), _packed(since)]
             yield pa.RecordBatch.from_arrays(columns, ["id", "v", "near", "far", "since"])
 
     return tidy(run)

@@ -58,11 +58,13 @@ def bits_before(bitmap: Column, place: Column) -> Column:
 
 def _directory(cells: DataFrame, group: list[str], low: int, high: int) -> DataFrame:
     """group, ``__cell``, ``__total`` -> also ``__before``: what the group's cells of smaller number hold."""
+    one = high - low < 1 << BITS  # signed ids: -1 stays -1 when shifted, so a single higher cell is not always reached
+    up = F.lit(0).cast("long") if one else F.shiftright("__cell", BITS)
     within = Window.partitionBy(*group, "__up").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    near = cells.withColumn("__up", F.shiftright("__cell", BITS)).withColumn("__before", F.coalesce(F.sum("__total").over(within), F.lit(0)))
-    if low >> BITS == high >> BITS:
+    near = cells.withColumn("__up", up).withColumn("__before", F.coalesce(F.sum("__total").over(within), F.lit(0)))
+    if one:
         return near.drop("__up")
-    above = near.groupBy(*group, F.col("__up").alias("__cell")).agg(F.sum("__total").alias("__total"))
+    above = write_table(near.groupBy(*group, F.col("__up").alias("__cell")).agg(F.sum("__total").alias("__total")), "directory")
     up = _directory(above, group, low >> BITS, high >> BITS).select(*group, F.col("__cell").alias("__up"), F.col("__before").alias("__above"))
     return near.join(up, [*group, "__up"]).withColumn("__before", F.col("__before") + F.col("__above")).drop("__up", "__above")
 
