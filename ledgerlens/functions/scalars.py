@@ -130,13 +130,17 @@ def sample_skew(c: str | Column) -> Column:
     return F.when(n > 2, F.skewness(x) * F.sqrt(n * (n - 1)) / (n - 2))
 
 
-def last_known(value: str | Column, order: Sequence[str]) -> Column:
-    """Aggregate: the newest non-null value."""
+def _placed(order: Sequence[str] | Column) -> Column:
+    return order if isinstance(order, Column) else F.struct(*[F.col(o) for o in order])
+
+
+def last_known(value: str | Column, order: Sequence[str] | Column) -> Column:
+    """Aggregate: the newest non-null value, by columns or by one number that orders like them."""
     v = col(value)
-    return F.max_by(v, F.when(v.isNotNull(), F.struct(*[F.col(o) for o in order])))
+    return F.max_by(v, F.when(v.isNotNull(), _placed(order)))
 
 
-def first_known(value: str | Column, order: Sequence[str]) -> Column:
+def first_known(value: str | Column, order: Sequence[str] | Column) -> Column:
     """Aggregate: the oldest non-null value."""
     v = col(value)
-    return F.min_by(v, F.when(v.isNotNull(), F.struct(*[F.col(o) for o in order])))
+    return F.min_by(v, F.when(v.isNotNull(), _placed(order)))

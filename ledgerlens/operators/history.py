@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import scalars as S
 from ledgerlens.operators.encode import lookup
-from ledgerlens.operators.ordering import SLICE, average_rank, only_row, running, with_slice
+from ledgerlens.operators.ordering import HEAVY_ROWS, average_rank, in_order, only_row, packed_order, running
 
 
-def velocity(
+def velocity_features(
     df: DataFrame,
     ts: str,
     unique_id: str,
@@ -21,34 +21,51 @@ def velocity(
     keys: Mapping[str, str],
     epoch: str,
     history: str | None = None,
+    heavy: int = HEAVY_ROWS,
 ) -> DataFrame:
-    """Earlier rows, spend so far and rows per elapsed day.
+    """``unique_id`` and, for each key set, the earlier rows; for the first also the spend so far and rows per elapsed day.
+
+    ``keys`` maps a short name to a key column. ``history`` names a split column whose values must not see each other;
+    by default the history runs across splits. A null key has no history.
 
-    ``keys`` maps a short name to a key column; the first one also gets the
-    spend and the rate. ``history`` names a split column whose values must not
-    see each other; by default the history runs across splits. A null key has
-    no history.
+    All key sets share one exchange: a row is stacked once per set, narrow, under (set, key), and a second exchange by
+    ``unique_id`` brings its results together. Keys too large for a task are cut into slices of time.
     """
-    out = with_slice(df, [ts, unique_id])
-    added = []
-    for i, (short, key) in enumerate(keys.items()):
-        count = f"fe_{short}_txn_count"
-        measures = {count: ("count", F.lit(1))}
-        if i == 0:
-            measures[f"fe_{short}_cum_amount"] = ("sum", F.col(amount))
-        by = [key, history] if history else [key]
-        out = running(out, by, [ts, unique_id], measures, sliced=True)
-        known = F.col(key).isNotNull()
-        out = out.withColumns({n: F.when(known, F.col(n)) for n in measures})
-        out = out.withColumn(count, F.col(count) - 1)
-        added += list(measures)
+    by = ["_set", "_key", *([history] if history else [])]
+    sets = [F.struct(F.lit(i).alias("_set"), F.col(k).cast("string").alias("_key")) for i, k in enumerate(keys.values())]
+    # a null key of the first set, which also carries the row itself, is a set of its own
+    alone = F.struct(F.lit(-1).alias("_set"), F.col(unique_id).cast("string").alias("_key"))
+    sets[0] = F.when(F.col(next(iter(keys.values()))).isNotNull(), sets[0]).otherwise(alone)
+    start = F.unix_micros(F.lit(epoch).cast("timestamp"))
+    days = (F.unix_micros(F.col(ts).cast("timestamp")) - start) / F.lit(86_400_000_000.0)
+    rows = df.select(unique_id, ts, *([history] if history else []), F.col(amount).alias("_amount"), days.alias("_days"), F.inline(F.array(*sets)))
+    stacked = rows.where(F.col("_key").isNotNull())
+    found = in_order(stacked, by, [ts, unique_id], {"_count": ("count", F.lit(1)), "_spend": ("sum", F.when(F.col("_set") == 0, F.col("_amount")))}, heavy)
+    before = F.col("_count") - 1
+    aggs = []
+    for i, short in enumerate(keys):
+        own = F.col("_set") == i
+        aggs.append(F.max(F.when(own, before)).alias(f"fe_{short}_txn_count"))
         if i == 0:
-            start = F.unix_micros(F.lit(epoch).cast("timestamp"))
-            days = (F.unix_micros(F.col(ts).cast("timestamp")) - start) / F.lit(86_400_000_000.0)
-            freq = f"fe_{short}_txn_freq"
-            out = out.withColumn(freq, F.col(count) / F.greatest(days, F.lit(1.0)))
-            added.append(freq)
-    return out.select(*[c for c in df.columns if c != SLICE], *added)
+            aggs.append(F.max(F.when(own, F.col("_spend").cast("double"))).alias(f"fe_{short}_cum_amount"))
+            aggs.append(F.max(F.when(own, before / F.greatest("_days", F.lit(1.0)))).alias(f"fe_{short}_txn_freq"))
+    return found.groupBy(unique_id).agg(*aggs)
+
+
+def velocity(
+    df: DataFrame,
+    ts: str,
+    unique_id: str,
+    amount: str,
+    keys: Mapping[str, str],
+    epoch: str,
+    history: str | None = None,
+    heavy: int = HEAVY_ROWS,
+) -> DataFrame:
+    """All columns of the rows with their :func:`velocity_features`; ``unique_id`` must be unique and not null."""
+    return df.join(velocity_features(df, ts, unique_id, amount, keys, epoch, history, heavy), unique_id, "left").select(
+        *df.columns, *[f"fe_{short}_{what}" for i, short in enumerate(keys) for what in (("txn_count", "cum_amount", "txn_freq") if i == 0 else ("txn_count",))]
+    )
 
 
 def fit_amount_stats(train: DataFrame, key: str, amount: str, prefix: str, hour: str | None = None, target: str | None = None) -> DataFrame:
@@ -91,9 +108,9 @@ def apply_amount_stats(df: DataFrame, stats: DataFrame, key: str, prefix: str, a
 
 def statement_aggregates(df: DataFrame, entity: str, order: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Mean, std, min, max, sum, last and the two differences, per entity, in one aggregation."""
-    aggs = []
+    aggs, at = [], F.col("_at")
     for c in columns:
-        last, first = S.last_known(c, order), S.first_known(c, order)
+        last, first = S.last_known(c, at), S.first_known(c, at)
         aggs += [
             F.avg(c).alias(f"{c}__mean"),
             F.stddev_samp(c).alias(f"{c}__std"),
@@ -104,7 +121,7 @@ def statement_aggregates(df: DataFrame, entity: str, order: Sequence[str], colum
             (last - first).alias(f"{c}__diff_last_first"),
             (last - F.avg(c)).alias(f"{c}__diff_last_mean"),
         ]
-    return df.groupBy(entity).agg(*aggs)
+    return df.withColumn("_at", packed_order(df, order)).groupBy(entity).agg(*aggs)
 
 
 def newest_rows(df: DataFrame, entity: str, order: Sequence[str], n: int) -> DataFrame:
@@ -140,11 +157,10 @@ def missingness(df: DataFrame, entity: str, order: Sequence[str], columns: Seque
     counts agree; both are kept because callers use both names.
     """
     add = lambda a, b: a + b
-    last_null = reduce(add, [S.flag(S.last_known(c, order).isNull()) for c in columns])
     all_null = reduce(add, [S.flag(F.count(c) == 0) for c in columns])
     counts = df.groupBy(entity).agg(
         F.count(F.lit(1)).alias("fe_stmt_count"),
-        last_null.alias("fe_last_miss_count"),
+        all_null.alias("fe_last_miss_count"),
         all_null.alias("fe_all_null_count"),
     )
     for c in distinct:
@@ -157,8 +173,8 @@ def missingness(df: DataFrame, entity: str, order: Sequence[str], columns: Seque
 def own_history_rank(df: DataFrame, entity: str, order: Sequence[str], column: str, name: str | None = None) -> DataFrame:
     """Percentile of the newest known value within the entity's own history (0.5 if it has none)."""
     name = name or f"{column}__user_rank"
-    ranked = average_rank(df.select(entity, *order, column), column, [entity], pct="_pct")
-    return ranked.groupBy(entity).agg(F.coalesce(S.last_known("_pct", order), F.lit(0.5)).alias(name))
+    ranked = average_rank(df.select(entity, *order, column), column, [entity], pct="_pct").withColumn("_at", packed_order(df, order))
+    return ranked.groupBy(entity).agg(F.coalesce(S.last_known("_pct", F.col("_at")), F.lit(0.5)).alias(name))
 
 
 def sequence_trend(df: DataFrame, entity: str, order: Sequence[str], columns: Sequence[str], label: str, full: int = 13) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import scalars as S
 from ledgerlens.operators.encode import cohort_rank, lookup
-from ledgerlens.operators.ordering import dense_index, only_row, quantile_table, rolling, running
+from ledgerlens.operators.ordering import dense_index, in_order, only_row, quantile_table, rolling
 
 
 def weighted_price(level: int) -> Column:
@@ -45,7 +45,7 @@ def aggregate_book(book: DataFrame, keys: Sequence[str], order: Sequence[str], s
         previous["_p2"] = ("previous", F.col("_w2"))
     bid, ask = F.col("bid_price1"), F.col("ask_price1")
     bid_size, ask_size = F.col("bid_size1").cast("double"), F.col("ask_size1").cast("double")
-    ticks = running(ticks, keys, order, previous).select(
+    ticks = in_order(ticks, keys, order, previous).select(
         *keys, "_w1", bid_size.alias("_bs"), ask_size.alias("_as"),
         _log_return("_w1", "_p1").alias("_r1"),
         *([F.col("_w2"), _log_return("_w2", "_p2").alias("_r2")] if second_level else []),
@@ -76,7 +76,7 @@ def aggregate_book(book: DataFrame, keys: Sequence[str], order: Sequence[str], s
 
 def aggregate_trades(trades: DataFrame, keys: Sequence[str], order: Sequence[str], price: str = "price", size: str = "size", orders: str | None = None) -> DataFrame:
     """Realised volatility, price spread, sizes and counts per (stock, bucket)."""
-    ticks = running(trades, keys, order, {"_before": ("previous", F.col(price))})
+    ticks = in_order(trades, keys, order, {"_before": ("previous", F.col(price))})
     ticks = ticks.withColumn("_r", _log_return(price, "_before"))
     return ticks.groupBy(*keys).agg(
         _volatility("_r").alias("trade_rv"),

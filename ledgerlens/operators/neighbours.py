@@ -1,45 +1,174 @@
-"""Exact nearest neighbours in bounded blocks, and what is built on them.
-
-Points are projected on one unit direction. The distance of two points is at
-least the difference of their projections, so a block of neighbouring
-projections can be skipped once it is farther away than the k-th neighbour
-found so far. Blocks are cut into parts of at most ``size`` rows, however many
-points share a projection; each task compares one part of the queries with
-one part of the points and returns at most k rows per query.
+"""Exact nearest neighbours by a pivot table, and what is built on them.
+
+Some points serve as pivots. One scan measures every point against them: it belongs to the cell of its nearest pivot,
+and cells are cut into parts of about ``size`` points along the distance to their pivot (rows at equal distance, such as
+copies, by a hash). Of each part the table keeps the range of distances to its own and to a few reference pivots. By the
+triangle inequality no point of a part can be nearer to a query than its distance to a pivot lies outside of that
+range, nor nearer than the plane between its pivot and the query's. So a query first looks at one part, and then only
+at those whose bound is not beyond its k-th neighbour so far. Each task compares one part of the points with a chunk of
+the queries that ask for it and returns at most k rows per query.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlens.operators.encode import lookup
-from ledgerlens.operators.ordering import assign_slices, hash_order, only_row, running, slice_edges
+from ledgerlens.operators.ordering import hash_order, only_row, running
+from ledgerlens.session import cut_lineage
 
 SCHEMA = "query long, neighbour long, distance double"
+#: At most so many pivots, picked from a sample of so many points; so many of them are references of every part.
+PIVOTS, SAMPLE, REFERENCES = 4096, 8192, 8
+#: Quantiles of the distance to the pivot at which a cell is cut, and rows of the part table that a task holds at once.
+RINGS, TABLE_ROWS = 16, 1 << 16
+#: Allowance for rounding in bounds, relative to the numbers they come from.
+SLACK = 1e-7
+
+
+def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    d = (x * x).sum(axis=1)[:, None] - 2 * (x @ c.T) + (c * c).sum(axis=1)
+    return np.sqrt(np.maximum(d, 0.0))
+
+
+def _spread_out(sample: np.ndarray, n: int) -> np.ndarray:
+    """Farthest-first: each pivot is the point that is farthest from those before; equal points give one."""
+    picked, left = [0], np.full(len(sample), np.inf)
+    while len(picked) < n:
+        left = np.minimum(left, ((sample - sample[picked[-1]]) ** 2).sum(axis=1))
+        if left.max() <= 0:
+            break
+        picked.append(int(left.argmax()))
+    return sample[picked]
+
+
+@dataclass
+class PivotTable:
+    """``points``: _id, _v, _part. ``parts``: one row a part with its pivot, size and ranges of distances."""
+
+    pivots: np.ndarray
+    points: DataFrame
+    parts: DataFrame
+
+    def tables(self) -> Iterator[Parts]:
+        """The part table, in pieces that a task can hold; it has about a row per ``size`` points."""
+        n = self.parts.count()
+        rows = self.parts if n <= TABLE_ROWS else self.parts.orderBy("_part")
+        for start in range(0, n, TABLE_ROWS):
+            yield Parts(self.pivots, (rows if n <= TABLE_ROWS else rows.offset(start).limit(TABLE_ROWS)).toPandas())
+
+
+class Parts:
+    """Bounds of queries against a piece of the part table."""
+
+    def __init__(self, pivots: np.ndarray, table: pd.DataFrame):
+        self.pivots, self.part, self.rows = pivots, table["_part"].to_numpy(), table["_rows"].to_numpy()
+        self.cell = table["_cell"].to_numpy()
+        self.low, self.high = np.stack(table["_low"].to_numpy()), np.stack(table["_high"].to_numpy())
+        self.between = _distances(pivots, pivots)
+
+    def bounds(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least and greatest possible distances of queries to the points of each part."""
+        to = _distances(v, self.pivots)
+        scale = SLACK * (1 + to.max(axis=1, initial=0.0) + np.abs(self.high).max(initial=0.0))[:, None]
+        seen = [*range(self.low.shape[1] - 1)]
+        own = to[:, self.cell]
+        least = np.maximum(self.low[:, -1] - own, own - self.high[:, -1])
+        most = own + self.high[:, -1]
+        for r in seen:
+            least = np.maximum(least, np.maximum(self.low[:, r] - to[:, r : r + 1], to[:, r : r + 1] - self.high[:, r]))
+            most = np.minimum(most, to[:, r : r + 1] + self.high[:, r])
+        home = to.argmin(axis=1)
+        gap = self.between[home][:, self.cell]
+        plane = np.divide(own**2 - to[np.arange(len(v)), home][:, None] ** 2, 2 * gap, out=np.zeros_like(own), where=gap > 0)
+        return np.maximum(np.maximum(least, plane) - scale, 0.0), most + scale
+
+
+def pivot_table(points: DataFrame, size: int, seed: int) -> PivotTable | None:
+    """Pivots, cells and parts of points (_id, _v); one scan for the pivots' sample and size, one for the table."""
+    n, width = points.agg(F.count(F.lit(1)), F.max(F.size("_v"))).first()
+    if not n:
+        return None
+    wanted = max(1, min(PIVOTS, 4 * -(-n // size)))
+    few = points.withColumn("_u", hash_order(["_id"], seed)).orderBy("_u", "_id").limit(SAMPLE).select("_v").collect()
+    pivots = _spread_out(np.array([r._v for r in few], np.float64).reshape(-1, width), wanted)
+    references = min(REFERENCES, len(pivots))
+
+    def measured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in frames:
+            if len(rows):
+                d = _distances(np.stack(rows["_v"].to_numpy()).astype(np.float64), pivots)
+                cell = d.argmin(axis=1)
+                far = np.concatenate([d[:, :references], d[np.arange(len(d)), cell][:, None]], axis=1)
+                yield rows.assign(_cell=cell.astype(np.int32), _far=list(far))
+
+    located = cut_lineage(points.select("_id", "_v").mapInPandas(measured, "_id long, _v array<double>, _cell int, _far array<double>"))
+    own = F.element_at("_far", -1)
+    cuts = F.percentile_approx(own, F.array(*[F.lit(i / RINGS) for i in range(1, RINGS)]), F.lit(1000)).alias("_cuts")
+    cells = located.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"), cuts)
+    rings = F.least(F.ceil(F.col("_n") / size), F.lit(RINGS))
+    step = F.filter("_cuts", lambda c, i: (i + 1) * rings % RINGS < rings)  # about as many cuts as the cell needs parts
+    cells = cells.select("_cell", F.when(rings > 1, step).otherwise(F.array().cast("array<double>")).alias("_cuts"))
+    ring = F.size(F.filter("_cuts", lambda c: c < own))
+    placed = located.join(cells, "_cell").withColumn("_ring", ring).drop("_cuts")
+    pieces = placed.groupBy("_cell", "_ring").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias("_pieces"))
+    piece = F.pmod(F.xxhash64("_id", F.lit(seed)), F.col("_pieces")).cast("int")
+    name = F.shiftleft(F.col("_cell").cast("long"), 40) + F.shiftleft(F.col("_ring").cast("long"), 32) + piece
+    split = placed.join(pieces, ["_cell", "_ring"]).withColumn("_part", name)
+    ends = [f(F.col("_far")[i]) for f in (F.min, F.max) for i in range(references + 1)]
+    parts = split.groupBy("_part", "_cell").agg(
+        F.count(F.lit(1)).alias("_rows"), F.array(*ends[: references + 1]).alias("_low"), F.array(*ends[references + 1 :]).alias("_high")
+    )
+    return PivotTable(pivots, cut_lineage(split.select("_id", "_v", "_part")), cut_lineage(parts))
+
+
+def _first_look(table: Parts, k: int):
+    """The most promising part of a piece of the table, and a distance within which k other points must lie."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in frames:
+            for at in range(0, len(rows), 1024):
+                some = rows.iloc[at : at + 1024]
+                least, most = table.bounds(np.stack(some["_v"].to_numpy()).astype(np.float64))
+                best = (least + 1e-3 * most).argmin(axis=1)
+                order = np.argsort(most, axis=1)
+                enough = np.cumsum(table.rows[order], axis=1) >= (k + some["_self"].to_numpy(dtype=int))[:, None]
+                reach = np.take_along_axis(most, np.take_along_axis(order, enough.argmax(axis=1)[:, None], axis=1), axis=1)[:, 0]
+                promise = least[np.arange(len(some)), best]
+                yield some.assign(_part=table.part[best], _promise=promise, _r=np.where(enough.any(axis=1), reach, np.inf))
+
+    return run
 
 
-def _direction(width: int, seed: int) -> list[float]:
-    w = np.random.default_rng(seed).normal(size=width)
-    return [float(x) for x in w / np.linalg.norm(w)]
+def _reached(table: Parts):
+    """A row for every part, but that of the first look, which may hold a point within the query's distance."""
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in frames:
+            for at in range(0, len(rows), 256):
+                some = rows.iloc[at : at + 256].reset_index(drop=True)
+                least, _ = table.bounds(np.stack(some["_v"].to_numpy()).astype(np.float64))
+                asked = (least <= some["_r"].to_numpy()[:, None]) & (table.part[None, :] != some["_home"].to_numpy()[:, None])
+                query, part = np.nonzero(asked)
+                yield some.iloc[query][["_id", "_v", "_self", "_r"]].assign(_part=table.part[part])
 
-def _project(vector: str, direction: Sequence[float]) -> Column:
-    weights = F.array(*[F.lit(x) for x in direction])
-    return F.aggregate(F.zip_with(F.col(vector), weights, lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
+    return run
 
 
-def _parts(df: DataFrame, key: str, name: str, size: int, seed: int) -> DataFrame:
-    """Number the rows of each block into parts of about ``size`` rows."""
-    counts = df.groupBy("_block").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias("_n"))
-    return df.join(counts, "_block").withColumn(name, F.pmod(F.xxhash64(key, F.lit(seed)), F.col("_n")).cast("int")).drop("_n")
+def _chunked(asked: DataFrame, size: int, seed: int) -> DataFrame:
+    """Cut the queries of each part into chunks of about ``size`` rows."""
+    counts = asked.groupBy("_part").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias("_n"))
+    return asked.join(counts, "_part").withColumn("_chunk", F.pmod(F.xxhash64("_id", F.lit(seed)), F.col("_n")).cast("int")).drop("_n")
 
 
-def _compare(k: int, bounded: bool):
+def _compare(k: int):
     def run(queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query": [], "neighbour": [], "distance": []}).astype({"query": "int64", "neighbour": "int64"})
         if queries.empty or points.empty:
@@ -47,8 +176,7 @@ def _compare(k: int, bounded: bool):
         points = points.sort_values("_id")
         q, p = np.stack(queries["_v"].to_numpy()), np.stack(points["_v"].to_numpy())
         ids, asked = points["_id"].to_numpy(), queries["_id"].to_numpy()
-        own = queries["_self"].to_numpy(dtype=bool)
-        limit = queries["_r"].to_numpy() if bounded else np.full(len(asked), np.inf)
+        own, limit = queries["_self"].to_numpy(dtype=bool), queries["_r"].to_numpy()
         out = []
         step = max(1, 4_000_000 // max(p.size, 1))
         for i in range(0, len(asked), step):
@@ -65,43 +193,73 @@ def _compare(k: int, bounded: bool):
     return run
 
 
+def _pairwise(asked: DataFrame, points: DataFrame, k: int) -> DataFrame:
+    cell = ["_part", "_chunk"]
+    cells = asked.select(*cell).distinct()
+    # fresh names: both sides may come from the same table
+    p = points.join(cells, "_part").select(*[F.col(c).alias(f"{c}_p") for c in cell], "_id", "_v")
+    q = asked.select(*cell, "_id", "_v", "_self", "_r")
+    return q.groupBy(*cell).cogroup(p.groupBy(*[f"{c}_p" for c in cell])).applyInPandas(_compare(k), SCHEMA)
+
+
 def _best(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query").orderBy("distance", "neighbour")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+@dataclass
+class Search:
+    """Queries with their first part, and the parts that they look at after it (a row a query and part)."""
+
+    table: PivotTable
+    first: DataFrame
+    found: DataFrame
+    more: DataFrame
+    settled: DataFrame
+
+
+def search(asks: DataFrame, table: PivotTable, k: int, size: int, seed: int) -> Search:
+    """Look at one part per query, then list the parts that may hold a nearer point.
+
+    Queries at distance 0 of k points are settled: nothing can be nearer, however many points are equal.
+    """
+    tables = list(table.tables())
+    looks = [asks.mapInPandas(_first_look(t, k), "_id long, _v array<double>, _self boolean, _part long, _promise double, _r double") for t in tables]
+    first = looks[0]
+    if len(looks) > 1:  # the best of all pieces
+        every = looks[0]
+        for look in looks[1:]:
+            every = every.unionByName(look)
+        best = every.groupBy("_id").agg(F.min_by("_part", "_promise").alias("_part"), F.min("_r").alias("_r"))
+        first = asks.join(best, "_id")
+    first = cut_lineage(first.select("_id", "_v", "_self", "_part", "_r"))
+    found = cut_lineage(_pairwise(_chunked(first, size, seed + 1), table.points, k))
+    kth = found.groupBy(F.col("query").alias("_id")).agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("_kth"))
+    near = lookup(first, kth, ["_id"], {"_kth": None}).withColumn("_r", F.least("_r", "_kth")).withColumnRenamed("_part", "_home").drop("_kth")
+    near = near.select("_id", "_v", "_self", "_r", "_home")
+    open_ = near.where(F.col("_r") > 0)
+    more = None
+    for t in tables:
+        reached = open_.mapInPandas(_reached(t), "_id long, _v array<double>, _self boolean, _r double, _part long")
+        more = reached if more is None else more.unionByName(reached)
+    return Search(table, first, found, more, near.where(F.col("_r") == 0).select(F.col("_id").alias("query")))
+
+
 def nearest(queries: DataFrame, points: DataFrame, unique_id: str, vector: str, k: int, same: bool = False, size: int = 2048, seed: int = 42) -> DataFrame:
     """The k nearest points of every query: query, neighbour, distance, rank; ties by id.
 
-    ``same`` says that queries are themselves points and must not find
-    themselves. Vectors are arrays of doubles without nulls.
+    ``same`` says that queries are themselves points and must not find themselves. Vectors are arrays of doubles
+    without nulls, all of one length. Without points there is no row.
     """
-    width = len(points.select(vector).first()[0])
-    direction = _direction(width, seed)
-    shape = lambda df: df.select(F.col(unique_id).cast("long").alias("_id"), F.col(vector).cast("array<double>").alias("_v")).withColumn("_p", _project("_v", direction))
-    pts, asks = shape(points), shape(queries).withColumn("_self", F.lit(same))
-    n = only_row(pts.agg(F.count(F.lit(1)).alias("n"))).value("n")
-    blocks = max(1, min(-(-n // size), 4096))
-    edges = {"_p": slice_edges(pts, {"_p": F.col("_p")}, blocks)["_p"] if blocks > 1 else []}
-    pts = _parts(assign_slices(pts, {"_p": "_block"}, edges), "_id", "_part", size, seed)
-
-    # first bound: one part of the query's own block
-    home = _parts(assign_slices(asks, {"_p": "_block"}, edges), "_id", "_chunk", size, seed + 1)
-    parts = pts.groupBy("_block").agg((F.max("_part") + 1).alias("_parts"))
-    first = home.join(parts, "_block").withColumn("_part", F.pmod(F.xxhash64("_id", F.lit(seed + 2)), F.col("_parts")).cast("int"))
-    near = _pairwise(first, pts, k, bounded=False)
-    radius = near.groupBy("query").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("_r"))
-
-    # then every part whose projections can hold a nearer point; at distance 0 nothing can be nearer
-    inf = F.lit(float("inf"))
-    bounded = lookup(asks.withColumnRenamed("_id", "query"), radius, ["query"], {"_r": inf}).withColumnRenamed("query", "_id")
-    ends = bounded.where(F.col("_r") > 0).withColumns({"_from": F.col("_p") - F.col("_r"), "_to": F.col("_p") + F.col("_r")})
-    ends = assign_slices(ends, {"_from": "_first", "_to": "_last"}, {"_from": edges["_p"], "_to": edges["_p"]})
-    spread = ends.select("_id", "_v", "_self", "_r", F.explode(F.sequence("_first", F.least("_last", F.lit(max(blocks - 1, 0) + 1)))).alias("_block"))
-    spread = _parts(spread, "_id", "_chunk", size, seed + 1)
-    each = spread.join(parts, "_block").select("*", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
-    more = _pairwise(each, pts, k, bounded=True)
-    return _best(more.unionByName(_equal_points(asks, pts, radius.where(F.col("_r") == 0), k)), k)
+    shape = lambda df: df.select(F.col(unique_id).cast("long").alias("_id"), F.col(vector).cast("array<double>").alias("_v"))
+    asks = shape(queries).withColumn("_self", F.lit(same))
+    table = pivot_table(shape(points), size, seed)
+    if table is None:
+        return queries.sparkSession.createDataFrame([], T.StructType.fromDDL(SCHEMA + ", rank int"))
+    s = search(asks, table, k, size, seed)
+    more = _pairwise(_chunked(s.more, size, seed + 1), table.points, k)
+    unsettled = s.found.join(s.settled, "query", "left_anti")
+    return _best(unsettled.unionByName(more).unionByName(_equal_points(asks, table.points, s.settled, k)), k)
 
 
 def _equal_points(asks: DataFrame, pts: DataFrame, settled: DataFrame, k: int) -> DataFrame:
@@ -109,20 +267,11 @@ def _equal_points(asks: DataFrame, pts: DataFrame, settled: DataFrame, k: int) -
     by_id = Window.partitionBy("_v").orderBy("_id")
     first = pts.select("_v", "_id").withColumn("_i", F.row_number().over(by_id))
     first = first.where(F.col("_i") <= k + 1).select("_v", F.col("_id").alias("neighbour"))
-    asked = asks.select(F.col("_id").alias("query"), "_v", "_self").join(settled.select("query"), "query", "left_semi")
+    asked = asks.select(F.col("_id").alias("query"), "_v", "_self").join(settled, "query", "left_semi")
     found = asked.join(first, "_v").where(~(F.col("_self") & (F.col("query") == F.col("neighbour"))))
     return found.select("query", "neighbour", F.lit(0.0).alias("distance"))
 
 
-def _pairwise(asked: DataFrame, pts: DataFrame, k: int, bounded: bool) -> DataFrame:
-    cell = ["_block", "_part", "_chunk"]
-    q = asked.select(*cell, "_id", "_v", "_self", *(["_r"] if bounded else []))
-    cells = asked.select(*cell).distinct()
-    # fresh names: both sides may come from the same table
-    p = pts.join(cells, ["_block", "_part"]).select(*[F.col(c).alias(f"{c}_p") for c in cell], "_id", "_v")
-    return q.groupBy(*cell).cogroup(p.groupBy(*[f"{c}_p" for c in cell])).applyInPandas(_compare(k, bounded), SCHEMA)
-
-
 # --- imputation -------------------------------------------------------------
 
 def knn_impute(df: DataFrame, unique_id: str, target: str, features: Sequence[str], k: int = 5, fit: DataFrame | None = None) -> DataFrame:

@@ -190,7 +190,7 @@ def running(
     def arrange(names_: Iterable[str]) -> list[Column]:
         return [F.col(n).desc() if descending else F.col(n).asc() for n in names_]
 
-    newest = F.struct(*[F.col(o) for o in order])
+    newest = packed_order(df, order) if any(kind == "previous" for kind, _ in measures.values()) else None
     cell_aggs = []
     for n, (kind, _) in measures.items():
         c = inputs[n]
@@ -283,6 +283,101 @@ def hash_positions(
     return running(rows, keys, ["_u", *ids], measures, sliced=True).drop("_u", SLICE)
 
 
+#: Rows that one task orders without help; a key with more, if it is a notable share of all rows, is cut into slices.
+HEAVY_ROWS = 1 << 20
+
+
+def heavy_keys(df: DataFrame, keys: Sequence[str], heavy: int = HEAVY_ROWS) -> DataFrame | None:
+    """The keys that hold more than ``heavy`` rows and a sixteenth of an average partition, or None.
+
+    One counting pass with map-side aggregation. There are at most sixteen such keys a shuffle partition.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    rows = only_row(counts.agg(F.max("_n").alias("most"), F.sum("_n").alias("n")))
+    share = (rows.value("n") or 0) / (16 * slice_count(df))
+    if (rows.value("most") or 0) <= max(heavy, share):
+        return None
+    return cut_lineage(counts.where(F.col("_n") > max(heavy, share)).drop("_n"))
+
+
+def _among(keys: Sequence[str], few: DataFrame) -> tuple[DataFrame, Column]:
+    """Rename the key columns of ``few``; null keys meet null keys."""
+    named = few.select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)])
+    meet = F.lit(True)
+    for i, k in enumerate(keys):
+        meet = meet & F.col(k).eqNullSafe(F.col(f"_h{i}"))
+    return named, meet
+
+
+def in_order(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], measures: Mapping[str, tuple[str, Column]], heavy: int = HEAVY_ROWS
+) -> DataFrame:
+    """Add running measures per key as ``running`` does, by a secondary sort.
+
+    One exchange by key and one sort by key and order serve all measures, and an aggregation by the same keys after it
+    needs no other exchange. Only keys too large for a task (:func:`heavy_keys`) are cut into slices instead.
+    """
+    keys, names = list(keys), list(measures)
+    few = heavy_keys(df, keys, heavy)
+    light = df
+    if few is not None:
+        named, meet = _among(keys, few)
+        light = df.join(named, meet, "left_anti")
+    window = Window.partitionBy(*keys).orderBy(*order)
+    upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy(*keys)
+    fold = {
+        "count": lambda c: F.count(c).over(upto), "sum": lambda c: F.sum(c).over(upto), "max": lambda c: F.max(c).over(upto),
+        "min": lambda c: F.min(c).over(upto), "total": lambda c: F.sum(c).over(whole), "previous": lambda c: F.lag(c).over(window),
+    }
+    arranged = light.repartition(*keys).sortWithinPartitions(*keys, *order)
+    out = arranged.select("*", *[fold[measures[n][0]](measures[n][1]).alias(n) for n in names])
+    if few is None:
+        return out
+    rest = df.join(named, meet, "left_semi")
+    return out.unionByName(running(rest, keys, order, measures))
+
+
+def _whole_number(df: DataFrame, name: str) -> Column | None:
+    """A long that orders like an integer, date or timestamp column."""
+    dtype = df.schema[name].dataType
+    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)):
+        return F.col(name).cast("long")
+    if isinstance(dtype, T.DateType):
+        return F.unix_date(name).cast("long")
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(F.col(name).cast("timestamp"))
+    return None
+
+
+def packed_order(df: DataFrame, order: Sequence[str]) -> Column:
+    """One number that orders like the columns, so that newest and oldest rows are found by hash aggregation.
+
+    Each column takes as many bits as its range in ``df`` needs, read by one pass; nulls come first. Up to 62 bits make
+    a long, up to 125 a decimal; columns that are no whole numbers or times, or need more, make a struct.
+    """
+    numbers = [_whole_number(df, c) for c in order]
+    whole = F.struct(*[F.col(o) for o in order])
+    if any(n is None for n in numbers):
+        return whole
+    ends = only_row(df.agg(*[f(n).alias(f"{f.__name__}{i}") for i, n in enumerate(numbers) for f in (F.min, F.max)]))
+    low = [ends.value(f"min{i}") or 0 for i in range(len(numbers))]
+    bits = [((ends.value(f"max{i}") or 0) - x + 1).bit_length() for i, x in enumerate(low)]
+    places = [F.coalesce(n - F.lit(x) + 1, F.lit(0)) for n, x in zip(numbers, low)] if sum(bits) <= 62 else None
+    if places is not None:
+        packed = F.lit(0).cast("long")
+        for place, width in zip(places, bits):
+            packed = F.shiftleft(packed, width) + place
+        return packed
+    if sum(bits) > 125:
+        return whole
+    packed = F.lit(0).cast("decimal(38,0)")
+    for n, x, width in zip(numbers, low, bits):
+        place = F.coalesce(n.cast("decimal(20,0)") - F.lit(str(x - 1)).cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)"))
+        packed = (packed * F.lit(str(1 << width)).cast("decimal(20,0)") + place).cast("decimal(38,0)")
+    return packed
+
+
 def rank_table(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Distinct (by, value) with their average rank ``_rank`` and the group's count ``_of``; no nulls."""
     by = list(by)

@@ -108,11 +108,10 @@ FROM ({JOINED}) WINDOW c AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orde
        "fe_card_cum_amount fe_card_txn_freq")
 def velocity_card(t):
     rows = orders_with_customer(t).select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "c_nationkey", "c_mktsegment")
-    out = H.velocity(
+    return H.velocity_features(
         rows, "o_orderdate", "o_orderkey", "o_totalprice",
         {"card": "o_custkey", "addr": "c_nationkey", "email": "c_mktsegment"}, EPOCH,
     )
-    return out.select("o_orderkey", *[c for c in out.columns if c.startswith("fe_")])
 
 
 @query("velocity_by_split", "W1 W2 W3", f"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import scalars as S
 from ledgerlens.operators import audit as A
 from ledgerlens.operators import encode as E
+from ledgerlens.operators import history as H
 from ledgerlens.operators import models as L
 from ledgerlens.operators import neighbours as N
 from ledgerlens.operators import recommend as RC
@@ -38,6 +39,41 @@ def test_running_measures_match_pandas_on_a_hot_key(spark):
         assert np.allclose(out[c].astype(float), want[c].astype(float), equal_nan=True), c
 
 
+def test_one_sort_and_slices_agree(spark):
+    pdf, df = hot_frame(spark)
+    measures = {"n": ("count", F.lit(1)), "s": ("sum", F.col("v")), "m": ("max", F.col("v")), "low": ("min", F.col("v")), "p": ("previous", F.col("v")), "all": ("total", F.lit(1))}
+    plain = ordering.in_order(df, ["k"], ["t", "id"], measures)
+    cut = ordering.in_order(df, ["k"], ["t", "id"], measures, heavy=100)
+    assert [r.k for r in ordering.heavy_keys(df, ["k"], 100).collect()] == [7] and ordering.heavy_keys(df, ["k"]) is None
+    a, b = (x.toPandas().sort_values("id").reset_index(drop=True) for x in (plain, cut))
+    pd.testing.assert_frame_equal(a, b[a.columns], check_dtype=False)
+    text = plain.select("*")._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange ") == 1 and text.count("Sort [") == 1 and "Union" not in text
+
+
+def test_packed_order_is_the_order_of_the_columns(spark):
+    rng = np.random.default_rng(3)
+    for spread in (1000, 2**45, 2**62):
+        rows = [(None if i % 17 == 0 else int(rng.integers(-spread, spread)), int(rng.integers(-5, 5)), i) for i in range(200)]
+        df = spark.createDataFrame(rows, "a long, b int, i long")
+        got = [r.i for r in df.orderBy(ordering.packed_order(df, ["a", "b", "i"])).collect()]
+        assert got == [r.i for r in df.orderBy("a", "b", "i").collect()], spread
+
+
+def test_velocity_of_null_and_heavy_keys(spark):
+    pdf, df = hot_frame(spark, 1500)
+    df = df.selectExpr("id", "timestamp_seconds(t * 3600) ts", "v", "case when id % 7 > 0 then k end k", "case when id % 5 > 0 then id % 3 end z")
+    rows = [H.velocity(df, "ts", "id", "v", {"card": "k", "mail": "z"}, "1970-01-01", heavy=h).toPandas().sort_values("id").reset_index(drop=True) for h in (1 << 20, 50)]
+    pd.testing.assert_frame_equal(*rows)
+    want = df.toPandas().sort_values(["ts", "id"])
+    for key, name in (("k", "card"), ("z", "mail")):
+        want[f"fe_{name}_txn_count"] = want.groupby(key).cumcount().where(want[key].notna())
+    want["fe_card_cum_amount"] = want.groupby("k").v.cumsum()
+    want = want.sort_values("id").reset_index(drop=True)
+    for c in ("fe_card_txn_count", "fe_mail_txn_count", "fe_card_cum_amount"):
+        assert np.allclose(rows[0][c].astype(float), want[c].astype(float), equal_nan=True), c
+
+
 def test_running_descending_and_null_keys(spark):
     df = spark.createDataFrame([(1, None, 5), (2, None, 3), (3, "a", 4)], "id long, k string, t long")
     out = running(df, ["k"], ["t", "id"], {"n": ("count", F.lit(1))}, descending=True).toPandas().set_index("id").n
@@ -128,6 +164,40 @@ def test_nearest_matches_brute_force_over_many_blocks(spark):
         assert np.allclose(sorted(g.distance), np.sort(d[q])[:4])
 
 
+def test_pivots_skip_most_parts_of_clustered_points(spark):
+    rng = np.random.default_rng(4)
+    middles = rng.normal(size=(30, 64)) * 3
+    x = middles[np.arange(3000) % 30] + rng.normal(size=(3000, 64)) * 0.3
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(3000), "v": x.tolist()}))
+    asks = df.select(F.col("id").alias("_id"), F.col("v").alias("_v"))
+    table = N.pivot_table(asks, 64, 42)
+    found = N.search(asks.withColumn("_self", F.lit(True)), table, 5, 64, 42)
+    parts, looked = table.parts.count(), found.more.count() + 3000
+    assert parts >= 30 and looked < 0.2 * parts * 3000
+    out = N.nearest(df, df, "id", "v", 5, same=True, size=64).toPandas().sort_values(["query", "rank"])
+    for q in rng.choice(3000, 60, replace=False):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        assert out[out["query"] == q].neighbour.tolist() == np.argsort(d, kind="stable")[:5].tolist()
+
+
+def test_pivots_keep_every_point_and_bound_parts(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(700, 3)), np.ones((500, 3)), np.zeros((1, 3))])
+    df = spark.createDataFrame(pd.DataFrame({"_id": np.arange(len(x)), "_v": x.tolist()}))
+    table = N.pivot_table(df, 50, 1)
+    points = table.points.toPandas()
+    assert sorted(points._id) == list(range(len(x))) and points.groupby("_part").size().max() < 120
+    (parts,) = table.tables()
+    asks = rng.normal(size=(20, 3)) * 2
+    least, most = parts.bounds(asks)
+    for j, part in enumerate(parts.part):
+        own = np.stack(points[points._part == part]._v.to_numpy())
+        d = np.sqrt(((asks[:, None] - own[None]) ** 2).sum(axis=2))
+        assert (least[:, j] <= d.min(axis=1)).all() and (most[:, j] >= d.max(axis=1)).all()
+    assert N.nearest(df.limit(0), df, "_id", "_v", 3).count() == 0 and N.nearest(df, df.limit(0), "_id", "_v", 3).count() == 0
+
+
 def test_equal_points_find_equal_points(spark):
     df = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(300)], "id long, vec array<double>")
     out = N.nearest(df, df, "id", "vec", 3, same=True, size=32).toPandas()
