@@ -4,9 +4,13 @@ Exact runs: every window of 50 words has an anchor, the smallest of its five-wor
 windows are joined by anchor, offset and digest to the first document that has the whole window.
 
 Near ones: seeds are five-word windows, thinned to the smallest hash of every few neighbours. Each seed is joined to its
-first occurrence, by document; every occurrence of a seed that a document has in common with one other is chained in
-order, with a cost for gaps, by a Fenwick tree of prefix maxima. One seed is a chain. Texts around a chain are then aligned
-word by word, and stretches that agree well enough and are long enough are the passages.
+first occurrence, by document, and so are pairs of seeds some 24 to 39 words apart, so that documents which quote a
+part of a passage don't hide one that has it whole. Every occurrence of a seed that a document has in common with one
+other is chained in order, with a cost for gaps, by a Fenwick tree of prefix maxima. One seed is a chain. Texts around a
+chain are then aligned word by word, and stretches that agree well enough and are long enough are the passages.
+
+Only one of equal texts takes part. Most seeds occur in one document: a first pass sends bare hashes, many in a row, to
+count them, and a Bloom filter of the shared ones, of bounded size, keeps the others from the second.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import keep, lowered, mix, other_columns, slices, small, text_arrays, tidy
+from ledgerlens.llm.common import keep, lowered, mix, other_columns, slices, small, text_arrays, tidy, write_table
 from ledgerlens.llm.near_dedup import _POWER, SHINGLE, shingle_hashes, word_hashes
 
 #: Neighbouring windows of which the smallest is a seed; a power of two.
@@ -29,8 +33,12 @@ PASSAGE, SIMILARITY = 50, 0.8
 STEP = 32
 #: Gain of a seed, and loss for each word of a gap on either side, when seeds are chained.
 GAIN, LOSS = 16.0, 0.1
+#: Distances, in words, at which a seed makes a pair with the smallest one there.
+PAIRS = ((24, 31), (32, 39))
 #: Words on either side of a chain that are aligned too.
 MARGIN = 64
+#: Most bits of the filter of shared hashes (64 MB), and bits for each hash while there are fewer.
+FILTER_BITS, FILTER_RATE = 1 << 29, 16
 #: Requested stretches of one text that are cut out together.
 TOGETHER = 256
 
@@ -80,38 +88,119 @@ def run_windows(hashes: np.ndarray, owner: np.ndarray, least: int) -> tuple[np.n
     return starts, anchor[starts], (mix(digest[starts]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def _seeds(rows: DataFrame, least: int, windows: bool) -> DataFrame:
-    """``h``, ``key``, ``class``, ``at`` of every seed; with ``windows`` also the digests of the windows it anchors, and how
-    many words before it the first of them starts."""
+def _thinned_seeds(column: pa.Array, least: int) -> Iterator[tuple]:
+    """For slices of texts: first row, shingle hashes, owner of each word, bounds of texts, seed places, and run windows."""
+    texts = text_arrays(column)
+    for start, end in slices(texts):
+        low = [lowered(t) for t in texts.slice(start, end - start).to_pylist()]
+        offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, low), np.int64, len(low)))])
+        words, bounds = word_hashes(b"".join(low), offsets)
+        if len(words) < SHINGLE:
+            continue
+        hashes, size = shingle_hashes(words), np.diff(bounds)
+        owner = np.repeat(np.arange(len(size)), size)
+        windows = run_windows(hashes, owner, least)
+        new = np.flatnonzero(np.diff(windows[1], prepend=-1))
+        at = np.union1d(seed_places(hashes, owner, size, least), windows[1][new])
+        yield start, hashes, owner, bounds, at, windows, new
+
+
+def _shared_hashes(rows: DataFrame, least: int) -> DataFrame:
+    """``h`` of the seeds that more than one document has.
+
+    A row of the exchange has all hashes of a bucket in a slice of texts; one that several texts of the slice have is sent
+    twice at most.
+    """
+    buckets = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, hashes, owner, _, at, _, _ in _thinned_seeds(batch.column(0), least):
+                h, own = hashes[at], owner[at]
+                order = np.lexsort((own, h))
+                h, own = h[order], own[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (own[1:] != own[:-1])
+                h = h[new]
+                third = np.zeros(len(h), bool)
+                third[2:] = h[2:] == h[:-2]
+                h = h[~third]
+                bucket = (h % np.uint64(buckets)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                h, bucket = h[order].view(np.int64), bucket[order]
+                starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(h)).astype(np.int32)), pa.array(h))
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[starts]), lists], ["bucket", "hs"])
+
+    packed = rows.select("text").mapInArrow(tidy(run), "bucket int, hs array<bigint>")
+    counted = packed.repartition("bucket").select("bucket", F.explode("hs").alias("h")).groupBy("bucket", "h").agg(F.count(F.lit(1)).alias("n"))
+    return counted.where("n > 1").select("h")
+
+
+def _filter(shared: DataFrame) -> np.ndarray:
+    """Bits of a Bloom filter of hashes, two for each; ORed by Spark, so that the driver only gets the filter's words."""
+    bits = 1 << max(10, (shared.count() * FILTER_RATE).bit_length())
+    bits = min(bits, FILTER_BITS)
+    places = F.array(F.col("h"), F.shiftrightunsigned("h", 27))
+    place = shared.select(F.explode(places).alias("p")).select(F.col("p").bitwiseAND(bits - 1).alias("p"))
+    words = place.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("mask")).toPandas()
+    out = np.zeros(bits // 64, np.uint64)
+    out[words["word"].to_numpy(np.int64)] = words["mask"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def maybe_shared(h: np.ndarray, words: np.ndarray) -> np.ndarray:
+    found = np.ones(len(h), bool)
+    for p in (h, h >> np.uint64(27)):
+        p = p & np.uint64(64 * len(words) - 1)
+        found &= (words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return found
+
+
+def far_pairs(h: np.ndarray, at: np.ndarray, end: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each seed and the smallest one ``least`` to ``most`` words after it, before ``end``: number of the seed, of the
+    other, and a hash of both with their distance."""
+    first = np.searchsorted(at, at + least)
+    last = np.searchsorted(at, np.minimum(at + most + 1, end))
+    some = np.flatnonzero(first < last)
+    if not len(some):
+        return some, some, np.zeros(0, np.uint64)
+    order = np.lexsort((at, h))
+    rank = np.empty(len(h) + 1, np.int64)  # one more, as a range may end with the last seed
+    rank[order], rank[-1] = np.arange(len(h)), len(h)
+    other = order[np.minimum.reduceat(rank, np.stack([first[some], last[some]], axis=1).ravel())[::2]]
+    return some, other, mix(h[some] * _POWER + mix(h[other] + (at[other] - at[some]).astype(np.uint64)))
+
+
+def _seeds(rows: DataFrame, least: int, words: np.ndarray) -> DataFrame:
+    """``h``, ``key``, ``class``, ``at`` of the seeds and pairs of seeds that may be shared, the digests of the windows that a
+    seed anchors, and how many words before it the first of them starts."""
     kind = rows.schema["key"].dataType.simpleString()
+    known = rows.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = text_arrays(batch.column(2))
-            for start, end in slices(texts):
-                low = [lowered(t) for t in texts.slice(start, end - start).to_pylist()]
-                offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, low), np.int64, len(low)))])
-                words, bounds = word_hashes(b"".join(low), offsets)
-                if len(words) < SHINGLE:
-                    continue
-                hashes, size = shingle_hashes(words), np.diff(bounds)
-                owner = np.repeat(np.arange(len(size)), size)
-                first, anchor, digest = run_windows(hashes, owner, least)
-                new = np.flatnonzero(np.diff(anchor, prepend=-1))
-                at = np.union1d(seed_places(hashes, owner, size, least), anchor[new])
-                place = pa.array(owner[at] + start)
-                columns = [pa.array(hashes[at].view(np.int64)), batch.column(0).take(place), batch.column(1).take(place)]
-                columns.append(pa.array((at - bounds[:-1][owner[at]]).astype(np.int32)))
-                if windows:
-                    held = np.searchsorted(at, anchor[new])
-                    back, count = np.zeros(len(at), np.int32), np.zeros(len(at), np.int32)
-                    back[held], count[held] = anchor[new] - first[new], np.diff(new, append=len(anchor))
-                    ends = np.concatenate([np.zeros(1, np.int32), np.cumsum(count, dtype=np.int32)])
-                    columns += [pa.array(back), pa.ListArray.from_arrays(pa.array(ends), pa.array(digest))]
-                yield pa.RecordBatch.from_arrays(columns, ["h", "key", "class", "at", "back", "digests"][: len(columns)])
-
-    more = ", back int, digests array<int>" if windows else ""
-    return rows.select("key", "class", "text").mapInArrow(tidy(run), f"h bigint, key {kind}, class bigint, at int{more}")
+            for start, hashes, owner, bounds, at, (first, anchor, digest), new in _thinned_seeds(batch.column(2), least):
+                held = np.searchsorted(at, anchor[new])
+                back, begin, count = (np.zeros(len(at), np.int64) for _ in range(3))
+                back[held], begin[held], count[held] = anchor[new] - first[new], new, np.diff(new, append=len(anchor))
+                may = maybe_shared(hashes[at], known.value)
+                pairs = [far_pairs(hashes[at], at, bounds[1:][owner[at]], *distances) for distances in PAIRS]
+                one, other, pair = (np.concatenate(x) for x in zip(*pairs))
+                both = may[one] & may[other]
+                one, pair, seed = one[both], pair[both], np.flatnonzero(may)
+                place = np.concatenate([seed, one])
+                h = np.concatenate([hashes[at][seed], pair])
+                size = np.concatenate([count[seed], np.zeros(len(one), np.int64)])
+                ends = np.concatenate([[0], np.cumsum(size)])
+                inside = np.arange(ends[-1]) - np.repeat(ends[:-1], size) + np.repeat(begin[place], size)
+                rows_ = pa.array(owner[at[place]] + start)
+                own = at[place] - bounds[:-1][owner[at[place]]]
+                columns = [pa.array(h.view(np.int64)), batch.column(0).take(rows_), batch.column(1).take(rows_), pa.array(own.astype(np.int32))]
+                columns += [pa.array(back[place].astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(digest[inside]))]
+                yield pa.RecordBatch.from_arrays(columns, ["h", "key", "class", "at", "back", "digests"])
+
+    return rows.select("key", "class", "text").mapInArrow(tidy(run), f"h bigint, key {kind}, class bigint, at int, back int, digests array<int>")
 
 
 def _exact(shared: DataFrame, least: int) -> DataFrame:
@@ -355,7 +444,7 @@ def shared_passages(df: DataFrame, key: str = "doc_id", text: str = "text", leas
     ``start_byte`` and ``end_byte`` (in the text's UTF-8, from the first to the last word), ``n_words``, ``similarity``.
     Passages have at least ``least`` words, of which ``similarity`` agree, A-Z lower-cased. All
     words in a run of ``least`` that an earlier document has are in some row; overlapping runs of one earlier document are
-    joined. Near passages are found where they share a seed with the document that has it first. A document found to share
+    joined. Near passages are found where they share a seed, or a pair of seeds, with the document that has it first. A document found to share
     passages with several earlier ones has rows for each, which may overlap. Of documents with equal texts all but the
     first have one row that covers the whole text, if it is long enough; only the first is compared with others. Null
     and shorter texts, and rows with a null key, have no row; rows equal in key and text count as one document.
@@ -363,11 +452,15 @@ def shared_passages(df: DataFrame, key: str = "doc_id", text: str = "text", leas
     rows = df.where(F.col(f"`{key}`").isNotNull() & F.col(f"`{text}`").isNotNull()).select(
         F.col(f"`{key}`").alias("key"), F.xxhash64(f"`{key}`", f"`{text}`").alias("row"), F.xxhash64(f"`{text}`").alias("class"), F.col(f"`{text}`").alias("text")
     )
-    classes = keep(rows.groupBy("class").agg(F.min(F.struct("key", "row")).alias("first")).select("class", "first.*"))
-    firsts = _seeds(rows, least, False).groupBy("h").agg(
+    classes = keep(rows.groupBy("class").agg(F.min(F.struct("key", "row")).alias("first"), F.count(F.lit(1)).alias("n")).select("class", "first.*", "n"))
+    repeated = classes.where("n > 1").select("class", F.col("row").alias("first_row"))
+    unique = rows.join(small(keep(repeated)), "class", "left").where(F.col("first_row").isNull() | (F.col("first_row") == F.col("row")))
+    words = _filter(keep(_shared_hashes(unique, least)))
+    seeds = write_table(_seeds(unique, least, words), "seeds")
+    firsts = seeds.groupBy("h").agg(
         F.min(F.struct("key", "class", "at")).alias("first"), F.min("class").alias("x"), F.max("class").alias("y")
     ).where("x != y").select("h", F.col("first.class").alias("first_class"), F.col("first.at").alias("first_at"))
-    shared = keep(_seeds(rows, least, True).join(firsts, "h"))
+    shared = keep(seeds.join(firsts, "h"))
     runs = keep(_exact(shared, least).withColumn("chain", F.xxhash64("class", "first_class", "first", "last")))
     anchors = shared.where("class != first_class")
     pairs = anchors.groupBy("class", "first_class").agg(F.collect_set(F.struct("at", "first_at")).alias("anchors"))
