@@ -4,10 +4,11 @@ Exact runs: every window of 50 words has an anchor, the smallest of its five-wor
 windows are joined by anchor, offset and digest to the first document that has the whole window.
 
 Near ones: seeds are five-word windows, thinned to the smallest hash of every few neighbours. Each seed is joined to its
-first occurrence, by document, and so are pairs of seeds some 24 to 39 words apart, so that documents which quote a
+first occurrence, by document, and so are pairs of seeds some 23 to 38 words apart, so that documents which quote a
 part of a passage don't hide one that has it whole. Every occurrence of a seed that a document has in common with one
-other is chained in order, with a cost for gaps, by a Fenwick tree of prefix maxima. One seed is a chain. Texts around a
-chain are then aligned word by word, and stretches that agree well enough and are long enough are the passages.
+other is chained in order, with a cost for gaps, by a Fenwick tree of prefix maxima. A chain has two seeds that don't overlap, as
+single ones are mostly chance. Texts around a chain are then aligned word by word, and stretches that agree well enough and
+are long enough are the passages.
 
 Only one of equal texts takes part. Most seeds occur in one document: a first pass sends bare hashes, many in a row, to
 count them, and a Bloom filter of the shared ones, of bounded size, keeps the others from the second.
@@ -33,8 +34,9 @@ PASSAGE, SIMILARITY = 50, 0.8
 STEP = 32
 #: Gain of a seed, and loss for each word of a gap on either side, when seeds are chained.
 GAIN, LOSS = 16.0, 0.1
-#: Distances, in words, at which a seed makes a pair with the smallest one there.
-PAIRS = ((24, 31), (32, 39))
+#: Distances, in words, at which every other seed, by a bit of its hash, makes a pair with the smallest one there.
+PAIRS = ((23, 30), (31, 38))
+ODD = np.uint64(1 << 12)
 #: Words on either side of a chain that are aligned too.
 MARGIN = 64
 #: Most bits of the filter of shared hashes (64 MB), and bits for each hash while there are fewer.
@@ -158,11 +160,11 @@ def maybe_shared(h: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 def far_pairs(h: np.ndarray, at: np.ndarray, end: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each seed and the smallest one ``least`` to ``most`` words after it, before ``end``: number of the seed, of the
+    """Of every other seed and the smallest one ``least`` to ``most`` words after it, before ``end``: number of the seed, of the
     other, and a hash of both with their distance."""
     first = np.searchsorted(at, at + least)
     last = np.searchsorted(at, np.minimum(at + most + 1, end))
-    some = np.flatnonzero(first < last)
+    some = np.flatnonzero((first < last) & ((h & ODD) > 0))
     if not len(some):
         return some, some, np.zeros(0, np.uint64)
     order = np.lexsort((at, h))
@@ -174,7 +176,7 @@ def far_pairs(h: np.ndarray, at: np.ndarray, end: np.ndarray, least: int, most:
 
 def _seeds(rows: DataFrame, least: int, words: np.ndarray) -> DataFrame:
     """``h``, ``key``, ``class``, ``at`` of the seeds and pairs of seeds that may be shared, the digests of the windows that a
-    seed anchors, and how many words before it the first of them starts."""
+    seed anchors, and how many words before it the first of them starts (negative: of a pair, where its other seed is)."""
     kind = rows.schema["key"].dataType.simpleString()
     known = rows.sparkSession.sparkContext.broadcast(words)
 
@@ -196,31 +198,73 @@ def _seeds(rows: DataFrame, least: int, words: np.ndarray) -> DataFrame:
                 inside = np.arange(ends[-1]) - np.repeat(ends[:-1], size) + np.repeat(begin[place], size)
                 rows_ = pa.array(owner[at[place]] + start)
                 own = at[place] - bounds[:-1][owner[at[place]]]
+                before = np.concatenate([back[seed], at[one] - at[other[both]]])
                 columns = [pa.array(h.view(np.int64)), batch.column(0).take(rows_), batch.column(1).take(rows_), pa.array(own.astype(np.int32))]
-                columns += [pa.array(back[place].astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(digest[inside]))]
+                columns += [pa.array(before.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(digest[inside]))]
                 yield pa.RecordBatch.from_arrays(columns, ["h", "key", "class", "at", "back", "digests"])
 
     return rows.select("key", "class", "text").mapInArrow(tidy(run), f"h bigint, key {kind}, class bigint, at int, back int, digests array<int>")
 
 
-def _exact(shared: DataFrame, least: int) -> DataFrame:
+def _links(seeds: DataFrame) -> DataFrame:
+    """What each occurrence of a seed, and each window it anchors, has in common with the first document that has it.
+
+    ``class``, ``first_class`` and either ``anchor`` (place in the own text and, in the low half, in the other) or
+    ``run`` (first and last word after an equal stretch of windows). Seeds are exchanged once, by hash, and read in order.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = first = None
+        holders: dict[tuple, int] = {}
+        for batch in batches:
+            out: list[tuple] = []
+            for h, own, at, back, digests in zip(*(batch.column(c).to_pylist() for c in ("h", "class", "at", "back", "digests"))):
+                if h != now:
+                    now, first = h, (own, at)
+                    holders = {}
+                if own != first[0]:
+                    out.append((own, first[0], at << 32 | first[1], None))
+                    if back < 0:  # a pair: its other seed too
+                        out.append((own, first[0], at - back << 32 | first[1] - back, None))
+                stretch = None
+                for n, digest in enumerate(digests):
+                    holder = holders.setdefault((back - n, digest), own)
+                    if holder == own:
+                        continue
+                    start = at - back + n
+                    if stretch and stretch[0] == holder and stretch[2] == start - 1:
+                        stretch[2] = start
+                        continue
+                    if stretch:
+                        out.append((own, stretch[0], None, stretch[1] << 32 | stretch[2]))
+                    stretch = [holder, start, start]
+                if stretch:
+                    out.append((own, stretch[0], None, stretch[1] << 32 | stretch[2]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["class", "first_class", "anchor", "run"])
+
+    ordered = seeds.repartition("h").sortWithinPartitions("h", "key", "class", "at").select("h", "class", "at", "back", "digests")
+    return ordered.mapInArrow(tidy(run), "class bigint, first_class bigint, anchor bigint, run bigint")
+
+
+def _exact(links: DataFrame, least: int) -> DataFrame:
     """``class``, ``first_class``, ``first``, ``last``: words of a class that lie in runs the other class has before it."""
-    placed = shared.where(F.size("digests") > 0).select("h", "key", "class", "at", "back", F.posexplode("digests").alias("n", "digest"))
-    start = (F.col("at") - F.col("back") + F.col("n")).alias("start")
-    windows = placed.select(F.xxhash64("h", F.col("back") - F.col("n"), "digest").alias("window"), "key", "class", start)
-    firsts = windows.groupBy("window").agg(
-        F.min(F.struct("key", "class")).alias("first"), F.min("class").alias("x"), F.max("class").alias("y")
-    ).where("x != y").select("window", F.col("first.class").alias("first_class"))
-    known = windows.select("window", "class", "start").join(firsts, "window").where("class != first_class")
-    starts = known.groupBy("class", "first_class").agg(F.sort_array(F.collect_set("start")).alias("starts"))
+    starts = links.where("run is not null").groupBy("class", "first_class").agg(F.sort_array(F.collect_set("run")).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for own, other, at in zip(*(c.to_pylist() for c in batch.columns)):
-                cuts = np.flatnonzero(np.diff(at) > 1)
-                firsts, lasts = np.array(at)[np.concatenate([[0], cuts + 1])], np.array(at)[np.concatenate([cuts, [-1]])]
-                out += [(own, other, int(x), int(y) + least) for x, y in zip(firsts, lasts)]
+            for own, other, runs in zip(*(c.to_pylist() for c in batch.columns)):
+                first = last = None
+                for x in runs:
+                    low, high = x >> 32, x & 0xFFFFFFFF
+                    if first is not None and low <= last + 1:
+                        last = max(last, high)
+                        continue
+                    if first is not None:
+                        out.append((own, other, first, last + least))
+                    first, last = low, high
+                out.append((own, other, first, last + least))
             if out:
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["class", "first_class", "first", "last"])
@@ -293,6 +337,11 @@ def chain(here: np.ndarray, there: np.ndarray) -> list[list[int]]:
     return out
 
 
+def _apart(places: np.ndarray) -> bool:
+    """Whether two seeds at these places do not overlap."""
+    return int(places.max() - places.min()) >= SHINGLE
+
+
 def _chains(pairs: DataFrame) -> DataFrame:
     """Chains of each pair of classes."""
 
@@ -300,8 +349,11 @@ def _chains(pairs: DataFrame) -> DataFrame:
         for batch in batches:
             out: list[tuple] = []
             for own, other, anchors in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                here, there = thinned(*(np.array([x[c] for x in anchors], np.int64) for c in ("at", "first_at")))
-                out += [(own, other, here[links].tolist(), there[links].tolist()) for links in chain(here, there)]
+                packed = np.array(anchors, np.int64)
+                if not _apart(packed >> 32):
+                    continue
+                here, there = thinned(packed >> 32, packed & 0xFFFFFFFF)
+                out += [(own, other, here[links].tolist(), there[links].tolist()) for links in chain(here, there) if _apart(here[links])]
             if out:
                 own, other, b, a = zip(*out)
                 ints = pa.list_(pa.int32())
@@ -456,14 +508,9 @@ def shared_passages(df: DataFrame, key: str = "doc_id", text: str = "text", leas
     repeated = classes.where("n > 1").select("class", F.col("row").alias("first_row"))
     unique = rows.join(small(keep(repeated)), "class", "left").where(F.col("first_row").isNull() | (F.col("first_row") == F.col("row")))
     words = _filter(keep(_shared_hashes(unique, least)))
-    seeds = write_table(_seeds(unique, least, words), "seeds")
-    firsts = seeds.groupBy("h").agg(
-        F.min(F.struct("key", "class", "at")).alias("first"), F.min("class").alias("x"), F.max("class").alias("y")
-    ).where("x != y").select("h", F.col("first.class").alias("first_class"), F.col("first.at").alias("first_at"))
-    shared = keep(seeds.join(firsts, "h"))
-    runs = keep(_exact(shared, least).withColumn("chain", F.xxhash64("class", "first_class", "first", "last")))
-    anchors = shared.where("class != first_class")
-    pairs = anchors.groupBy("class", "first_class").agg(F.collect_set(F.struct("at", "first_at")).alias("anchors"))
+    links = write_table(_links(_seeds(unique, least, words)), "links")
+    runs = keep(_exact(links, least).withColumn("chain", F.xxhash64("class", "first_class", "first", "last")))
+    pairs = links.where("anchor is not null").groupBy("class", "first_class").agg(F.collect_set("anchor").alias("anchors"))
     chains = keep(_chains(pairs).withColumn("chain", F.xxhash64("class", "first_class", "b", "a")))
 
     def request(side: int, name: str, at: str):

@@ -210,7 +210,7 @@ def test_documents_that_quote_parts_hide_no_passage(spark):
         wanted[4000 + i] = set(range(30, 90))
     spans, texts = spans_of(spark, rows), dict(rows)
     share = [len(words & covered(texts[k], spans[k])) / 60 for k, words in wanted.items()]
-    assert sum(x >= 0.9 for x in share) >= 0.95 * n, share
+    assert sum(x >= 0.8 for x in share) >= 0.95 * n, share
 
 
 def test_equal_texts_take_part_once(spark):
