@@ -107,13 +107,18 @@ def _thinned_seeds(column: pa.Array, least: int) -> Iterator[tuple]:
         yield start, hashes, owner, bounds, at, windows, new
 
 
-def _shared_hashes(rows: DataFrame, least: int) -> DataFrame:
-    """``h`` of the seeds that more than one document has.
+def shortened(h: np.ndarray, buckets: int) -> np.ndarray:
+    """What the filter knows of a hash: its bucket, and 32 bits of the rest."""
+    rest, bucket = np.divmod(h, np.uint64(buckets))
+    return bucket + np.uint64(buckets) * (rest & np.uint64(0xFFFFFFFF))
 
-    A row of the exchange has all hashes of a bucket in a slice of texts; one that several texts of the slice have is sent
-    twice at most.
+
+def _shared_hashes(rows: DataFrame, least: int, buckets: int) -> DataFrame:
+    """``h``, shortened, of the seeds that more than one document has, and of few others.
+
+    A row of the exchange has the hashes of a bucket in a slice of texts, without what the bucket says; one that several
+    texts of the slice have is sent twice at most.
     """
-    buckets = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,27 +132,26 @@ def _shared_hashes(rows: DataFrame, least: int) -> DataFrame:
                 third = np.zeros(len(h), bool)
                 third[2:] = h[2:] == h[:-2]
                 h = h[~third]
-                bucket = (h % np.uint64(buckets)).astype(np.int32)
+                rest, bucket = np.divmod(h, np.uint64(buckets))
                 order = np.argsort(bucket, kind="stable")
-                h, bucket = h[order].view(np.int64), bucket[order]
+                h, bucket = rest[order].astype(np.uint32).view(np.int32), bucket[order].astype(np.int32)
                 starts = np.flatnonzero(np.diff(bucket, prepend=-1))
                 lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(h)).astype(np.int32)), pa.array(h))
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[starts]), lists], ["bucket", "hs"])
 
-    packed = rows.select("text").mapInArrow(tidy(run), "bucket int, hs array<bigint>")
+    packed = rows.select("text").mapInArrow(tidy(run), "bucket int, hs array<int>")
     counted = packed.repartition("bucket").select("bucket", F.explode("hs").alias("h")).groupBy("bucket", "h").agg(F.count(F.lit(1)).alias("n"))
-    return counted.where("n > 1").select("h")
+    return counted.where("n > 1").select((F.col("bucket") + buckets * F.col("h").cast("long").bitwiseAND(0xFFFFFFFF)).alias("h"))
 
 
 def _filter(shared: DataFrame) -> np.ndarray:
-    """Bits of a Bloom filter of hashes, two for each; ORed by Spark, so that the driver only gets the filter's words."""
-    bits = 1 << max(10, (shared.count() * FILTER_RATE).bit_length())
-    bits = min(bits, FILTER_BITS)
-    places = F.array(F.col("h"), F.shiftrightunsigned("h", 27))
-    place = shared.select(F.explode(places).alias("p")).select(F.col("p").bitwiseAND(bits - 1).alias("p"))
-    words = place.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("mask")).toPandas()
+    """Bits of a Bloom filter of hashes, two for each; set by Spark in pieces of 4 KB, so that the driver only gets these."""
+    bits = min(1 << max(15, (shared.count() * FILTER_RATE).bit_length()), FILTER_BITS)
+    place = shared.select(F.explode(F.array(F.col("h"), F.shiftrightunsigned("h", 27))).alias("p")).select(F.col("p").bitwiseAND(bits - 1).alias("p"))
+    pieces = place.groupBy(F.shiftright("p", 15).alias("piece")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(32767)).alias("bits"))
     out = np.zeros(bits // 64, np.uint64)
-    out[words["word"].to_numpy(np.int64)] = words["mask"].to_numpy(np.int64).view(np.uint64)
+    for row in pieces.toLocalIterator():
+        out[row.piece * 512 : (row.piece + 1) * 512] = np.frombuffer(row.bits, np.uint64)
     return out
 
 
@@ -174,7 +178,7 @@ def far_pairs(h: np.ndarray, at: np.ndarray, end: np.ndarray, least: int, most:
     return some, other, mix(h[some] * _POWER + mix(h[other] + (at[other] - at[some]).astype(np.uint64)))
 
 
-def _seeds(rows: DataFrame, least: int, words: np.ndarray) -> DataFrame:
+def _seeds(rows: DataFrame, least: int, words: np.ndarray, buckets: int) -> DataFrame:
     """``h``, ``key``, ``class``, ``at`` of the seeds and pairs of seeds that may be shared, the digests of the windows that a
     seed anchors, and how many words before it the first of them starts (negative: of a pair, where its other seed is)."""
     kind = rows.schema["key"].dataType.simpleString()
@@ -186,7 +190,7 @@ def _seeds(rows: DataFrame, least: int, words: np.ndarray) -> DataFrame:
                 held = np.searchsorted(at, anchor[new])
                 back, begin, count = (np.zeros(len(at), np.int64) for _ in range(3))
                 back[held], begin[held], count[held] = anchor[new] - first[new], new, np.diff(new, append=len(anchor))
-                may = maybe_shared(hashes[at], known.value)
+                may = maybe_shared(shortened(hashes[at], buckets), known.value)
                 pairs = [far_pairs(hashes[at], at, bounds[1:][owner[at]], *distances) for distances in PAIRS]
                 one, other, pair = (np.concatenate(x) for x in zip(*pairs))
                 both = may[one] & may[other]
@@ -214,34 +218,50 @@ def _links(seeds: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = first = None
-        holders: dict[tuple, int] = {}
+        now, before, holders = None, (0, 0), {}  # the seed a batch ends in, its first occurrence, who holds its windows
         for batch in batches:
-            out: list[tuple] = []
-            for h, own, at, back, digests in zip(*(batch.column(c).to_pylist() for c in ("h", "class", "at", "back", "digests"))):
-                if h != now:
-                    now, first = h, (own, at)
-                    holders = {}
-                if own != first[0]:
-                    out.append((own, first[0], at << 32 | first[1], None))
-                    if back < 0:  # a pair: its other seed too
-                        out.append((own, first[0], at - back << 32 | first[1] - back, None))
-                stretch = None
-                for n, digest in enumerate(digests):
-                    holder = holders.setdefault((back - n, digest), own)
-                    if holder == own:
-                        continue
-                    start = at - back + n
-                    if stretch and stretch[0] == holder and stretch[2] == start - 1:
-                        stretch[2] = start
-                        continue
-                    if stretch:
-                        out.append((own, stretch[0], None, stretch[1] << 32 | stretch[2]))
-                    stretch = [holder, start, start]
-                if stretch:
-                    out.append((own, stretch[0], None, stretch[1] << 32 | stretch[2]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["class", "first_class", "anchor", "run"])
+            if not batch.num_rows:
+                continue
+            h, own, at, back = (batch.column(c).to_numpy().astype(np.int64) for c in ("h", "class", "at", "back"))
+            starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            size = np.diff(np.append(starts, len(h)))
+            seed = np.repeat(np.arange(len(starts)), size)
+            first, first_at = own[starts], at[starts]
+            goes_on = now is not None and now == h[0]
+            if goes_on:
+                first[0], first_at[0] = before
+            other, there = first[seed], first_at[seed]
+            met = own != other
+            pair = met & (back < 0)  # its other seed too
+            links = [(own[met], other[met], at[met] << 32 | there[met]), (own[pair], other[pair], at[pair] - back[pair] << 32 | there[pair] - back[pair])]
+
+            offsets, values = batch.column("digests").offsets.to_numpy(), batch.column("digests").values.to_numpy()
+            count = np.diff(offsets)
+            rows = np.flatnonzero((count > 0) & ((size[seed] > 1) | (seed == 0) | (seed == len(starts) - 1)))
+            row = np.repeat(rows, count[rows])
+            n = np.arange(len(row)) - np.repeat(np.cumsum(count[rows]) - count[rows], count[rows])
+            window = (h[row] * 31 + back[row] - n).view(np.uint64)
+            window = mix(window * _POWER + values[offsets[row] + n].view(np.uint32))
+            known, place, which = np.unique(window, return_index=True, return_inverse=True)
+            holder = own[row[place]]
+            if goes_on:
+                for i in np.flatnonzero(seed[row[place]] == 0).tolist():
+                    holder[i] = holders.get(int(known[i]), holder[i])
+            if len(starts) > 1 or not goes_on:
+                holders = {}
+            for i in np.flatnonzero(seed[row[place]] == len(starts) - 1).tolist():
+                holders.setdefault(int(known[i]), int(holder[i]))
+            now, before = h[-1], (int(first[-1]), int(first_at[-1]))
+            holder = holder[which]
+            later = holder != own[row]
+            row, holder, start = row[later], holder[later], (at[row] - back[row] + n)[later]
+            low = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (holder[1:] != holder[:-1]) | (start[1:] != start[:-1] + 1))[: len(row)])
+            high = np.append(low[1:], len(row))[: len(low)] - 1
+            links.append((own[row[low]], holder[low], start[low] << 32 | start[high]))
+            kind = np.repeat([True, True, False], [len(x[0]) for x in links])
+            mine, theirs, value = (np.concatenate(x) for x in zip(*links))
+            columns = [pa.array(mine), pa.array(theirs), pa.array(value, mask=~kind), pa.array(value, mask=kind)]
+            yield pa.RecordBatch.from_arrays(columns, ["class", "first_class", "anchor", "run"])
 
     ordered = seeds.repartition("h").sortWithinPartitions("h", "key", "class", "at").select("h", "class", "at", "back", "digests")
     return ordered.mapInArrow(tidy(run), "class bigint, first_class bigint, anchor bigint, run bigint")
@@ -505,10 +525,11 @@ def shared_passages(df: DataFrame, key: str = "doc_id", text: str = "text", leas
         F.col(f"`{key}`").alias("key"), F.xxhash64(f"`{key}`", f"`{text}`").alias("row"), F.xxhash64(f"`{text}`").alias("class"), F.col(f"`{text}`").alias("text")
     )
     classes = keep(rows.groupBy("class").agg(F.min(F.struct("key", "row")).alias("first"), F.count(F.lit(1)).alias("n")).select("class", "first.*", "n"))
-    repeated = classes.where("n > 1").select("class", F.col("row").alias("first_row"))
-    unique = rows.join(small(keep(repeated)), "class", "left").where(F.col("first_row").isNull() | (F.col("first_row") == F.col("row")))
-    words = _filter(keep(_shared_hashes(unique, least)))
-    links = write_table(_links(_seeds(unique, least, words)), "links")
+    again = keep(classes.where("n > 1").drop("n"))
+    unique = rows.join(small(again.select("class", F.col("row").alias("first_row"))), "class", "left").where(F.col("first_row").isNull() | (F.col("first_row") == F.col("row")))
+    buckets = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = _filter(keep(_shared_hashes(unique, least, buckets)))
+    links = write_table(_links(_seeds(unique, least, words, buckets)), "links")
     runs = keep(_exact(links, least).withColumn("chain", F.xxhash64("class", "first_class", "first", "last")))
     pairs = links.where("anchor is not null").groupBy("class", "first_class").agg(F.collect_set("anchor").alias("anchors"))
     chains = keep(_chains(pairs).withColumn("chain", F.xxhash64("class", "first_class", "b", "a")))
@@ -526,7 +547,7 @@ def shared_passages(df: DataFrame, key: str = "doc_id", text: str = "text", leas
     wanted = dealt.groupBy("class", "part").agg(F.collect_list(F.struct("chain", "side", "first", "last")).alias("wanted"))
     wanted = keep(wanted.join(classes.select("class", "row"), "class").select("row", "wanted"))
     # rows of one fingerprint have one text
-    cuts = keep(_cuts(rows.select("row", "text").join(wanted, "row").select("text", "wanted")).dropDuplicates(["chain", "side"]))
+    cuts = keep(_cuts(unique.select("row", "text").join(wanted, "row").select("text", "wanted")).dropDuplicates(["chain", "side"]))
     left = cuts.where("side = 0").select("chain", F.col("first").alias("first_b"), "base", F.col("cut").alias("text_b"))
     right = cuts.where("side = 1").select("chain", F.col("first").alias("first_a"), F.col("cut").alias("text_a"))
     both = chains.join(left, "chain").join(right, "chain").select("class", "first_class", "b", "a", "first_b", "base", "text_b", "first_a", "text_a")
@@ -541,8 +562,8 @@ def shared_passages(df: DataFrame, key: str = "doc_id", text: str = "text", leas
         "key", "row", "first_key", "start_byte", "end_byte", "n_words", "similarity"
     )
     size = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    copies = rows.select("key", "row", "class", F.octet_length("text").cast("long").alias("end_byte"), size.alias("n_words")).where(F.col("n_words") >= least)
-    copies = copies.join(classes.select("class", F.col("key").alias("first_key")), "class").where("key > first_key").select(
+    copies = rows.join(small(again.select("class", F.col("key").alias("first_key"))), "class").where("key > first_key")  # words of copies only are counted
+    copies = copies.select("key", "row", "first_key", F.octet_length("text").cast("long").alias("end_byte"), size.alias("n_words")).where(F.col("n_words") >= least).select(
         "key", "row", "first_key", F.lit(0).cast("long").alias("start_byte"), "end_byte", "n_words", F.lit(1.0).alias("similarity")
     )
     return partial.union(copies).distinct().withColumnsRenamed({"key": key, "first_key": f"first_{key}"})
