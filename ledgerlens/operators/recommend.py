@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -124,13 +125,20 @@ def svd_scores(positives: DataFrame, pairs: DataFrame, customer: str, item: str,
     def to_items(u: DataFrame) -> DataFrame:
         return cells.join(u, customer).groupBy(item).agg(*[F.sum(c).alias(c) for c in u.columns if c != customer])
 
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((width, width))
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.ravel())], ["cell", "value"])
+
     def gram(df: DataFrame) -> np.ndarray:
-        row = df.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i]).first()
-        out = np.zeros((width, width))
-        for i in range(width):
-            for j in range(i, width):
-                out[i, j] = out[j, i] = row[f"{i}_{j}"] or 0.0
-        return out
+        """Inner products of the columns: one matrix a task, added up by cell, however wide."""
+        found = df.select(*cols).mapInArrow(products, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value"))
+        out = np.zeros(width * width)
+        for row in found.collect():
+            out[row.cell] = row.value
+        return out.reshape(width, width)
 
     def rotate(df: DataFrame, key: str, matrix: np.ndarray) -> DataFrame:
         keep = range(matrix.shape[1])

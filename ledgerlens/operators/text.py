@@ -22,6 +22,15 @@ WORD_PATTERN = r"[a-zA-Z]+(?:'[a-zA-Z]+)?"
 TERM_PATTERN = r"\b[a-z][a-z-]{1,}\b"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a source to all cores if it is read in fewer pieces, for work that costs more than moving its rows.
+
+    A large source is read in more pieces than there are cores and stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def words(text: str | Column) -> Column:
     """Whitespace-separated words."""
     return F.filter(F.split(S.col(text), SPACE), lambda w: w != "")
@@ -63,16 +72,21 @@ LEXICONS = {"positive": L.POSITIVE, "negative": L.NEGATIVE, "uncertainty": L.UNC
 
 
 def lexical_features(df: DataFrame, text: str, lexicons: Mapping[str, Sequence[str]] = LEXICONS, negations: Sequence[str] = tuple(L.NEGATIONS)) -> DataFrame:
-    """Twelve features of a sentence. Lexicon features count distinct words."""
+    """Twelve features of a sentence. Lexicon features count distinct words.
+
+    A text is split once; one lookup per distinct word finds those of any lexicon, which are few.
+    """
     t = F.col(text)
     lower = F.lower(t)
-    w = words(lower)
-    distinct = F.array_distinct(w)
-    hits = {f"lm_{name}": F.size(F.array_intersect(distinct, F.array(*[F.lit(x) for x in lex]))) for name, lex in lexicons.items()}
+    w = F.col("_w")
+    listed = sorted({x for lex in lexicons.values() for x in lex})
+    among = lambda lex: lambda x: x.isin(*lex)
+    hits = {f"lm_{name}": F.size(F.filter("_d", among(lex))) for name, lex in lexicons.items()}
     negated = F.lit(False)
     for part in negations:
         negated = negated | F.contains(lower, F.lit(part))
-    return df.withColumns(
+    split = df.withColumn("_w", words(lower)).withColumn("_d", F.array_distinct(F.filter("_w", lambda x: x.isin(*listed))))
+    return split.withColumns(
         {
             "word_count": F.size(w),
             "char_count": F.length(t),
@@ -84,7 +98,7 @@ def lexical_features(df: DataFrame, text: str, lexicons: Mapping[str, Sequence[s
             "uppercase_ratio": F.length(F.regexp_replace(t, r"[^\p{Lu}]", "")) / F.greatest(F.length(t), F.lit(1)),
             "exclamation_count": F.length(t) - F.length(F.replace(t, F.lit("!"), F.lit(""))),
         }
-    )
+    ).drop("_w", "_d")
 
 
 def disclosure_features(df: DataFrame, text: str, keywords: Sequence[str] = tuple(L.CLIMATE)) -> DataFrame:

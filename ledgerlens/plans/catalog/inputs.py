@@ -157,9 +157,31 @@ def smote_counts(t):
     return made.agg(F.count(F.lit(1)).alias("n_synthetic"), F.max(F.size("embedding")).alias("width"))
 
 
-@query("split_entity_whole", "D2 D3", "SELECT c_custkey, 1 AS n_splits FROM customer")
+_SIDES = """SELECT label, 'train' AS split, CAST(n-held AS BIGINT) AS entities, 1 AS most_splits FROM s WHERE n>held UNION ALL
+SELECT label, 'val', CAST(held-tested AS BIGINT), 1 FROM s WHERE held>tested UNION ALL SELECT label, 'test', CAST(tested AS BIGINT), 1 FROM s WHERE tested>0"""
+
+
+def _entities_by_side(rows, entity, label):
+    """Entities per class and split, and in how many splits the rows of any one of them lie."""
+    per = rows.groupBy(entity).agg(F.count_distinct("split").cast("int").alias("k"), F.min(label).alias("label"), F.min("split").alias("split"))
+    return per.groupBy("label", "split").agg(F.count(F.lit(1)).alias("entities"), F.max("k").alias("most_splits"))
+
+
+@query("split_entity_whole", "D2 J6", f"""
+WITH e AS (SELECT DISTINCT o_custkey, CAST(c_acctbal<0 AS INTEGER) AS label FROM orders JOIN customer ON o_custkey=c_custkey),
+s AS (SELECT label, n, ceil(round(0.2*n,9)) AS held, 0 AS tested FROM (SELECT label, count(*) AS n FROM e GROUP BY 1)) {_SIDES}""")
 def split_entity_whole(t):
-    """Every customer lies in one split only."""
-    labels = t.customer.select("c_custkey", S.flag(F.col("c_acctbal") < 0).alias("label"))
-    rows = D.stratified_split(labels, "c_custkey", "label", 0.2)
-    return rows.groupBy("c_custkey").agg(F.count_distinct("split").cast("int").alias("n_splits"))
+    """All orders of a customer lie in one split; each class has its exact share of customers there."""
+    labels = t.customer.select(F.col("c_custkey").alias("o_custkey"), S.flag(F.col("c_acctbal") < 0).alias("label"))
+    labels = labels.join(t.orders.select("o_custkey").distinct(), "o_custkey")
+    return _entities_by_side(D.entity_split(t.orders, labels, "o_custkey", "label", 0.2).join(labels, "o_custkey"), "o_custkey", "label")
+
+
+@query("split_majority_whole", "D3 A26", f"""
+WITH k AS (SELECT o_custkey, o_orderstatus AS label, row_number() OVER (PARTITION BY o_custkey ORDER BY count(*) DESC, o_orderstatus) AS i FROM orders GROUP BY 1,2),
+s AS (SELECT label, n, ceil(round(0.3*n,9)) AS held, ceil(round(0.15/0.3*ceil(round(0.3*n,9)),9)) AS tested FROM (SELECT label, count(*) AS n FROM k WHERE i=1 GROUP BY 1)) {_SIDES}""")
+def split_majority_whole(t):
+    """The same, by each customer's most frequent status, with a test split."""
+    rows = D.majority_split(t.orders, "o_custkey", "o_orderstatus")
+    major = R.majority_label(t.orders, "o_custkey", "o_orderstatus", "label")
+    return _entities_by_side(rows.join(major, "o_custkey"), "o_custkey", "label")

@@ -1,15 +1,18 @@
 """Neighbours, projections and MLlib models on the whole tables."""
 
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import scalars as S
 from ledgerlens.operators import models as L
+from ledgerlens.operators import monotone as MO
 from ledgerlens.operators import neighbours as N
 from ledgerlens.operators import splits as D
 from ledgerlens.operators import text as X
 from ledgerlens.operators.metrics import roc_auc
 from ledgerlens.plans.catalog.market import small_panel
-from ledgerlens.plans.catalog.scores import scored
+from ledgerlens.plans.catalog.scores import SCORED, scored
 from ledgerlens.plans.registry import query
 
 
@@ -59,12 +62,74 @@ def pca(t):
     return out.drop("embedding")
 
 
-@query("isotonic", "Z4 M16")
+@query("isotonic", "Z4 M16", f"""
+WITH {SCORED}, p AS (SELECT row_number() OVER (ORDER BY score) AS i, score, sum(count(*)) OVER (ORDER BY score) AS cn, sum(sum(label)) OVER (ORDER BY score) AS cy, count(*) AS n, sum(label) AS y
+  FROM scored WHERE o_orderkey % 5 > 0 GROUP BY score),
+m AS (SELECT a.i AS a, b.i AS b, (b.cy-a.cy+a.y)*1.0/(b.cn-a.cn+a.n) AS mean FROM p a JOIN p b ON a.i<=b.i),
+g AS (SELECT a, b AS i, min(mean) OVER (PARTITION BY a ORDER BY b DESC) AS low FROM m),
+f AS (SELECT score, max(low) AS v FROM g JOIN p USING (i) GROUP BY score),
+v AS (SELECT * FROM scored WHERE o_orderkey % 5 = 0)
+SELECT v.o_orderkey, v.score, CASE WHEN l.score IS NULL THEN h.v WHEN h.score IS NULL OR h.score=l.score THEN l.v ELSE l.v+(h.v-l.v)*(v.score-l.score)/(h.score-l.score) END AS calibrated
+FROM v ASOF LEFT JOIN f l ON v.score>=l.score ASOF LEFT JOIN f h ON v.score<=h.score""", "score calibrated")
 def isotonic(t):
-    rows = D.stratified_split(scored(t), "o_orderkey", "label", 0.3).select("o_orderkey", "label", "score", "split")
-    model, _ = L.isotonic_calibration(rows.where("split = 'train'"), "score")
-    val = rows.where("split = 'val'").withColumn("label", F.col("label").cast("double"))
-    return model.transform(val).select("o_orderkey", "score", "calibrated")
+    """Fitted on four fifths of the orders, applied to the others."""
+    rows = scored(t).select("o_orderkey", "label", "score")
+    blocks = MO.fit_isotonic(rows.where("o_orderkey % 5 > 0"), "score", "label")
+    return MO.apply_isotonic(rows.where("o_orderkey % 5 = 0"), blocks, "score", "o_orderkey").select("o_orderkey", "score", "calibrated")
+
+
+EDGES = [30_000.0 * i for i in range(1, 12)]
+
+
+@query("monotone_scores", "L18", f"""
+SELECT 'o_totalprice' AS feature, count(*) AS n, CAST(0 AS BIGINT) AS violations FROM orders WHERE o_totalprice <= {EDGES[-1]} UNION ALL
+SELECT 'month', count(*), 0 FROM orders WHERE month(o_orderdate) <= 9""")
+def monotone_scores(t):
+    """A fitted model whose score never falls with the price and never rises with the month, row by row."""
+    rows = t.orders.select("o_totalprice", F.month("o_orderdate").alias("month"), S.flag(F.col("o_orderstatus") == "F").cast("double").alias("label"))
+    directions = {"o_totalprice": 1, "month": -1}
+    model = MO.MonotoneModel(rows, "label", {"o_totalprice": EDGES, "month": [3.0, 6.0, 9.0]}, directions)
+    return model.check(rows, directions)
+
+
+@query("linear_scores", "L6 L17", """
+WITH r AS (SELECT o_orderkey, epoch_us(o_orderdate)/86400000000.0 AS x, o_totalprice AS y FROM orders), f AS (SELECT regr_slope(y,x) AS b, regr_intercept(y,x) AS a FROM r WHERE o_orderkey % 5 > 0)
+SELECT o_orderkey, a+b*x AS score FROM r, f WHERE o_orderkey % 5 = 0""", "score")
+def linear_scores(t):
+    """A least-squares line fitted on four fifths of the orders, applied to the others."""
+    days = (F.unix_micros(F.col("o_orderdate").cast("timestamp")) / F.lit(86_400_000_000.0)).alias("x")
+    rows = t.orders.select("o_orderkey", days, F.col("o_totalprice").alias("y"))
+    model = L.regressor("linear", ["x"], "y", solver="normal").fit(rows.where("o_orderkey % 5 > 0"))
+    return L.score_table(model, rows.where("o_orderkey % 5 = 0"), ["o_orderkey"])
+
+
+@query("forest_scores", "L3 L17", """
+WITH r AS (SELECT o_orderkey, o_totalprice, o_orderpriority='1-URGENT' AS urgent, month(o_orderdate) > 6 AS late FROM orders), g AS (SELECT urgent, late, avg(o_totalprice) AS score FROM r GROUP BY ALL)
+SELECT o_orderkey, score FROM r JOIN g USING (urgent, late)""", "score")
+def forest_scores(t):
+    """On two flags a whole tree of depth two ends in the four cells, whose means are its scores."""
+    rows = t.orders.select(
+        "o_orderkey", "o_totalprice", S.flag(F.col("o_orderpriority") == "1-URGENT").alias("urgent"), S.flag(F.month("o_orderdate") > 6).alias("late"))
+    model = L.regressor("forest", ["urgent", "late"], "o_totalprice", numTrees=1, maxDepth=2, bootstrap=False, featureSubsetStrategy="all")
+    return L.score_table(model.fit(rows), rows, ["o_orderkey"])
+
+
+@query("fold_metrics", "L12 L13 M1 M2 M3", f"""
+WITH {SCORED}, f AS (SELECT CAST(o_orderkey % 3 AS INTEGER) AS fold, label, score FROM scored),
+c AS (SELECT fold, score, count(*) FILTER (label=1) AS pos, count(*) FILTER (label=0) AS neg FROM f GROUP BY 1,2),
+w AS (SELECT *, sum(pos) OVER d AS tp, sum(neg) OVER d AS fp, sum(pos) OVER (PARTITION BY fold) AS p, sum(neg) OVER (PARTITION BY fold) AS n FROM c WINDOW d AS (PARTITION BY fold ORDER BY score DESC)),
+e AS (SELECT fold, sum(pos*(n-fp)+pos*neg/2.0)/max(p*n*1.0) AS auc, sum(pos*1.0/p*tp/(tp+fp)) AS average_precision,
+  sum(pos) FILTER (score>=0.5)*1.0 AS tp, sum(neg) FILTER (score>=0.5)*1.0 AS fp, max(p) AS p, max(n) AS n FROM w GROUP BY 1),
+m AS (SELECT unnest(['auc','average_precision','precision','recall','f1','accuracy']) AS metric, unnest([auc, average_precision, tp/(tp+fp), tp/p, 2*tp/(tp+fp+p), (tp+n-fp)/(p+n)]) AS value FROM e)
+SELECT metric, avg(value) AS mean, stddev_pop(value) AS std, count(*) AS folds FROM m GROUP BY 1""", "mean std")
+def fold_metrics(t):
+    """Every fold scored by a pipeline and measured from its scores; the pipeline's score is the scaled price."""
+    rows = scored(t).withColumn("fold", (F.col("o_orderkey") % 3).cast("int"))
+    numbers = F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("_of")
+    dealt = rows.select("*", numbers).withColumn("part", F.when(F.col("fold") == F.col("_of"), "val").otherwise("train"))
+    dealt = dealt.drop("fold").withColumnsRenamed({"_of": "fold", "score": "price"})
+    model = Pipeline(stages=[SQLTransformer(statement="SELECT *, price AS prediction FROM __THIS__")])
+    return L.cross_validate(rows, model, "o_orderkey", folds=dealt)
 
 
 FEATURES = ["l_quantity", "l_discount", "l_tax", "unit_price"]

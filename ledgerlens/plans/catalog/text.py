@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import lexicons as L
 from ledgerlens.operators import text as X
 from ledgerlens.plans.registry import query
+from ledgerlens.session import cut_lineage
 
 SENT = "sent AS (SELECT doc_id, text, quality+toxic AS label FROM documents JOIN labels USING (doc_id))"
 STOP = list(dict.fromkeys(L.STOPWORDS + L.REPORT_STOPWORDS))
@@ -14,7 +15,7 @@ _SPLIT = r"list_filter(regexp_split_to_array({0}, '[\s\x1c-\x1f\x85\pZ]+'), lamb
 
 
 def sentences(t):
-    return t.documents.join(t.labels, "doc_id").select("doc_id", "text", (F.col("quality") + F.col("toxic")).alias("label"))
+    return X.spread(t.documents.select("doc_id", "text")).join(t.labels, "doc_id").select("doc_id", "text", (F.col("quality") + F.col("toxic")).alias("label"))
 
 
 def _gram_sql(n):
@@ -64,7 +65,7 @@ def _lex(words):
     return f"CAST(len(list_filter(d, lambda x: x IN ({_in(words)}))) AS INTEGER)"
 
 
-@query("text_lexical", "X6", f"""
+LEXICAL = f"""
 WITH a AS (SELECT doc_id, text, lower(text) AS lo, {_SPLIT.format('lower(text)')} AS w FROM documents), b AS (SELECT *, list_distinct(w) AS d FROM a)
 SELECT doc_id, CAST(len(w) AS INTEGER) AS word_count, CAST(length(text) AS INTEGER) AS char_count,
  coalesce(list_sum(list_transform(w, lambda x: length(x)))*1.0/nullif(len(w),0),0) AS avg_word_length,
@@ -73,9 +74,12 @@ SELECT doc_id, CAST(len(w) AS INTEGER) AS word_count, CAST(length(text) AS INTEG
  CAST({" OR ".join("contains(lo, '" + n.replace("'", "''") + "')" for n in L.NEGATIONS)} AS INTEGER) AS has_negation,
  CAST(regexp_matches(text, '\\p{{Nd}}') AS INTEGER) AS has_numeric,
  length(regexp_replace(text, '[^\\p{{Lu}}]', '', 'g'))*1.0/greatest(length(text),1) AS uppercase_ratio,
- CAST(length(text)-length(replace(text,'!','')) AS INTEGER) AS exclamation_count FROM b""", "avg_word_length lm_pos_neg_ratio uppercase_ratio")
+ CAST(length(text)-length(replace(text,'!','')) AS INTEGER) AS exclamation_count FROM b"""
+
+
+@query("text_lexical", "X6", LEXICAL, "avg_word_length lm_pos_neg_ratio uppercase_ratio")
 def text_lexical(t):
-    return X.lexical_features(t.documents.select("doc_id", "text"), "text").drop("text")
+    return X.lexical_features(X.spread(t.documents.select("doc_id", "text")), "text").drop("text")
 
 
 @query("text_disclosure", "X7", f"""
@@ -84,7 +88,7 @@ SELECT doc_id, CAST(length(text) AS INTEGER) AS fe_text_len, CAST(len(w) AS INTE
  coalesce(list_sum(list_transform(w, lambda x: length(x)))*1.0/nullif(len(w),0),0) AS fe_avg_word_len,
  len(regexp_extract_all(text, '(?i){"|".join(L.CLIMATE)}'))*1.0/greatest(len(w),1) AS fe_claim_density FROM a""", "fe_avg_word_len fe_claim_density")
 def text_disclosure(t):
-    return X.disclosure_features(t.documents.select("doc_id", "text"), "text").drop("text")
+    return X.disclosure_features(X.spread(t.documents.select("doc_id", "text")), "text").drop("text")
 
 
 TERMS = rf"""
@@ -104,7 +108,7 @@ weights AS (SELECT doc_id, term, w/sqrt(sum(w*w) OVER (PARTITION BY doc_id)) AS
 
 def weights(t, max_terms=8000):
     rows = sentences(t)
-    terms = X.word_terms(rows, "doc_id", "text", STOP)
+    terms = cut_lineage(X.word_terms(rows, "doc_id", "text", STOP))  # texts are split once, for the fit and to apply it
     vocab = X.fit_tfidf(terms, rows.agg(F.count(F.lit(1))).scalar(), 2, 0.95, max_terms)
     return X.apply_tfidf(terms, vocab, "doc_id"), vocab
 
@@ -130,7 +134,7 @@ chars AS (SELECT doc_id, term, CAST(sum(n) AS BIGINT) AS tf FROM (
 @query("char_tfidf", "X9", f"WITH {SENT}, {CHARS}, {_weights_sql('chars', 3000)} SELECT doc_id, term, weight FROM weights", "weight")
 def char_tfidf(t):
     rows = sentences(t)
-    terms = X.char_terms(rows, "doc_id", "text")
+    terms = cut_lineage(X.char_terms(rows, "doc_id", "text"))
     vocab = X.fit_tfidf(terms, rows.agg(F.count(F.lit(1))).scalar(), 2, 0.95, 3000)
     return X.apply_tfidf(terms, vocab, "doc_id")
 
@@ -154,7 +158,15 @@ def tfidf_top_terms(t):
     return X.class_term_means(weights(t)[0], sentences(t), "doc_id", "label", 20)
 
 
-@query("combined_features", "X12")
+_LEXICAL_NAMES = ["word_count", "char_count", "avg_word_length", "lm_positive", "lm_negative", "lm_uncertainty", "lm_modal_strong", "lm_pos_neg_ratio", "has_negation",
+                  "has_numeric", "uppercase_ratio", "exclamation_count"]
+
+
+@query("combined_features", "X12", f"""WITH {SENT}, {TERMS}, {_weights_sql('terms', 2000)}, {CHI2},
+chosen AS (SELECT term FROM chi ORDER BY chi2 DESC, term LIMIT 50), lexical AS ({LEXICAL.replace('FROM documents', 'FROM sent')}),
+part AS (SELECT doc_id, sum(weight) AS s FROM weights WHERE term IN (SELECT term FROM chosen) GROUP BY 1)
+SELECT doc_id, CAST({len(_LEXICAL_NAMES)} + (SELECT count(*) FROM chosen) AS INTEGER) AS n_features, {"+".join(f"coalesce({c},0)" for c in _LEXICAL_NAMES)}+coalesce(s,0) AS total
+FROM lexical LEFT JOIN part USING (doc_id)""", "total")
 def combined_features(t):
     from pyspark.ml.functions import vector_to_array
 
