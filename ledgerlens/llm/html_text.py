@@ -2,7 +2,9 @@
 
 The text of a page is gathered by the path of tags from the root to its leaf. Each path has two ratios, characters and
 punctuation marks a node. In the order in which paths first appear both are smoothed, fused into one score and held
-against a threshold; paths that lie in a part marked as navigation, advert, comment or the like score nothing. The
+against a threshold; paths that lie in a part marked as navigation, advert, comment or the like score nothing. An element, role or
+style marks a part for certain; a word of its class or id only raises doubt, which doesn't hold for a part with most of
+the page's text. The
 lowest container that holds most of the text on the chosen paths is the article, widened to the <article> or <main> around
 it, or else to all chosen text and the headings before it; its blocks, without marked parts, are the result.
 """
@@ -53,6 +55,12 @@ WORDS = frozenset(
     "notices notification popup modal overlay newsletter subscribe subscription signup login comment comments commentlist "
     "disqus respond reply replies share sharing social related recommended pagination pager toolbar".split()
 )
+#: Words that say a part has or goes around something, and those that make a header one of the article.
+ABOUT = frozenset("has with without no is show hide layout wrapper".split())
+TITLED = frozenset("post entry article story content title".split())
+#: Doubt holds for a part with less than this share of the page's text; more for the words of reader comments.
+MOST, MOST_COMMENTS = 0.5, 0.9
+REMARKS = frozenset("comment comments commentlist disqus respond reply replies".split())
 UNMARKABLE = frozenset(["html", "body", "article", "main"])
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 CONTAINERS = frozenset("html body article main section div td".split())
@@ -61,39 +69,84 @@ CHOSEN, HELD = 0.1, 0.8
 
 
 class Element:
-    __slots__ = ("name", "parent", "marked", "path", "held")
-
-    def __init__(self, name: str, parent: Element | None, marked: bool):
-        self.name, self.parent, self.marked, self.held = name, parent, marked, 0
-        inline = name in INLINE and parent is not None
-        self.path: str = parent.path if inline else f"{parent.path}/{name}" if parent else name
+    __slots__ = ("name", "parent", "marked", "doubt", "path", "depth", "held", "size", "inside", "around")
+
+    def __init__(self, name: str, parent: Element | None, marked: bool, doubt: float, paths: dict[tuple[int, str], int]):
+        self.name, self.parent, self.marked, self.doubt = name, parent, marked, doubt
+        self.held = self.size = 0
+        self.inside = self.around = False
+        if name in INLINE and parent is not None:
+            self.path, self.depth = parent.path, parent.depth
+        else:  # paths are numbers: of the path above and the name
+            above = parent.path if parent else -1
+            self.path = paths.setdefault((above, name), len(paths))
+            self.depth = parent.depth + 1 if parent else 0
+
+
+def doubtful(value: str) -> float:
+    """The share of the page's text from which on a part of this class or id is no longer doubted; 0: it is not doubted."""
+    most = 0.0
+    for token in value.split():
+        words = {w.lower() for w in SPLIT_NAME.split(token) if w}
+        found = words & WORDS
+        if not found or words & ABOUT or (found == {"header"} and words & TITLED):
+            continue
+        most = max(most, MOST_COMMENTS if found & REMARKS else MOST)
+    return most
 
 
-def is_marked(name: str, attributes: str, parent: Element) -> bool:
-    """Whether a start tag opens a part that is not the article."""
+def is_marked(name: str, attributes: str, parent: Element) -> tuple[bool, float]:
+    """Whether a start tag opens a part that is not the article for certain, and the share up to which it is doubted."""
     if name in MARKED:
-        return True
+        return True, 0.0
     if name == "header":  # the header of an article holds its title
         while parent and parent.name not in ("article", "main"):
             parent = parent.parent
-        return parent is None
+        return parent is None, 0.0
     if not attributes or name in UNMARKABLE:
-        return False
+        return False, 0.0
+    doubt = 0.0
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
-        if key in ("class", "id") and any(w.lower() in WORDS for w in SPLIT_NAME.split(value)):
-            return True
+        if key in ("class", "id"):
+            doubt = max(doubt, doubtful(value))
         if key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
+            return True, 0.0
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return True, 0.0
+    return False, doubt
+
 
+def settle_doubts(elements: list[Element], found: list[tuple[Element, int, str]]) -> None:
+    """Mark doubted parts that don't hold too much of the text that is not marked for certain; parts inherit marks.
 
-def leaves(html: str) -> list[tuple[Element, int, str]]:
-    """Text leaves in page order: element, number of the block, raw text. Unclosed and stray tags are repaired."""
-    root = Element("html", None, False)
-    stack, out, block, at, n = [root], [], 0, 0, len(html)
+    On a page whose <article> or <main> has text, parts beside it stay doubted however long they are.
+    """
+    for element, _, text in found:
+        if not element.marked:
+            element.size += len(text.strip())
+    for e in reversed(elements):
+        e.around |= e.name in ("article", "main") and e.size > 0
+        if e.parent is not None:
+            e.parent.size += e.size
+            e.parent.around |= e.around
+    total, named = elements[0].size, elements[0].around
+    for e in elements:  # those around come first
+        above = e.parent
+        e.inside = above is not None and (above.inside or above.name in ("article", "main"))
+        beside = named and not e.around and not e.inside
+        if above is not None and above.marked or e.doubt and (beside or e.size < e.doubt * total):
+            e.marked = True
+
+
+def leaves(html: str) -> tuple[list[tuple[Element, int, str]], list[Element]]:
+    """Text leaves in page order (element, number of the block, raw text), and all elements, each after those around it.
+
+    Unclosed and stray tags are repaired.
+    """
+    paths: dict[tuple[int, str], int] = {}
+    root = Element("html", None, False, 0.0, paths)
+    stack, out, elements, block, at, n = [root], [], [root], 0, 0, len(html)
     while at < n:
         lt = html.find("<", at)
         if lt < 0:
@@ -141,8 +194,11 @@ def leaves(html: str) -> list[tuple[Element, int, str]]:
         if name in CLOSES:
             _close_open(stack, *CLOSES[name])
         parent = stack[-1]
-        stack.append(Element(name, parent, parent.marked or is_marked(name, tag[3], parent)))
-    return out
+        marked, doubt = is_marked(name, tag[3], parent)
+        stack.append(Element(name, parent, parent.marked or marked, doubt, paths))
+        elements.append(stack[-1])
+    settle_doubts(elements, out)
+    return out, elements
 
 
 def _close(stack: list[Element], name: str, inline: bool) -> None:
@@ -170,10 +226,10 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return (padded[:-2] + 2 * padded[1:-1] + padded[2:]) / 4
 
 
-def chosen_paths(found: list[tuple[Element, int, str]]) -> set[str]:
+def chosen_paths(found: list[tuple[Element, int, str]]) -> set[int]:
     """Paths whose fused, smoothed ratios reach the threshold."""
-    nodes: dict[str, list[float]] = {}
-    last: dict[str, int] = {}
+    nodes: dict[int, list[float]] = {}
+    last: dict[int, int] = {}
     for element, block, text in found:
         size = len(text.strip())
         if size:
@@ -191,22 +247,19 @@ def chosen_paths(found: list[tuple[Element, int, str]]) -> set[str]:
     return {p for p, s in zip(nodes, score) if s > 0 and s >= CHOSEN * score.max()}
 
 
-def article(found: list[tuple[Element, int, str]], paths: set[str]) -> Element | None:
+def article(found: list[tuple[Element, int, str]], elements: list[Element], paths: set[int]) -> Element | None:
     """The lowest container with most of the text on the chosen paths, widened to the article around it."""
-    total, seen = 0, []
     for element, _, text in found:
-        if element.path in paths and not element.marked and (size := len(text.strip())):
-            total += size
-            e: Element | None = element
-            while e is not None:
-                if not e.held:
-                    seen.append(e)
-                e.held += size
-                e = e.parent
-    holding = [e for e in seen if e.name in CONTAINERS and e.held >= HELD * total]
+        if element.path in paths and not element.marked:
+            element.held += len(text.strip())
+    for e in reversed(elements):
+        if e.parent is not None:
+            e.parent.held += e.held
+    total = elements[0].held
+    holding = [e for e in elements if total and e.name in CONTAINERS and e.held >= HELD * total]
     if not holding:
         return None
-    best = max(holding, key=lambda e: e.path.count("/"))
+    best = max(holding, key=lambda e: e.depth)
     around = list(_ancestors(best))
     named = [e for e in around if e.name in ("article", "main")]
     if named:
@@ -214,19 +267,33 @@ def article(found: list[tuple[Element, int, str]], paths: set[str]) -> Element |
     # other sections: the lowest container that holds all chosen text
     best = next((e for e in around if e.name in CONTAINERS and e.held >= total), best)
     # headings before it, in a container around it below the body
-    around = {id(e): n for n, e in enumerate(_ancestors(best)) if e.name in CONTAINERS - {"html", "body"}}
-    outer = best
+    outside = {id(e): n for n, e in enumerate(_ancestors(best)) if e.name in CONTAINERS - {"html", "body"}}
+    outer, known = best, set()
+    _mark_inside(elements, best)
     for element, _, text in found:
-        if any(e is best for e in _ancestors(element)):
+        if element.inside:
             break
-        head = next((e for e in _ancestors(element) if e.name in HEADINGS), None)
-        if head is not None and not element.marked and text.strip():
-            holder = next((e for e in _ancestors(head) if e.name in CONTAINERS), None)
-            if holder is not None and around.get(id(holder), -1) > around.get(id(outer), -1):
-                outer = holder
+        if element.marked or not text.strip() or id(element) in known:
+            continue
+        head, steps = element, []
+        while head is not None and head.name not in HEADINGS and id(head) not in known:
+            steps.append(id(head))
+            head = head.parent
+        known.update(steps)  # none of them lies in a heading not yet looked at
+        if head is None or id(head) in known:
+            continue
+        known.add(id(head))
+        holder = next((e for e in _ancestors(head) if e.name in CONTAINERS), None)
+        if holder is not None and outside.get(id(holder), -1) > outside.get(id(outer), -1):
+            outer = holder
     return outer
 
 
+def _mark_inside(elements: list[Element], top: Element) -> None:
+    for e in elements:
+        e.inside = e is top or (e.parent is not None and e.parent.inside)
+
+
 def _ancestors(e: Element | None) -> Iterator[Element]:
     """An element and those around it, from the inside."""
     while e is not None:
@@ -236,21 +303,14 @@ def _ancestors(e: Element | None) -> Iterator[Element]:
 
 def main_text(html: str | None) -> str:
     """Blocks of the article joined by a line feed; white space inside a block is one space. Null or no text: empty."""
-    found = leaves(html or "")
-    top = article(found, chosen_paths(found))
+    found, elements = leaves(html or "")
+    top = article(found, elements, chosen_paths(found))
     if top is None:
         return ""
-    inside: dict[int, bool] = {}
+    _mark_inside(elements, top)
     blocks: list[tuple[int, list[str]]] = []
     for element, block, text in found:
-        if element.marked:
-            continue
-        if (known := inside.get(id(element))) is None:
-            e: Element | None = element
-            while e is not None and e is not top:
-                e = e.parent
-            known = inside[id(element)] = e is top
-        if known:
+        if element.inside and not element.marked:
             if not blocks or blocks[-1][0] != block:
                 blocks.append((block, []))
             blocks[-1][1].append(text)
