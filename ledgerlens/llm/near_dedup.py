@@ -220,7 +220,8 @@ def confirmed(df: DataFrame, key: str, text: str, members: DataFrame, percent: i
                     if (c, lo, hi) != cell:
                         yield from _found(cell, members, percent)
                         cell, members = (c, lo, hi), []
-                    if digest(lowered(t)) == d:  # rows of one fingerprint may differ
+                    # rows come by digest: of equal ones one is enough; rows of one fingerprint may differ
+                    if not (members and members[-1][0] == d) and digest(lowered(t)) == d:
                         members.append((d, b, t))
         yield from _found(cell, members, percent)
 
