@@ -19,6 +19,75 @@ def brute_quality(text: str) -> tuple:
     return len(words), sum(len(w.decode()) for w in words), symbols, len(lines) - len(set(lines)), len(inside), failed
 
 
+PARAGRAPHS = "".join(f"<p>This is paragraph {i}, which has some words, and a full stop. It goes on for a while.</p>" for i in range(8))
+
+
+def test_words_of_a_class_only_raise_doubt():
+    """Layout classes that name a side bar or comments don't take the article with them; the parts themselves go."""
+    body = [f"This is paragraph {i}, which has some words, and a full stop. It goes on for a while." for i in range(8)]
+    side = '<div class="sidebar"><ul><li>a link</li><li>another, with words.</li></ul></div>'
+    pages = {
+        f'<div class="layout has-sidebar"><div class="content">{PARAGRAPHS}</div>{side}</div>': body,
+        f'<div id="story" class="with-comments">{PARAGRAPHS}</div><div class="comments"><p>first!</p></div>': body,
+        f'<div class="content sidebar-left">{PARAGRAPHS}</div>{side}': body,
+        f'<div class="post"><div class="post-header"><h1>The title</h1></div><div class="post-body">{PARAGRAPHS}</div></div>': ["The title", *body],
+        f'<div class="site-header"><p>Some name, and a line.</p></div><div class="content">{PARAGRAPHS}</div>': body,
+        f'<div class="ad">{PARAGRAPHS}{PARAGRAPHS}</div><article><h1>Short</h1><p>One line, no more.</p></article>': ["Short", "One line, no more."],
+    }
+    for page, want in pages.items():
+        assert html_text.main_text(f"<body>{page}</body>").split("\n") == want, page
+
+
+def test_unclosed_tags_cost_little():
+    import time
+    import tracemalloc
+
+    start = time.perf_counter()
+    assert html_text.main_text("<div>" * 40_000) == ""
+    assert len(html_text.main_text("".join(f"<div>text {i}" for i in range(20_000)))) > 100_000
+    assert time.perf_counter() - start < 5
+    tracemalloc.start()
+    html_text.main_text("<div>" * 40_000)
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+
+
+def published(name: str, width: int, title: str | None = None, mark: str = "{}.") -> str:
+    """A licence text as files have it: a title, a copyright line, wrapped paragraphs, marked items."""
+    import textwrap
+
+    first, *rest = licenses.TEXTS[name].split("\n")
+    out, n = [first if title is None else title, "", "Copyright (c) 2020 Jane Q. Public", ""], 0
+    for part in rest:
+        if part[:3] in ("1. ", "2. ", "3. "):
+            n += 1
+            part = mark.format(n) + part[2:]
+        out += [*textwrap.wrap(part, width), ""]
+    return "\n".join(out).strip("\n")
+
+
+def test_licences_as_they_are_published(spark):
+    texts = [(f"{n} {w}", published(n, w), n) for n in ("MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause") for w in (60, 64, 68, 72, 76, 80, 100)]
+    texts += [("no title", published("MIT", 72, ""), "MIT"), ("other title", published("MIT", 72, "The MIT License (MIT)"), "MIT")]
+    texts += [("bsd no title", published("BSD-2-Clause", 72, ""), "BSD-2-Clause"), ("stars", published("BSD-2-Clause", 72, None, "*"), "BSD-2-Clause")]
+    texts += [("brackets", published("BSD-3-Clause", 72, None, "{})"), "BSD-3-Clause"), ("name only", published("ISC", 72).replace("(c) 2020 ", ""), "ISC")]
+    lines = [("notice", "This project is released under the MIT License. See LICENSE.", "MIT"), ("spdx", "# SPDX-License-Identifier: MIT", "MIT")]
+    lines += [("gpl", "Words. // SPDX", None), ("spdx gpl", "// SPDX-License-Identifier: GPL-3.0-or-later\nint main;", "GPL-3.0")]
+    rows = documents(spark, [(i, text) for i, (_, text, _) in enumerate(texts + lines)])
+    found = {r.doc_id: (r.license_id, r.whole_text) for r in licenses.scan(rows, "doc_id").collect()}
+    for i, (name, _, want) in enumerate(texts):
+        assert found.get(i) == (want, True), name
+    for i, (name, _, want) in enumerate(lines, len(texts)):
+        assert (found.get(i) or (None, None))[0] == want, name
+
+
+def test_what_is_a_copyright_line(spark):
+    gone = ["Copyright (c) 2020 A", "copyright 1999-2020 The X Project", "(C) 2001 Y", "© 2020", "# Copyright by Z", "All rights reserved.", "Copyright Jane Doe"]
+    stay = ["copyright notice and this permission notice appear in all copies.", "COPYRIGHT HOLDERS BE LIABLE", "copyright notice, this list of", "the copyright 2020", "(c) You must retain"]
+    rows = spark.createDataFrame([(x,) for x in gone + stay], "line string")
+    assert [r[0] == "" for r in rows.select(licenses.canonical(F.col("line"))).collect()] == [True] * len(gone) + [False] * len(stay)
+
+
 def test_base_counts(spark, folder):
     rows = catalog.documents(spark, folder).select("doc_id", "text").union(odd(spark).select("doc_id", "text"))
     found = quality.quality(rows.withColumn("copy", F.col("text")).withColumn("KEPT", F.lit("clash"))).collect()
