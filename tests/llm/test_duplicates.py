@@ -97,6 +97,27 @@ def test_wholly_equal_short_texts_are_linked(spark):
     assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 3)}
 
 
+def test_keys_of_clusters_cross_once_and_only_shared_hashes_are_combined(spark):
+    r = random.Random(4)
+    rows = [(i, [r.randrange(30) for _ in range(3)], [r.randrange(30) for _ in range(3)]) for i in range(60)]
+    classes = spark.createDataFrame([(bytes([i]), u, v) for i, u, v in rows], "digest binary, u array<long>, v array<long>")
+    found = {x.digest[0]: x.cluster for x in near_dedup.clusters(classes, 3).collect()}
+    root = {i: i for i, _, _ in rows}
+    for i, u, v in rows:
+        for j, w, x in rows[:i]:
+            if any(a == b for a, b in zip(u, w)) and any(a == b for a, b in zip(v, x)):
+                old, new = root[i], root[j]
+                root = {k: new if c == old else c for k, c in root.items()}
+    groups = [tuple(sorted(k for k in root if root[k] == c)) for c in set(root.values())]
+    assert {g for g in groups if len(g) > 1} == {tuple(sorted(k for k in found if found[k] == c)) for c in set(found.values())}
+    common = {x.node: (len(x.u), len(x.v)) for x in near_dedup._common(classes.withColumn("node", F.hex("digest")), 3).collect()}
+    places = Counter((side, n, x) for row in rows for side in (1, 2) for n, x in enumerate(row[side]))
+    shares = {f"{row[0]:02X}": tuple(sum(places[side, n, x] > 1 for n, x in enumerate(row[side])) for side in (1, 2)) for row in rows}
+    assert common == {k: c for k, c in shares.items() if all(c)}
+    plan = near_dedup._meeting(spark.range(9).selectExpr("id AS node", "id % 3 AS k"))._jdf.queryExecution().executedPlan().toString()
+    assert "ENSURE_REQUIREMENTS" not in plan
+
+
 def covered(text, spans):
     starts, ends = substring_dedup.word_edges(text.encode())
     return {i for i in range(len(starts)) if any(a <= starts[i] and ends[i] <= b for a, b in spans)}
