@@ -6,7 +6,8 @@ copies, by a hash). Of each part the table keeps the range of distances to its o
 triangle inequality no point of a part can be nearer to a query than its distance to a pivot lies outside of that
 range, nor nearer than the plane between its pivot and the query's. So a query first looks at one part, and then only
 at those whose bound is not beyond its k-th neighbour so far. Each task compares one part of the points with a chunk of
-the queries that ask for it and returns at most k rows per query.
+the queries that ask for it and returns at most k rows per query: a matrix product picks the pairs that may count, and
+only their distances are measured one by one.
 """
 
 from __future__ import annotations
@@ -168,6 +169,25 @@ def _chunked(asked: DataFrame, size: int, seed: int) -> DataFrame:
     return asked.join(counts, "_part").withColumn("_chunk", F.pmod(F.xxhash64("_id", F.lit(seed)), F.col("_n")).cast("int")).drop("_n")
 
 
+def _candidates(q: np.ndarray, p: np.ndarray, k: int, skip: np.ndarray | None, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that may be among a query's k nearest within its limit: one matrix product, with room for its rounding.
+
+    ``skip`` is a mask of pairs that are none. Pairs whose product is not a number are all candidates.
+    """
+    near, far = (q * q).sum(axis=1), (p * p).sum(axis=1)
+    d = near[:, None] - 2 * (q @ p.T) + far
+    room = 16 * (q.shape[1] + 8) * np.finfo(np.float64).eps * (near + far.max())
+    unsure = np.isnan(d)
+    d[unsure] = np.inf
+    if skip is not None:
+        d[skip] = np.inf
+    most = np.minimum(np.partition(d, k - 1, axis=1)[:, k - 1] if k < len(p) else np.inf, limit**2 * (1 + 1e-9)) + 2 * room
+    chosen = (d <= np.where(np.isnan(most), np.inf, most)[:, None]) | unsure
+    if skip is not None:
+        chosen &= ~skip
+    return np.nonzero(chosen)
+
+
 def _compare(k: int):
     def run(queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query": [], "neighbour": [], "distance": []}).astype({"query": "int64", "neighbour": "int64"})
@@ -177,17 +197,25 @@ def _compare(k: int):
         q, p = np.stack(queries["_v"].to_numpy()), np.stack(points["_v"].to_numpy())
         ids, asked = points["_id"].to_numpy(), queries["_id"].to_numpy()
         own, limit = queries["_self"].to_numpy(dtype=bool), queries["_r"].to_numpy()
+        middle = p.mean(axis=0)
+        about_q, about_p = q - middle, p - middle
         out = []
-        step = max(1, 4_000_000 // max(p.size, 1))
+        step = max(1, 1_000_000 // len(p))
         for i in range(0, len(asked), step):
-            d = np.sqrt(((q[i : i + step, None, :] - p[None, :, :]) ** 2).sum(axis=2))
-            d[own[i : i + step, None] & (asked[i : i + step, None] == ids[None, :])] = np.inf
-            d[d > limit[i : i + step, None]] = np.inf
-            near = np.argsort(d, axis=1, kind="stable")[:, :k]
-            dist = np.take_along_axis(d, near, axis=1)
-            keep = np.isfinite(dist)
-            rows = np.repeat(asked[i : i + step, None], near.shape[1], axis=1)
-            out.append(pd.DataFrame({"query": rows[keep], "neighbour": ids[near][keep], "distance": dist[keep]}))
+            to = slice(i, i + step)
+            skip = own[to, None] & (asked[to, None] == ids[None, :]) if own[to].any() else None
+            row, col = _candidates(about_q[to], about_p, k, skip, limit[to])
+            row += i
+            d = np.empty(len(row))
+            piece = max(1, 4_000_000 // max(p.shape[1], 1))
+            for j in range(0, len(row), piece):
+                d[j : j + piece] = np.sqrt(((q[row[j : j + piece]] - p[col[j : j + piece]]) ** 2).sum(axis=1))
+            keep = np.isfinite(d) & (d <= limit[row])
+            row, col, d = row[keep], col[keep], d[keep]
+            order = np.lexsort((col, d, row))  # ties by position, as points are in order of their ids
+            row, col, d = row[order], col[order], d[order]
+            first = np.arange(len(row)) - np.searchsorted(row, row) < k
+            out.append(pd.DataFrame({"query": asked[row[first]], "neighbour": ids[col[first]], "distance": d[first]}))
         return pd.concat(out) if out else empty
 
     return run

@@ -164,6 +164,22 @@ def test_nearest_matches_brute_force_over_many_blocks(spark):
         assert np.allclose(sorted(g.distance), np.sort(d[q])[:4])
 
 
+def test_a_part_measures_only_pairs_that_may_count():
+    rng = np.random.default_rng(6)
+    p = np.concatenate([rng.normal(size=(400, 64)) + 1e5, np.full((9, 64), 1e5), [np.full(64, np.nan)]])
+    asks = p[::2] + 0.0
+    row, _ = N._candidates(asks - 1e5, p[:-1] - 1e5, 5, None, np.full(len(asks), np.inf))
+    assert np.bincount(row, minlength=len(asks)).max() < 20
+    limit = np.where(np.arange(len(asks)) % 3 > 0, np.inf, 9.0)
+    queries = pd.DataFrame({"_id": np.arange(len(asks)) * 2, "_v": list(asks), "_self": np.arange(len(asks)) % 2 == 0, "_r": limit})
+    points = pd.DataFrame({"_id": np.arange(len(p)), "_v": list(p)}).sample(frac=1, random_state=1)
+    d = np.sqrt(((asks[:, None] - p[None]) ** 2).sum(axis=2))
+    d[queries._self.to_numpy()[:, None] & (queries._id.to_numpy()[:, None] == np.arange(len(p)))] = np.inf
+    d[d > limit[:, None]] = np.inf
+    want = [(2 * q, int(i), d[q, i]) for q in range(len(asks)) for i in np.argsort(d[q], kind="stable")[:5] if np.isfinite(d[q, i])]
+    assert list(N._compare(5)(queries, points).itertuples(index=False, name=None)) == want
+
+
 def test_pivots_skip_most_parts_of_clustered_points(spark):
     rng = np.random.default_rng(4)
     middles = rng.normal(size=(30, 64)) * 3
