@@ -310,15 +310,17 @@ def _among(keys: Sequence[str], few: DataFrame) -> tuple[DataFrame, Column]:
 
 
 def in_order(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], measures: Mapping[str, tuple[str, Column]], heavy: int = HEAVY_ROWS
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], measures: Mapping[str, tuple[str, Column]], heavy: int = HEAVY_ROWS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Add running measures per key as ``running`` does, by a secondary sort.
 
     One exchange by key and one sort by key and order serve all measures, and an aggregation by the same keys after it
-    needs no other exchange. Only keys too large for a task (:func:`heavy_keys`) are cut into slices instead.
+    needs no other exchange. Only keys too large for a task (:func:`heavy_keys`) are cut into slices instead; they are
+    found in ``counted``, if given: rows with the same keys that are fewer or computed already.
     """
     keys, names = list(keys), list(measures)
-    few = heavy_keys(df, keys, heavy)
+    few = heavy_keys(df if counted is None else counted, keys, heavy)
     light = df
     if few is not None:
         named, meet = _among(keys, few)
@@ -334,7 +336,7 @@ def in_order(
     out = arranged.select("*", *[fold[measures[n][0]](measures[n][1]).alias(n) for n in names])
     if few is None:
         return out
-    rest = df.join(named, meet, "left_semi")
+    rest = cut_lineage(df.join(named, meet, "left_semi"))  # read for the edges, the cells and the rows
     return out.unionByName(running(rest, keys, order, measures))
 
 

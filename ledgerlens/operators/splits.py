@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import scalars as S
 from ledgerlens.operators.encode import lookup
-from ledgerlens.operators.ordering import dense_index, hash_order, hash_positions, only_row, positions, quantile_table, running
+from ledgerlens.operators.ordering import HEAVY_ROWS, dense_index, hash_order, hash_positions, in_order, only_row, positions, quantile_table
 from ledgerlens.operators.relational import majority_label
+from ledgerlens.session import cut_lineage
 
 
 def stratified_split(df: DataFrame, unique_id: str, label: str | None, val: float = 0.2, test: float = 0.0, seed: int = 42, name: str = "split") -> DataFrame:
@@ -121,15 +122,17 @@ def negative_pairs(positives: DataFrame, items: DataFrame, customer: str, item:
     p prime. Among the first (ratio+1) x chosen steps at most ``chosen`` hit a
     chosen item, so the wanted number of others is always among them. Steps are
     laid out from the positive rows, so a customer with many of them is spread
-    over as many rows; the steps that count are found by position.
+    over as many rows; the steps that count are found by position. What is read
+    more than once, the item list and the chosen pairs, is computed once.
     """
     chosen = positives.select(customer, item).distinct()
-    catalog = dense_index(items, item, "_i")
+    catalog = cut_lineage(dense_index(items, item, "_i"))
     n_items = only_row(catalog.agg(F.count(F.lit(1)).alias("n"))).value("n")
     prime = _next_prime(max(n_items, 2))
     spare = prime - n_items
-    known = chosen.join(catalog.select(item), item, "left_semi")
-    placed = running(known, [customer], [item], {"_p": ("count", F.lit(1)), "_m": ("total", F.lit(1))})
+    known = cut_lineage(chosen.join(catalog.select(item), item, "left_semi"))
+    heavy = HEAVY_ROWS // (ratio + 1)  # chosen rows of a customer whose steps are too many for a task
+    placed = in_order(known, [customer], [item], {"_p": ("count", F.lit(1)), "_m": ("total", F.lit(1))}, heavy)
     # the first row also carries the steps that may fall beyond the item list
     extra = F.when(F.col("_p") == 1, F.sequence((ratio + 1) * F.col("_m"), (ratio + 1) * F.col("_m") + spare)).otherwise(F.array().cast("array<bigint>"))
     own = F.sequence((ratio + 1) * (F.col("_p") - 1), (ratio + 1) * F.col("_p") - 1)
@@ -138,13 +141,13 @@ def negative_pairs(positives: DataFrame, items: DataFrame, customer: str, item:
     b = F.pmod(F.xxhash64(F.col(customer), F.lit(seed + 1)), F.lit(prime))
     walk = steps.select(customer, "_m", "_k", F.pmod(a * F.col("_k") + b, F.lit(prime)).alias("_i")).where(F.col("_i") < n_items)
     fresh = walk.join(catalog, "_i").join(known, [customer, item], "left_anti")
-    counted = running(fresh, [customer], ["_k"], {"_n": ("count", F.lit(1))})
+    counted = in_order(fresh, [customer], ["_k"], {"_n": ("count", F.lit(1))}, heavy, known)
     return counted.where(F.col("_n") <= ratio * F.col("_m")).select(customer, item)
 
 
 def candidate_pairs(trades: DataFrame, items: DataFrame, customer: str, item: str, ratio: int = 4, seed: int = 42) -> DataFrame:
     """Chosen pairs with label 1 and their count, sampled others with label 0, and a query number per customer."""
-    positives = trades.groupBy(customer, item).agg(F.count(F.lit(1)).alias("n"))
+    positives = cut_lineage(trades.groupBy(customer, item).agg(F.count(F.lit(1)).alias("n")))
     negatives = negative_pairs(positives, items, customer, item, ratio, seed)
     pairs = positives.withColumn("label", F.lit(1)).unionByName(negatives.withColumns({"n": F.lit(0).cast("long"), "label": F.lit(0)}))
     return pairs.join(dense_index(positives, customer, "query_id"), customer)

@@ -8,6 +8,7 @@ from ledgerlens.operators import recommend as RC
 from ledgerlens.operators import splits as D
 from ledgerlens.plans.catalog.transactions import LABELLED, labelled_orders
 from ledgerlens.plans.registry import query
+from ledgerlens.session import cut_lineage
 
 TRADES = """trades AS (SELECT o_custkey AS customer_id, l_partkey AS isin, CASE WHEN l_returnflag<>'R' THEN 'Buy' ELSE 'Sell' END AS side, l_extendedprice AS value, CAST(o_orderdate AS DATE) AS dated
  FROM lineitem JOIN orders ON l_orderkey=o_orderkey)"""
@@ -131,7 +132,7 @@ WITH {TRADES}, p AS (SELECT customer_id, count(DISTINCT isin) AS m FROM trades W
 SELECT customer_id, least(4*m, (SELECT count(*) FROM part)-m) AS negatives, CAST(0 AS BIGINT) AS also_bought FROM p WHERE least(4*m, (SELECT count(*) FROM part)-m)>0""")
 def negative_counts(t):
     """Which assets are drawn depends on a hash; how many, and that none was bought, does not."""
-    bought = buys(t).select("customer_id", "isin").distinct()
+    bought = cut_lineage(buys(t).select("customer_id", "isin").distinct())  # for the draw and for the check
     drawn = D.negative_pairs(bought, assets(t), "customer_id", "isin").distinct()
     tagged = drawn.join(bought.withColumn("hit", F.lit(1)), ["customer_id", "isin"], "left")
     return tagged.groupBy("customer_id").agg(F.count(F.lit(1)).alias("negatives"), F.count("hit").alias("also_bought"))

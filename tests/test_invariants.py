@@ -180,6 +180,20 @@ def test_a_part_measures_only_pairs_that_may_count():
     assert list(N._compare(5)(queries, points).itertuples(index=False, name=None)) == want
 
 
+def test_negatives_read_their_input_few_times(spark):
+    reads = spark.sparkContext.accumulator(0)
+    rows = spark.sparkContext.parallelize([(i % 40, i % 97) for i in range(400)], 2)
+
+    def seen(row):
+        reads.add(1)
+        return row
+
+    trades = spark.createDataFrame(rows.map(seen), "c long, item long")
+    items = spark.createDataFrame([(i,) for i in range(120)], "item long")
+    out = D.candidate_pairs(trades, items, "c", "item").collect()
+    assert len({(r.c, r.item) for r in out}) == len(out) and reads.value <= 800
+
+
 def test_pivots_skip_most_parts_of_clustered_points(spark):
     rng = np.random.default_rng(4)
     middles = rng.normal(size=(30, 64)) * 3
