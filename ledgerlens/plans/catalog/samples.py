@@ -163,7 +163,7 @@ b AS (SELECT p_brand, row_number() OVER (ORDER BY p_brand)-1 AS code FROM (SELEC
 SELECT isin, item_n_purchases, item_total_vol, item_avg_vol, item_n_buyers, (rank() OVER (ORDER BY item_n_buyers)-1)*1.0/count(*) OVER () AS item_pop_rank, code AS item_category_enc FROM i JOIN b USING (p_brand)""",
        "item_total_vol item_avg_vol item_pop_rank")
 def item_features(t):
-    out = RC.item_features(assets(t), buys(t), "customer_id", "isin", "value")
+    out = cut_lineage(RC.item_features(assets(t), buys(t), "customer_id", "isin", "value"))  # read for the rank and to apply it
     out = RC.popularity_rank(out, out, "isin")
     out = RC.encode_assets(out, assets(t), ["category"])
     return out.drop("category", "sector", "p_retailprice")

@@ -171,8 +171,9 @@ def combined_features(t):
     from pyspark.ml.functions import vector_to_array
 
     rows = sentences(t)
-    chosen = [r["term"] for r in X.chi2_terms(weights(t, 2000)[0], rows, "doc_id", "label", 50).collect()]
-    blocks = [X.lexical_features(rows, "text").drop("text", "label"), X.pivot_terms(weights(t, 2000)[0], "doc_id", chosen)]
+    weighted = weights(t, 2000)[0]  # texts are split once, for the choice and for the columns
+    chosen = [r["term"] for r in X.chi2_terms(weighted, rows, "doc_id", "label", 50).collect()]
+    blocks = [X.lexical_features(rows, "text").drop("text", "label"), X.pivot_terms(weighted, "doc_id", chosen)]
     arrays = X.combine_blocks(blocks, "doc_id").withColumn("v", vector_to_array("features"))
     return arrays.select("doc_id", F.size("v").alias("n_features"), F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("total"))
 

@@ -194,6 +194,15 @@ def test_negatives_read_their_input_few_times(spark):
     assert len({(r.c, r.item) for r in out}) == len(out) and reads.value <= 800
 
 
+def test_trades_are_joined_and_texts_split_once(spark, folder, monkeypatch):
+    from ledgerlens.plans.catalog import text
+
+    assert "l_orderkey" not in QUERIES["item_features"].run(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    split, calls = text.X.word_terms, []
+    monkeypatch.setattr(text.X, "word_terms", lambda *a, **k: calls.append(1) or split(*a, **k))
+    assert QUERIES["combined_features"].run(spark, folder).count() > 0 and len(calls) == 1
+
+
 def test_pivots_skip_most_parts_of_clustered_points(spark):
     rng = np.random.default_rng(4)
     middles = rng.normal(size=(30, 64)) * 3
