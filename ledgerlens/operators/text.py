@@ -6,20 +6,29 @@ statistics are grouped counts. A term table is long: document, term, weight.
 
 from __future__ import annotations
 
+import itertools
+from collections import Counter
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ledgerlens.functions import lexicons as L
 from ledgerlens.functions import scalars as S
+from ledgerlens.operators.ordering import slice_count
 from ledgerlens.session import cut_lineage
 
 # whitespace as Python's str.split() sees it
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]+"
 WORD_PATTERN = r"[a-zA-Z]+(?:'[a-zA-Z]+)?"
 TERM_PATTERN = r"\b[a-z][a-z-]{1,}\b"
+#: Character n-grams and words that a task remembers, and n-gram rows that it hands over at once.
+GRAMS, GRAM_ROWS = 1 << 17, 1 << 17
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -182,23 +191,61 @@ def word_terms(df: DataFrame, doc: str, text: str, stopwords: Sequence[str] = ()
     return exploded.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def _padded_grams(word: str, low: int, high: int) -> list[str]:
+    """All character n-grams of a word between two blanks; a word shorter than ``low`` is one gram."""
+    p = f" {word} "
+    return [p[i : i + n] for n in range(low, high + 1) if n == low or len(p) >= n for i in range(max(len(p) - n + 1, 1))]
+
+
 def char_terms(df: DataFrame, doc: str, text: str, low: int = 2, high: int = 4) -> DataFrame:
     """Character n-gram counts inside words padded by one blank: doc, term, tf.
 
-    Words are counted first, so a word's grams are built once per document.
+    The texts of a document meet in one exchange, of a fixed number of tasks, as grams are many times their bytes, and
+    follow each other; a task counts the words and then the grams of one document at a time. No row per gram is shuffled.
     """
-    per_word = df.select(doc, F.explode(words(F.lower(F.col(text)))).alias("_w")).groupBy(doc, "_w").agg(F.count(F.lit(1)).alias("_n"))
-    padded = F.concat(F.lit(" "), F.col("_w"), F.lit(" "))
-    size = F.length(padded)
-
-    def grams(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1)))
-        cut = F.transform(starts, lambda i: F.substring(padded, i, F.lit(n)))
-        return cut if n == low else F.when(size >= n, cut).otherwise(F.array().cast("array<string>"))
-
-    lists = [grams(n) for n in range(low, high + 1)]
-    exploded = per_word.select(doc, "_n", F.explode(F.concat(*lists)).alias("term"))
-    return exploded.groupBy(doc, "term").agg(F.sum("_n").alias("tf"))
+    joined = F.array_join(words(F.lower(F.col(text))), " ")
+    rows = df.select(doc, joined.alias("_words")).where(F.col("_words") != "").repartition(slice_count(df), doc).sortWithinPartitions(doc)
+    key = rows.schema[doc].dataType
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers: dict[str, int] = {}  # of grams
+        known: dict[str, np.ndarray] = {}  # grams of words
+        ids, hits, tf = [], [], []
+
+        def grams(word: str) -> np.ndarray:
+            if word not in known:
+                known[word] = np.array([numbers.setdefault(g, len(numbers)) for g in _padded_grams(word, low, high)])
+            return known[word]
+
+        def flush() -> pa.RecordBatch:
+            which = pa.array(np.repeat(np.arange(len(ids)), [len(h) for h in hits]))
+            columns = [pa.array(ids, to_arrow_type(key)).take(which), pa.array([*numbers], pa.string()).take(pa.array(np.concatenate(hits))), pa.array(np.concatenate(tf))]
+            for c in (ids, hits, tf):
+                c.clear()
+            return pa.RecordBatch.from_arrays(columns, [doc, "term", "tf"])
+
+        pairs = ((i, w) for b in batches for i, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        rows_held = 0
+        for i, texts in itertools.groupby(pairs, key=lambda r: r[0]):
+            counts = Counter(itertools.chain.from_iterable(t.split(" ") for _, t in texts))
+            lists = [grams(w) for w in counts]
+            times = np.repeat(np.fromiter(counts.values(), np.int64, len(counts)), [len(g) for g in lists])
+            found = np.bincount(np.concatenate(lists), times)
+            ids.append(i)
+            hits.append(np.flatnonzero(found))
+            tf.append(found[hits[-1]].astype(np.int64))
+            rows_held += len(hits[-1])
+            if rows_held >= GRAM_ROWS or len(numbers) >= GRAMS or len(known) >= GRAMS:
+                yield flush()
+                rows_held = 0
+                if len(numbers) >= GRAMS or len(known) >= GRAMS:
+                    numbers.clear()
+                    known.clear()
+        if ids:
+            yield flush()
+
+    schema = T.StructType([T.StructField(doc, key), T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
+    return rows.mapInArrow(counted, schema)
 
 
 def fit_tfidf(terms: DataFrame, n_docs: Column | int, min_df: int = 2, max_df: float = 1.0, max_terms: int | None = None) -> DataFrame:

@@ -134,7 +134,7 @@ chars AS (SELECT doc_id, term, CAST(sum(n) AS BIGINT) AS tf FROM (
 @query("char_tfidf", "X9", f"WITH {SENT}, {CHARS}, {_weights_sql('chars', 3000)} SELECT doc_id, term, weight FROM weights", "weight")
 def char_tfidf(t):
     rows = sentences(t)
-    terms = cut_lineage(X.char_terms(rows, "doc_id", "text"))
+    terms = X.char_terms(rows, "doc_id", "text")  # counted again to apply it: cheaper than to store a row per gram
     vocab = X.fit_tfidf(terms, rows.agg(F.count(F.lit(1))).scalar(), 2, 0.95, 3000)
     return X.apply_tfidf(terms, vocab, "doc_id")
 
