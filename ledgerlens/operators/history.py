@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import scalars as S
 from ledgerlens.operators.encode import lookup
-from ledgerlens.operators.ordering import HEAVY_ROWS, average_rank, in_order, only_row, packed_order, running
+from ledgerlens.operators.ordering import HEAVY_ROWS, average_rank, dealt, in_order, only_row, packed_order, running
 
 
 def velocity_features(
@@ -49,7 +49,8 @@ def velocity_features(
         if i == 0:
             aggs.append(F.max(F.when(own, F.col("_spend").cast("double"))).alias(f"fe_{short}_cum_amount"))
             aggs.append(F.max(F.when(own, before / F.greatest("_days", F.lit(1.0)))).alias(f"fe_{short}_txn_freq"))
-    return found.groupBy(unique_id).agg(*aggs)
+    narrow = found.select(unique_id, "_set", "_days", "_count", "_spend")
+    return dealt(narrow, [unique_id], only_row(df.agg(F.count(F.lit(1)).alias("n"))).value("n") * len(keys)).groupBy(unique_id).agg(*aggs)
 
 
 def velocity(

@@ -244,6 +244,8 @@ def running(
             outputs.append(F.lag(c).over(cell).alias(n))
     kept = [c for c in df.columns if c != SLICE or sliced]
     joined = rows.unionByName(header)
+    if slices and slices > slice_count(df):
+        joined = joined.repartition(slices, *keys, SLICE)
     return joined.select(*kept, "_row", *outputs).where("_row = 1").drop("_row")
 
 
@@ -256,7 +258,7 @@ def positions(
 
 def dense_index(df: DataFrame, column: str, name: str = "index", start: int = 0) -> DataFrame:
     """Distinct non-null values of a column with their rank in sorted order."""
-    values = df.select(column).where(F.col(column).isNotNull()).distinct()
+    values = cut_lineage(df.select(column).where(F.col(column).isNotNull()).distinct())  # read for the edges, the cells and the rows
     out = positions(values, [column], name=name)
     return out.withColumn(name, (F.col(name) + (start - 1)).cast("long"))
 
@@ -283,21 +285,42 @@ def hash_positions(
     return running(rows, keys, ["_u", *ids], measures, sliced=True).drop("_u", SLICE)
 
 
+#: Rows that a task orders or collects; more rows make more tasks, so that a task's memory doesn't grow with the input.
+TASK_ROWS = 1 << 20
+
+
+def task_count(df: DataFrame, rows: int) -> int:
+    """As many tasks as shuffle partitions, or more for many rows."""
+    return max(slice_count(df), -(-rows // TASK_ROWS))
+
+
+def dealt(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+    """One exchange by key, into more tasks than usual where there are many rows."""
+    tasks = task_count(df, rows)
+    return df.repartition(tasks, *keys) if tasks > slice_count(df) else df.repartition(*keys)
+
+
 #: Rows that one task orders without help; a key with more, if it is a notable share of all rows, is cut into slices.
 HEAVY_ROWS = 1 << 20
 
 
 def heavy_keys(df: DataFrame, keys: Sequence[str], heavy: int = HEAVY_ROWS) -> DataFrame | None:
-    """The keys that hold more than ``heavy`` rows and a sixteenth of an average partition, or None.
+    """The keys that hold more than ``heavy`` rows and a sixteenth of an average partition, or None."""
+    return _weighed(df, keys, heavy)[0]
+
+
+def _weighed(df: DataFrame, keys: Sequence[str], heavy: int) -> tuple[DataFrame | None, int]:
+    """The heavy keys, or None, and the number of all rows.
 
     One counting pass with map-side aggregation. There are at most sixteen such keys a shuffle partition.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     rows = only_row(counts.agg(F.max("_n").alias("most"), F.sum("_n").alias("n")))
-    share = (rows.value("n") or 0) / (16 * slice_count(df))
+    total = rows.value("n") or 0
+    share = total / (16 * task_count(df, total))
     if (rows.value("most") or 0) <= max(heavy, share):
-        return None
-    return cut_lineage(counts.where(F.col("_n") > max(heavy, share)).drop("_n"))
+        return None, total
+    return cut_lineage(counts.where(F.col("_n") > max(heavy, share)).drop("_n")), total
 
 
 def _among(keys: Sequence[str], few: DataFrame) -> tuple[DataFrame, Column]:
@@ -320,7 +343,7 @@ def in_order(
     found in ``counted``, if given: rows with the same keys that are fewer or computed already.
     """
     keys, names = list(keys), list(measures)
-    few = heavy_keys(df if counted is None else counted, keys, heavy)
+    few, total = _weighed(df if counted is None else counted, keys, heavy)
     light = df
     if few is not None:
         named, meet = _among(keys, few)
@@ -332,12 +355,12 @@ def in_order(
         "count": lambda c: F.count(c).over(upto), "sum": lambda c: F.sum(c).over(upto), "max": lambda c: F.max(c).over(upto),
         "min": lambda c: F.min(c).over(upto), "total": lambda c: F.sum(c).over(whole), "previous": lambda c: F.lag(c).over(window),
     }
-    arranged = light.repartition(*keys).sortWithinPartitions(*keys, *order)
+    arranged = dealt(light, keys, total).sortWithinPartitions(*keys, *order)
     out = arranged.select("*", *[fold[measures[n][0]](measures[n][1]).alias(n) for n in names])
     if few is None:
         return out
     rest = cut_lineage(df.join(named, meet, "left_semi"))  # read for the edges, the cells and the rows
-    return out.unionByName(running(rest, keys, order, measures))
+    return out.unionByName(running(rest, keys, order, measures, slices=task_count(df, total)))
 
 
 def _whole_number(df: DataFrame, name: str) -> Column | None:
@@ -397,7 +420,7 @@ def rank_ladder(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -
     All columns go through one pass for the edges, one count and one running sum; no nulls.
     """
     by = list(by)
-    numbers = {f"_n{i}": F.col(c).cast("double") for i, c in enumerate(columns)}
+    numbers = {f"_n{i}": F.col(c).cast("double") + F.lit(0.0) for i, c in enumerate(columns)}  # -0.0 is 0.0, also for the slices
     rows = df.dropna(subset=by).select(*by, *[v.alias(k) for k, v in numbers.items()]) if by else df.select(*[v.alias(k) for k, v in numbers.items()])
     edges = slice_edges(rows, {k: F.col(k) for k in numbers}, slice_count(df))
     cut = assign_slices(rows, {k: f"_s{k}" for k in numbers}, edges)
@@ -417,16 +440,21 @@ def average_ranks(df: DataFrame, names: Mapping[str, str], by: Sequence[str] = (
     size costs one counter.
     """
     by = list(by)
-    out, rank = df, F.col("_rank") / F.col("_of") if pct else F.col("_rank")
+    rank = F.col("_rank") / F.col("_of") if pct else F.col("_rank")
     exact = (T.DoubleType, T.FloatType, T.IntegerType, T.ShortType, T.ByteType)
     together = [c for c in names if isinstance(df.schema[c].dataType, exact)]
-    ladder = cut_lineage(rank_ladder(df, together, by)) if len(together) > 1 else None
+    out, together = df, together if len(together) > 1 else []
+    if together:
+        # numbered rows, stored so that the numbers stay; a row's values are looked up as narrow rows and meet again by number
+        out = cut_lineage(df.withColumn("_at", F.monotonically_increasing_id()))
+        pieces = F.array(*[F.struct(F.lit(c).alias("_column"), F.col(c).cast("double").alias("_value")) for c in together])
+        asked = out.select("_at", *by, F.inline(pieces)).where("_value is not null")
+        placed = asked.join(rank_ladder(out, together, by), [*by, "_column", "_value"]).select("_at", "_column", rank.alias("_place"))
+        found = placed.repartition("_at").groupBy("_at").agg(*[F.max(F.when(F.col("_column") == c, F.col("_place"))).alias(names[c]) for c in together])
+        out = out.join(found, "_at", "left")
     for value, name in names.items():
-        if ladder is not None and value in together:
-            own = ladder.where(F.col("_column") == value).select(*by, F.col("_value").cast(df.schema[value].dataType).alias(value), rank.alias(name))
-        else:
-            own = rank_table(df, value, by).select(*by, value, rank.alias(name))
-        out = out.join(own, [*by, value], "left")
+        if value not in together:
+            out = out.join(rank_table(out, value, by).select(*by, value, rank.alias(name)), [*by, value], "left")
     return out.select(*df.columns, *names.values())
 
 
