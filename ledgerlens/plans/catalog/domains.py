@@ -245,7 +245,7 @@ def cohort_rank(t):
 
 @query("screening_table", "W7 E6 P5 P12 P17")
 def screening_table(t):
-    rows = yearly(t)
+    rows = cut_lineage(yearly(t))  # read by four fits and by the features
     return screening.build(rows.where("fiscal_year < 2000"), rows, RATIOS)
 
 
@@ -259,6 +259,7 @@ def fraud_table(t):
     schema = fraud.Schema(
         "o_orderkey", "o_orderdate", "o_totalprice", "label", "o_custkey", "c_nationkey", "c_mktsegment", "o_orderpriority", "1995-01-01",
         extra_cards=["c_mktsegment"], match_columns=["M1"], fill_columns=["balance"], label_columns=["o_orderpriority"], free_mail=["BUILDING"])
+    rows = cut_lineage(rows)  # read by every fit and by the features
     return fraud.FraudFeatures(train(rows), schema).apply(rows)
 
 
