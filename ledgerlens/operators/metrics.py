@@ -24,6 +24,7 @@ from ledgerlens.operators.ordering import (
     row_positions,
     running,
 )
+from ledgerlens.session import cut_lineage
 
 
 def score_counts(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
@@ -36,7 +37,7 @@ def score_counts(df: DataFrame, label: str, score: str, by: Sequence[str] = ())
 
 def score_curve(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """Per distinct threshold, from high to low: hits and false alarms at or above it, and the totals."""
-    counts = score_counts(df, label, score, by)
+    counts = cut_lineage(score_counts(df, label, score, by))  # read for the edges, the cells and the rows
     return running(
         counts, by, [score],
         {"tp": ("sum", F.col("pos")), "fp": ("sum", F.col("neg")), "P": ("total", F.col("pos")), "N": ("total", F.col("neg"))},

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ledgerlens.operators import metrics as M
 from ledgerlens.operators.ordering import only_row
 from ledgerlens.operators.splits import stratified_folds
+from ledgerlens.session import cut_lineage
 
 CLASSIFIERS: dict[str, Callable] = {
     "logistic": mc.LogisticRegression,
@@ -121,7 +122,7 @@ def cross_validate(df: DataFrame, model: Pipeline, unique_id: str, label: str =
     """Mean and deviation of each metric over stratified folds, or over given (fold, part) rows."""
     results = []
     if folds is None:
-        dealt = stratified_folds(df, unique_id, label, k, seed)
+        dealt = cut_lineage(stratified_folds(df, unique_id, label, k, seed))  # every fold reads all rows several times
         pairs = [(dealt.where(F.col("fold") != i), dealt.where(F.col("fold") == i)) for i in range(k)]
     else:
         numbers = [r["fold"] for r in folds.select("fold").distinct().orderBy("fold").collect()]

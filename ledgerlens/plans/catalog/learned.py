@@ -14,6 +14,7 @@ from ledgerlens.operators.metrics import roc_auc
 from ledgerlens.plans.catalog.market import small_panel
 from ledgerlens.plans.catalog.scores import SCORED, scored
 from ledgerlens.plans.registry import query
+from ledgerlens.session import cut_lineage
 
 
 @query("nearest_neighbours", "D12 I3", """
@@ -145,7 +146,8 @@ def priced_lines(t):
 
 @query("mllib_models", "L1 L2 L16 L17 D11")
 def mllib_models(t):
-    rows = D.with_class_weight(D.stratified_split(priced_lines(t), "row_id", "label", 0.2), "label")
+    split = cut_lineage(D.stratified_split(priced_lines(t), "row_id", "label", 0.2))  # read by the weights, the fits and the scores
+    rows = D.with_class_weight(split, "label")
     train, val = rows.where("split = 'train'"), rows.where("split = 'val'")
     models = {
         "logistic": L.classifier("logistic", FEATURES, weight="weight", maxIter=10),
@@ -179,7 +181,7 @@ def mllib_search(t):
 
 @query("mllib_ensemble", "L7 L8")
 def mllib_ensemble(t):
-    rows = D.stratified_split(priced_lines(t), "row_id", "label", 0.2, 0.2)
+    rows = cut_lineage(D.stratified_split(priced_lines(t), "row_id", "label", 0.2, 0.2))  # read by three fits and their scores
     train, val, test = (rows.where(F.col("split") == s) for s in ("train", "val", "test"))
     svc = L.classifier("svc", FEATURES, maxIter=5).fit(train)
     sigmoid = L.sigmoid_calibration(L.score_table(svc, val, ["row_id", "label"], "margin"), "margin")
@@ -223,22 +225,26 @@ def mllib_bayes(t):
 
 @query("mllib_ranker", "L11 L4")
 def mllib_ranker(t):
-    from ledgerlens.plans.catalog.samples import assets, buys, customers, trades
+    from ledgerlens.plans.catalog.samples import assets, customers, trades
     from ledgerlens.operators import recommend as RC
 
-    pairs = D.candidate_pairs(buys(t), assets(t), "customer_id", "isin", ratio=1)
-    users = RC.user_features(customers(t), trades(t), "customer_id", "isin", "side", "value").select("customer_id", "user_n_buy_tx", "user_total_buy")
-    items = RC.item_features(assets(t), buys(t), "customer_id", "isin", "value").select("isin", "item_n_buyers", "item_total_vol")
+    made = cut_lineage(trades(t).select("customer_id", "isin", "side", "value"))  # read by pairs, users and items
+    bought = made.where("side = 'Buy'")
+    pairs = D.candidate_pairs(bought, assets(t), "customer_id", "isin", ratio=1)
+    users = RC.user_features(customers(t), made, "customer_id", "isin", "side", "value").select("customer_id", "user_n_buy_tx", "user_total_buy")
+    items = RC.item_features(assets(t), bought, "customer_id", "isin", "value").select("isin", "item_n_buyers", "item_total_vol")
     matrix = RC.feature_matrix(pairs, users, items, "customer_id", "isin")
-    model = L.classifier("boosted", ["user_n_buy_tx", "user_total_buy", "item_n_buyers", "item_total_vol"], maxIter=3)
-    rows = matrix.withColumn("_late", F.pmod(F.xxhash64("customer_id"), F.lit(4)) == 0)  # whole customers are held out
+    names = ["user_n_buy_tx", "user_total_buy", "item_n_buyers", "item_total_vol"]
+    model = L.classifier("boosted", names, maxIter=3)
+    late = F.pmod(F.xxhash64("customer_id"), F.lit(4)) == 0  # whole customers are held out
+    rows = cut_lineage(matrix.select("customer_id", "isin", "label", *names, late.alias("_late")))  # a fit reads its rows many times
     fitted = model.fit(rows.where("not _late").drop("_late"))
     return L.score_table(fitted, rows.where("_late").drop("_late"), ["customer_id", "isin", "label"])
 
 
 @query("tree_importance", "H11 L3")
 def tree_importance(t):
-    rows = D.stratified_split(priced_lines(t), "row_id", "label", 0.2)
+    rows = cut_lineage(D.stratified_split(priced_lines(t), "row_id", "label", 0.2))
     model = L.classifier("forest", FEATURES, numTrees=5, maxDepth=4).fit(rows.where("split = 'train'"))
     auc = roc_auc(L.score_table(model, rows.where("split = 'val'"), ["row_id", "label"]), "label", "score").select("auc").scalar()
     return L.importances(model, FEATURES, t._spark).withColumn("auc", auc)
