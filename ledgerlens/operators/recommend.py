@@ -153,9 +153,11 @@ def svd_scores(positives: DataFrame, pairs: DataFrame, customer: str, item: str,
     for _ in range(iterations):
         v = orthonormal(cut_lineage(to_items(to_customers(v))), item)
     # directions inside the subspace, the strongest first
-    values, vectors = np.linalg.eigh(gram(to_customers(v)))
-    v = rotate(v, item, vectors[:, np.argsort(-values)[:k]])
-    u = to_customers(v).withColumnsRenamed({c: f"u{c}" for c in cols[:k]})
+    u = cut_lineage(to_customers(v))
+    values, vectors = np.linalg.eigh(gram(u))
+    turn = vectors[:, np.argsort(-values)[:k]]
+    v = rotate(v, item, turn)
+    u = rotate(u, customer, turn).withColumnsRenamed({c: f"u{c}" for c in cols[:k]})
     scored = pairs.join(u, customer, "left").join(v, item, "left")
     dot = reduce(lambda x, y: x + y, [F.col(f"u{c}") * F.col(c) for c in cols[:k]])
     return scored.select(*pairs.columns, F.coalesce(dot, F.lit(0.0)).alias(name))
@@ -163,9 +165,10 @@ def svd_scores(positives: DataFrame, pairs: DataFrame, customer: str, item: str,
 
 def als_scores(positives: DataFrame, pairs: DataFrame, customer: str, item: str, k: int = 50, seed: int = 42, name: str = "als_score") -> DataFrame:
     """The alternative for catalogues too wide for a column-square matrix: implicit ALS."""
-    seen = positives.select(customer, item).distinct()
-    rows, columns = dense_index(seen, customer, "_r"), dense_index(seen, item, "_c")
-    cells = seen.join(rows, customer).join(columns, item).select(F.col("_r").cast("int"), F.col("_c").cast("int"), F.lit(1.0).alias("rating"))
+    seen = cut_lineage(positives.select(customer, item).distinct())
+    rows, columns = cut_lineage(dense_index(seen, customer, "_r")), cut_lineage(dense_index(seen, item, "_c"))
+    # a fit reads its cells several times
+    cells = cut_lineage(seen.join(rows, customer).join(columns, item).select(F.col("_r").cast("int"), F.col("_c").cast("int"), F.lit(1.0).alias("rating")))
     model = ALS(rank=k, userCol="_r", itemCol="_c", ratingCol="rating", implicitPrefs=True, seed=seed, coldStartStrategy="nan").fit(cells)
     asked = pairs.join(rows, customer, "left").join(columns, item, "left")
     asked = asked.withColumns({"_r": F.coalesce(F.col("_r"), F.lit(-1)).cast("int"), "_c": F.coalesce(F.col("_c"), F.lit(-1)).cast("int")})

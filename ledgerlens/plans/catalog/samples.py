@@ -232,11 +232,11 @@ def popularity_baseline(t):
 
 @query("svd_scores", "Z3")
 def svd_scores(t):
-    b = buys(t).select("customer_id", "isin").distinct()
+    b = cut_lineage(buys(t).select("customer_id", "isin").distinct())
     return RC.svd_scores(b, b, "customer_id", "isin", k=5, oversample=3)
 
 
 @query("als_scores", "Z3")
 def als_scores(t):
-    b = buys(t).select("customer_id", "isin").distinct()
+    b = cut_lineage(buys(t).select("customer_id", "isin").distinct())
     return RC.als_scores(b, b, "customer_id", "isin", k=5)
