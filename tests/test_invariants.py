@@ -1,7 +1,10 @@
 """Properties that must hold on any data: splits, leakage, skew, partition counts, plans."""
 
+import sys
+
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import scalars as S
@@ -331,3 +334,72 @@ def test_many_equal_points_are_taken_by_id(spark):
     for r in sorted(got, key=lambda r: r["rank"]):
         by.setdefault(r.query, []).append(r.neighbour)
     assert by[0] == [1, 2, 3] and by[2] == [0, 1, 3] and all(by[i] == [0, 1, 2] for i in range(3, 300))
+
+
+def test_grams_of_a_document_in_several_rows_add_up_without_rows_per_gram_in_the_shuffle(spark):
+    from ledgerlens.operators import text as X
+
+    rows = spark.createDataFrame([(1, "aB ab\u00a0c"), (2, None), (1, "ab"), (3, "  "), (4, "x")], "doc long, text string")
+    terms = X.char_terms(rows, "doc", "text")
+    got = {(r.doc, r.term): r.tf for r in terms.collect()}
+    word = {" a": 3, "ab": 3, "b ": 3, " ab": 3, "ab ": 3, " ab ": 3}
+    assert {t: n for (d, t), n in got.items() if d == 1} == {**word, " c": 1, "c ": 1, " c ": 1}
+    assert {t for d, t in got if d == 4} == {" x", "x ", " x "} and {d for d, _ in got} == {1, 4}
+    plan = terms._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "HashAggregate" not in plan
+
+
+def test_many_rows_make_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "TASK_ROWS", 100)
+    rows = spark.range(5000).select((F.col("id") % 50).alias("k"), F.col("id").alias("row"), (F.col("id") % 7).alias("x"))
+    for heavy in (1 << 20, 10):
+        out = ordering.in_order(rows, ["k"], ["row"], {"n": ("count", F.lit(1)), "s": ("sum", F.col("x"))}, heavy)
+        assert out.rdd.getNumPartitions() >= 50
+        assert all(r.n == r.row // 50 + 1 and r.s == sum(i % 7 for i in range(r.k, r.row + 1, 50)) for r in out.collect())
+
+
+def test_ranks_of_several_columns_need_no_join_of_the_wide_rows_per_column(spark):
+    rows = spark.createDataFrame(
+        [(1, "a", 1.0, 5, 2.0), (2, "a", 1.0, 4, float("nan")), (2, "a", 1.0, 4, float("nan")), (3, "b", None, 4, -0.0), (4, "b", 2.0, None, 0.0), (5, None, 1.0, 1, 1.0)],
+        "id int, g string, x double, y int, z double")
+    names = {"x": "rx", "y": "ry", "z": "rz"}
+    out = ordering.average_ranks(rows, names, ["g"], pct=False)
+    assert out.columns == [*rows.columns, *names.values()]
+    got = sorted((r.id, r.rx, r.ry, r.rz) for r in out.collect() if r.id != 2)
+    assert got == [(1, 2.0, 3.0, 1.0), (3, None, 1.0, 1.5), (4, 1.0, None, 1.5), (5, None, None, None)]
+    assert [(r.rx, r.ry, r.rz) for r in out.collect() if r.id == 2] == [(2.0, 1.5, None)] * 2
+    joins = out._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert joins <= 2, joins
+
+
+def test_models_read_rows_that_are_computed_once(spark, monkeypatch):
+    from ledgerlens.operators import metrics, recommend
+
+    stored = []
+    for module in (L, metrics, recommend):
+        real = module.cut_lineage
+        monkeypatch.setattr(module, "cut_lineage", lambda df, real=real: stored.append(df.columns) or real(df))
+    rows = spark.range(400).select("id", (F.col("id") % 10).cast("double").alias("x"), (F.col("id") % 10 > 4).cast("int").alias("label"))
+    L.cross_validate(rows, L.classifier("logistic", ["x"], maxIter=2), "id", k=2).collect()
+    assert sum("fold" in c for c in stored) == 1 and sum("pos" in c for c in stored) == 2  # the rows, and each fold's score counts
+    stored.clear()
+    pairs = spark.createDataFrame([(c, i) for c in range(6) for i in range(5) if (c + i) % 3], "c int, item int")
+    recommend.svd_scores(pairs, pairs, "c", "item", k=2, iterations=2, oversample=2).collect()
+    assert sum(c[0] == "c" and len(c) == 5 for c in stored) == 1  # the last step serves the products and the scores
+    stored.clear()
+    recommend.als_scores(pairs, pairs, "c", "item", k=2).collect()
+    assert [sorted(c) for c in stored] == [["c", "item"], ["_r", "c"], ["_c", "item"], ["_c", "_r", "rating"]]
+
+
+@pytest.mark.parametrize("name", ["mllib_ranker", "mllib_models", "mllib_ensemble", "svd_scores", "als_scores", "screening_table", "fraud_table"])
+def test_results_stand_on_stored_rows(spark, folder, name, monkeypatch):
+    class Stored(Exception):
+        pass
+
+    def store(df):
+        raise Stored
+
+    fn = QUERIES[name].run.__closure__[0].cell_contents
+    monkeypatch.setattr(sys.modules[fn.__module__], "cut_lineage", store)
+    with pytest.raises(Stored):
+        QUERIES[name].run(spark, folder)
