@@ -8,6 +8,9 @@ range, nor nearer than the plane between its pivot and the query's. So a query f
 at those whose bound is not beyond its k-th neighbour so far. Each task compares one part of the points with a chunk of
 the queries that ask for it and returns at most k rows per query: a matrix product picks the pairs that may count, and
 only their distances are measured one by one.
+
+Points of few components are kept in the leaves of a tree of cuts instead (``boxes``), whose bounds are tighter there. Of
+equal points only the k of smallest id can count, and equal queries have equal neighbours: they are searched once.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerlens.operators.boxes import Boxes
 from ledgerlens.operators.encode import lookup
 from ledgerlens.operators.ordering import hash_order, only_row, running
 from ledgerlens.session import cut_lineage
@@ -32,6 +36,10 @@ PIVOTS, SAMPLE, REFERENCES = 4096, 8192, 8
 RINGS, TABLE_ROWS = 16, 1 << 16
 #: Allowance for rounding in bounds, relative to the numbers they come from.
 SLACK = 1e-7
+#: Vectors of at most so many components are searched by boxes; their sample has so many points a leaf.
+NARROW, LEAF_SAMPLE = 16, 8
+#: Queries that a task takes down the tree.
+TASK_QUERIES = 1 << 15
 
 
 def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -280,6 +288,8 @@ def nearest(queries: DataFrame, points: DataFrame, unique_id: str, vector: str,
     without nulls, all of one length. Without points there is no row.
     """
     shape = lambda df: df.select(F.col(unique_id).cast("long").alias("_id"), F.col(vector).cast("array<double>").alias("_v"))
+    if not same and (points.agg(F.max(F.size(vector))).first()[0] or NARROW + 1) <= NARROW:
+        return _nearest_in_boxes(shape(queries), shape(points), k, size, seed)
     asks = shape(queries).withColumn("_self", F.lit(same))
     table = pivot_table(shape(points), size, seed)
     if table is None:
@@ -300,6 +310,70 @@ def _equal_points(asks: DataFrame, pts: DataFrame, settled: DataFrame, k: int) -
     return found.select("query", "neighbour", F.lit(0.0).alias("distance"))
 
 
+# --- few components ---------------------------------------------------------
+
+def box_tree(points: DataFrame, size: int, seed: int) -> tuple[Boxes, DataFrame] | None:
+    """Cuts from a sample, then every point's leaf (_id, _v, _part) and the box that the points of a leaf fill."""
+    n = points.count()
+    if not n:
+        return None
+    share = min(1.0, max(SAMPLE, LEAF_SAMPLE * n // size) / n)
+    picked = points.where(F.pmod(F.xxhash64("_v", F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20)))
+    rows = picked.select("_v").toPandas()["_v"].to_numpy()
+    sample = np.stack(rows).astype(np.float64) if len(rows) else np.zeros((1, 1))
+    boxes = Boxes(sample, int(share * size))
+
+    def placed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in frames:
+            if len(rows):
+                yield rows.assign(_part=boxes.leaf(np.stack(rows["_v"].to_numpy())))
+
+    located = cut_lineage(points.select("_id", "_v").mapInPandas(placed, "_id long, _v array<double>, _part long"))
+    width = located.agg(F.max(F.size("_v"))).first()[0]
+    low, high = (F.array(*[f(F.col("_v")[i]) for i in range(width)]) for f in (F.min, F.max))
+    ranges = located.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"), low.alias("_low"), high.alias("_high"))
+    return boxes.fill(ranges.toPandas()), located
+
+
+def _nearest_in_boxes(queries: DataFrame, points: DataFrame, k: int, size: int, seed: int) -> DataFrame:
+    """As ``nearest``, of queries that are not points themselves. What is not finite is at no distance from anything."""
+    finite = F.forall("_v", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))
+    asks = queries.where(finite)
+    by_id = Window.partitionBy("_v").orderBy("_id")
+    few = points.where(finite).withColumn("_i", F.row_number().over(by_id)).where(F.col("_i") <= k).drop("_i")
+    tree = box_tree(cut_lineage(few), size, seed)
+    if tree is None:
+        return queries.sparkSession.createDataFrame([], T.StructType.fromDDL(SCHEMA + ", rank int"))
+    boxes, located = tree
+    tasks = max(1, -(-asks.count() // TASK_QUERIES))
+    each = cut_lineage(asks.select("_v").distinct().repartition(tasks, "_v").select(F.monotonically_increasing_id().alias("_id"), "_v"))
+
+    def first_look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in frames:
+            if len(rows):
+                part, reach = boxes.first(np.stack(rows["_v"].to_numpy()), k)
+                yield rows.assign(_self=False, _part=part, _r=reach)
+
+    def reached(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        step = max(1, 1_000_000 // len(boxes.rows))
+        for rows in frames:
+            for at in range(0, len(rows), step):
+                some = rows.iloc[at : at + step]
+                query, part = boxes.reached(np.stack(some["_v"].to_numpy()), some["_r"].to_numpy())
+                other = part != some["_home"].to_numpy()[query]
+                yield some.iloc[query[other]][["_id", "_v", "_self", "_r"]].assign(_part=part[other])
+
+    first = cut_lineage(each.mapInPandas(first_look, "_id long, _v array<double>, _self boolean, _part long, _r double"))
+    found = cut_lineage(_pairwise(_chunked(first, size, seed + 1), located, k))
+    kth = found.groupBy(F.col("query").alias("_id")).agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("_kth"))
+    near = lookup(first, kth, ["_id"], {"_kth": None}).withColumn("_r", F.least("_r", "_kth")).withColumnRenamed("_part", "_home")
+    near = near.select("_id", "_v", "_self", "_r", "_home").repartition(tasks, "_id")
+    more = cut_lineage(near.mapInPandas(reached, "_id long, _v array<double>, _self boolean, _r double, _part long"))
+    best = _best(found.unionByName(_pairwise(_chunked(more, size, seed + 1), located, k)), k).drop("rank")
+    named = asks.withColumnRenamed("_id", "_query").join(each, "_v").select("_query", F.col("_id").alias("query"))
+    return _best(named.join(best, "query").select(F.col("_query").alias("query"), "neighbour", "distance"), k)
+
+
 # --- imputation -------------------------------------------------------------
 
 def knn_impute(df: DataFrame, unique_id: str, target: str, features: Sequence[str], k: int = 5, fit: DataFrame | None = None) -> DataFrame:

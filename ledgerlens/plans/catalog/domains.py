@@ -62,7 +62,8 @@ def credit_features(t):
 @query("credit_imputed", "I3 P21")
 def credit_imputed(t):
     holed = borrowers(t).withColumn("MonthlyIncome", F.when(F.col("c_nationkey") < 20, F.col("MonthlyIncome")))
-    rows = cut_lineage(credit.impute(credit.clean(holed), "borrower_id"))  # read by the fit and by the features
+    cleaned = cut_lineage(credit.clean(holed))  # read by the donors, the queries and the result
+    rows = cut_lineage(credit.impute(cleaned, "borrower_id"))  # read by the fit and by the features
     out = credit.features(rows, credit.fit(rows))
     return out.select("borrower_id", "MonthlyIncome", *[c for c in out.columns if c.startswith("fe_")])
 

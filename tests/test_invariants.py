@@ -403,3 +403,62 @@ def test_results_stand_on_stored_rows(spark, folder, name, monkeypatch):
     monkeypatch.setattr(sys.modules[fn.__module__], "cut_lineage", store)
     with pytest.raises(Stored):
         QUERIES[name].run(spark, folder)
+
+
+def test_queries_beside_all_points_look_at_few_parts(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    p = np.column_stack([rng.uniform(0, 5, 6000), rng.integers(0, 30, 6000), rng.integers(0, 3, 6000), rng.integers(0, 20, 6000) * 4.0])
+    q = np.column_stack([rng.uniform(0, 5, 500), rng.integers(0, 30, 500), rng.integers(0, 3, 500), 80 + rng.integers(0, 5, 500) * 4.0])
+    points = spark.createDataFrame(pd.DataFrame({"id": np.arange(6000), "v": p.tolist()}))
+    asks = spark.createDataFrame(pd.DataFrame({"id": np.arange(1000) + 10_000, "v": [*q.tolist(), *q.tolist()]}))  # each comes twice
+    looks, real = [], N._pairwise
+    monkeypatch.setattr(N, "_pairwise", lambda asked, points, k: looks.append(asked.count()) or real(asked, points, k))
+    out = N.nearest(asks, points, "id", "v", 5, size=64).toPandas().sort_values(["query", "rank"])
+    assert sum(looks) < 8 * 500, looks  # of about 100 parts
+    got = out.groupby("query").neighbour.agg(list)
+    assert len(got) == 1000
+    for i in range(500):
+        want = np.argsort(np.sqrt(((p - q[i]) ** 2).sum(axis=1)), kind="stable")[:5].tolist()
+        assert got[10_000 + i] == want and got[10_500 + i] == want
+
+
+def test_boxes_take_ties_by_id_and_leave_out_what_is_not_finite(spark):
+    nan = float("nan")
+    p = [(7, [0.0, 1.0]), (7, [0.0, 1.0]), (3, [0.0, -1.0]), (5, [-0.0, 1.0]), (9, [nan, 1.0]), (8, [None, 1.0]), (4, [6.0, 0.0]), (2, [float("inf"), 0.0])]
+    points = spark.createDataFrame(p, "id long, v array<double>")
+    asks = spark.createDataFrame([(1, [0.0, 0.0]), (1, [0.0, 0.0]), (2, [-0.0, 1.0]), (6, [nan, 0.0]), (10, [None, 0.0])], "id long, v array<double>")
+    rows = lambda q, k: [(r.neighbour, r.distance) for r in N.nearest(asks, points, "id", "v", k, size=2).orderBy("query", "rank").collect() if r["query"] == q]
+    assert rows(1, 4) == [(3, 1.0), (3, 1.0), (5, 1.0), (5, 1.0)]  # an id that asks twice finds all twice
+    assert rows(2, 3) == [(5, 0.0), (7, 0.0), (7, 0.0)]
+    assert len(rows(2, 9)) == 5 and rows(6, 4) == rows(10, 4) == []
+
+
+def test_leaves_hold_their_points_and_bound_them():
+    from ledgerlens.operators.boxes import Boxes
+
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(size=(600, 3)), rng.integers(0, 2, (300, 3)), np.ones((200, 3))])
+    boxes = Boxes(x[::2], 20)
+    leaf = boxes.leaf(x)
+    parts = sorted(set(leaf))
+    boxes.fill(pd.DataFrame({"_part": parts, "_rows": [(leaf == n).sum() for n in parts], "_low": [x[leaf == n].min(axis=0) for n in parts], "_high": [x[leaf == n].max(axis=0) for n in parts]}))
+    asks = rng.normal(size=(40, 3)) * 2
+    d = np.sqrt(((asks[:, None] - x[None]) ** 2).sum(axis=2))
+    kth = np.sort(d, axis=1)[:, 4]
+    first, reach = boxes.first(asks, 5)
+    assert len(parts) > 30 and boxes.rows[0] == len(x) and (reach >= kth).all() and set(first) <= set(parts)
+    query, part = boxes.reached(asks, kth)
+    looked = set(zip(query.tolist(), part.tolist()))
+    assert all((i, leaf[j]) in looked for i, j in zip(*np.nonzero(d <= kth[:, None]))) and len(looked) < 0.4 * 40 * len(parts)
+
+
+def test_borrowers_are_stored_before_their_neighbours_are_searched(spark, folder, monkeypatch):
+    from ledgerlens.plans import credit
+    from ledgerlens.plans.catalog import domains
+
+    stored, real = [], domains.cut_lineage
+    monkeypatch.setattr(domains, "cut_lineage", lambda df: stored.append(real(df)) or stored[-1])
+    searched, impute = [], credit.impute
+    monkeypatch.setattr(credit, "impute", lambda df, *a, **k: searched.append(df) or impute(df, *a, **k))
+    QUERIES["credit_imputed"].run(spark, folder)
+    assert searched[0] is stored[0]
