@@ -5,9 +5,11 @@ and cells are cut into parts of about ``size`` points along the distance to thei
 copies, by a hash). Of each part the table keeps the range of distances to its own and to a few reference pivots. By the
 triangle inequality no point of a part can be nearer to a query than its distance to a pivot lies outside of that
 range, nor nearer than the plane between its pivot and the query's. So a query first looks at one part, and then only
-at those whose bound is not beyond its k-th neighbour so far. Each task compares one part of the points with a chunk of
-the queries that ask for it and returns at most k rows per query: a matrix product picks the pairs that may count, and
-only their distances are measured one by one.
+at those whose bound is not beyond its k-th neighbour so far. In the first look each task compares one part of the points
+with a chunk of the queries that ask for it. In the second, parts that are near to each other make a block, and queries
+whose first parts are near a chunk: each task compares one block with one chunk, so that vectors travel once a block or
+chunk, not once a part, and a row says by a bit a part which ones its query asks for. Tasks return at most k rows per query:
+a matrix product picks the pairs that may count, and only their distances are measured one by one.
 
 Points of few components are kept in the leaves of a tree of cuts instead (``boxes``), whose bounds are tighter there. Of
 equal points only the k of smallest id can count, and equal queries have equal neighbours: they are searched once.
@@ -34,6 +36,10 @@ SCHEMA = "query long, neighbour long, distance double"
 PIVOTS, SAMPLE, REFERENCES = 4096, 8192, 8
 #: Quantiles of the distance to the pivot at which a cell is cut, and rows of the part table that a task holds at once.
 RINGS, TABLE_ROWS = 16, 1 << 16
+#: Bytes that the points, and the queries, of a task of the second look fill as doubles; it compares about so many points at once.
+BLOCK_BYTES, TILE = 1 << 26, 2048
+#: Components up to which a product in single precision cannot overflow; above so many candidates a query it is made in doubles.
+PLAIN, CROWDED = 1e15, 64
 #: Allowance for rounding in bounds, relative to the numbers they come from.
 SLACK = 1e-7
 #: Vectors of at most so many components are searched by boxes; their sample has so many points a leaf.
@@ -65,6 +71,7 @@ class PivotTable:
     pivots: np.ndarray
     points: DataFrame
     parts: DataFrame
+    width: int
 
     def tables(self) -> Iterator[Parts]:
         """The part table, in pieces that a task can hold; it has about a row per ``size`` points."""
@@ -105,6 +112,7 @@ def pivot_table(points: DataFrame, size: int, seed: int) -> PivotTable | None:
     n, width = points.agg(F.count(F.lit(1)), F.max(F.size("_v"))).first()
     if not n:
         return None
+    kind = points.schema["_v"].dataType.simpleString()
     wanted = max(1, min(PIVOTS, 4 * -(-n // size)))
     few = points.withColumn("_u", hash_order(["_id"], seed)).orderBy("_u", "_id").limit(SAMPLE).select("_v").collect()
     pivots = _spread_out(np.array([r._v for r in few], np.float64).reshape(-1, width), wanted)
@@ -118,7 +126,7 @@ def pivot_table(points: DataFrame, size: int, seed: int) -> PivotTable | None:
                 far = np.concatenate([d[:, :references], d[np.arange(len(d)), cell][:, None]], axis=1)
                 yield rows.assign(_cell=cell.astype(np.int32), _far=list(far))
 
-    located = cut_lineage(points.select("_id", "_v").mapInPandas(measured, "_id long, _v array<double>, _cell int, _far array<double>"))
+    located = cut_lineage(points.select("_id", "_v").mapInPandas(measured, f"_id long, _v {kind}, _cell int, _far array<double>"))
     own = F.element_at("_far", -1)
     cuts = F.percentile_approx(own, F.array(*[F.lit(i / RINGS) for i in range(1, RINGS)]), F.lit(1000)).alias("_cuts")
     cells = located.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"), cuts)
@@ -135,7 +143,7 @@ def pivot_table(points: DataFrame, size: int, seed: int) -> PivotTable | None:
     parts = split.groupBy("_part", "_cell").agg(
         F.count(F.lit(1)).alias("_rows"), F.array(*ends[: references + 1]).alias("_low"), F.array(*ends[references + 1 :]).alias("_high")
     )
-    return PivotTable(pivots, cut_lineage(split.select("_id", "_v", "_part")), cut_lineage(parts))
+    return PivotTable(pivots, cut_lineage(split.select("_id", "_v", "_part")), cut_lineage(parts), width)
 
 
 def _first_look(table: Parts, k: int):
@@ -156,17 +164,94 @@ def _first_look(table: Parts, k: int):
     return run
 
 
-def _reached(table: Parts):
-    """A row for every part, but that of the first look, which may hold a point within the query's distance."""
+def _near_order(x: np.ndarray) -> np.ndarray:
+    """Ranks that keep near points together: halved again and again along the line between two far ones."""
+    order, todo = [], [np.arange(len(x))]
+    while todo:
+        some = todo.pop()
+        if len(some) < 3:
+            order.extend(some)
+            continue
+        far = x[some[((x[some] - x[some[0]]) ** 2).sum(axis=1).argmax()]]
+        other = x[some[((x[some] - far) ** 2).sum(axis=1).argmax()]]
+        some = some[np.argsort(x[some] @ (other - far), kind="stable")]
+        todo += [some[len(some) // 2 :], some[: len(some) // 2]]
+    return np.argsort(order)
+
+
+class Grid:
+    """Blocks of parts that are near to each other, and chunks of queries by the part of their first look."""
+
+    def __init__(self, tables: list[Parts], homes: pd.DataFrame, width: int, tasks: int):
+        """``homes``: the number of queries (count) by the part of their first look (_home)."""
+        rank = _near_order(tables[0].pivots)
+        points, queries = sum(int(t.rows.sum()) for t in tables), int(homes["count"].sum())
+        most, share = max(1, BLOCK_BYTES // (8 * max(width, 1))), points / max(queries, 1)
+        sides = ((points, share), (queries, 1 / share))
+        # blocks and chunks of bounded size, and enough of them for the tasks with the fewest copied rows
+        per_block, per_chunk = (-(-n // max(1, -(-n // most), min(tasks, round((tasks * of) ** 0.5)))) for n, of in sides)
+        self.order, self.starts, self.names = [], [], []  # of each piece: parts block by block, where blocks start, their numbers
+        for t in tables:
+            order = np.lexsort((t.part, rank[t.cell]))
+            block = (np.cumsum(t.rows[order]) - t.rows[order]) // per_block
+            starts = np.flatnonzero(np.diff(block, prepend=-1))
+            self.order.append(order), self.starts.append(starts), self.names.append(sum(map(len, self.names)) + np.arange(len(starts)))
+        home, n = homes["_home"].to_numpy(np.int64), homes["count"].to_numpy(np.int64)
+        order = np.lexsort((home, rank[home >> 40]))
+        before = np.empty(len(n), np.int64)
+        before[order] = np.cumsum(n[order]) - n[order]
+        order = np.argsort(home)
+        self.home, self.before, self.count, self.per_chunk = home[order], before[order], n[order], max(per_chunk, 1)
+        self.cells = sum(map(len, self.names)) * -(-queries // self.per_chunk)
+
+    def chunk(self, rows: pd.DataFrame) -> np.ndarray:
+        """Queries of one part are cut by ``_u``, a number from 0 to 1."""
+        at = np.searchsorted(self.home, rows["_home"].to_numpy())
+        return ((self.before[at] + rows["_u"].to_numpy() * self.count[at]) // self.per_chunk).astype(np.int32)
+
+
+def _asked(table: Parts, rows: pd.DataFrame) -> np.ndarray:
+    """For every query the parts, but that of the first look, which may hold a point within its distance."""
+    least, _ = table.bounds(np.stack(rows["_v"].to_numpy()).astype(np.float64))
+    return (least <= rows["_r"].to_numpy()[:, None]) & (table.part[None, :] != rows["_home"].to_numpy()[:, None])
+
+
+def _reached(table: Parts, grid: Grid, i: int):
+    """A row for every block of a piece of the table in which a query asks for parts, with a bit for each part of the block."""
+    order, starts, names = grid.order[i], grid.starts[i], grid.names[i]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        step = max(1, 1_000_000 // len(order))
         for rows in frames:
-            for at in range(0, len(rows), 256):
-                some = rows.iloc[at : at + 256].reset_index(drop=True)
-                least, _ = table.bounds(np.stack(some["_v"].to_numpy()).astype(np.float64))
-                asked = (least <= some["_r"].to_numpy()[:, None]) & (table.part[None, :] != some["_home"].to_numpy()[:, None])
-                query, part = np.nonzero(asked)
-                yield some.iloc[query][["_id", "_v", "_self", "_r"]].assign(_part=table.part[part])
+            for at in range(0, len(rows), step):
+                some = rows.iloc[at : at + step]
+                asked = _asked(table, some)[:, order]
+                some = some[["_id", "_v", "_self", "_r"]].assign(_chunk=grid.chunk(some))
+                for a, b, name in zip(starts, [*starts[1:], len(order)], names, strict=True):
+                    query = np.flatnonzero(asked[:, a:b].any(axis=1))
+                    if len(query):
+                        yield some.iloc[query].assign(_block=np.int32(name), _asked=[x.tobytes() for x in np.packbits(asked[query, a:b], axis=1)])
+
+    return run
+
+
+def _wanted(table: Parts, grid: Grid, i: int):
+    """The parts that any query of a chunk asks for, with their block and place in it."""
+    order, starts, names = grid.order[i], grid.starts[i], grid.names[i]
+    sizes = np.diff(starts, append=len(order))
+    block, place = np.repeat(names, sizes), np.arange(len(order)) - np.repeat(starts, sizes)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        step, seen = max(1, 1_000_000 // len(order)), {}
+        for rows in frames:
+            for at in range(0, len(rows), step):
+                some = rows.iloc[at : at + step]
+                asked, chunk = _asked(table, some)[:, order], grid.chunk(some)
+                for c in np.unique(chunk).tolist():
+                    seen[c] = seen.get(c, False) | asked[chunk == c].any(axis=0)
+        for c, parts in seen.items():
+            j = np.flatnonzero(parts)
+            yield pd.DataFrame({"_part": table.part[order[j]], "_chunk": np.int32(c), "_block": block[j].astype(np.int32), "_at": place[j].astype(np.int32)})
 
     return run
 
@@ -202,7 +287,7 @@ def _compare(k: int):
         if queries.empty or points.empty:
             return empty
         points = points.sort_values("_id")
-        q, p = np.stack(queries["_v"].to_numpy()), np.stack(points["_v"].to_numpy())
+        q, p = (np.stack(x["_v"].to_numpy()).astype(np.float64, copy=False) for x in (queries, points))
         ids, asked = points["_id"].to_numpy(), queries["_id"].to_numpy()
         own, limit = queries["_self"].to_numpy(dtype=bool), queries["_r"].to_numpy()
         middle = p.mean(axis=0)
@@ -238,6 +323,87 @@ def _pairwise(asked: DataFrame, points: DataFrame, k: int) -> DataFrame:
     return q.groupBy(*cell).cogroup(p.groupBy(*[f"{c}_p" for c in cell])).applyInPandas(_compare(k), SCHEMA)
 
 
+class Tile:
+    """Some points, about their middle, and the pairs of queries with them that a product can't rule out."""
+
+    def __init__(self, p: np.ndarray):
+        p = p.astype(np.float64)
+        self.middle = p.mean(axis=0)
+        about = p - self.middle
+        far = (about * about).sum(axis=1)
+        self.far, self.plain = far.max(), bool(np.abs(about).max(initial=0.0) < PLAIN)
+        if self.plain:
+            self.sides = np.concatenate([about, far[:, None]], axis=1).astype(np.float32).T
+
+    def pairs(self, q: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """By one product in single precision, with room for its rounding. None: it can't tell, or too many are left."""
+        about = q - self.middle
+        if not (self.plain and np.abs(about).max(initial=0.0) < PLAIN):
+            return None
+        near, most = (about * about).sum(axis=1), limit**2 * (1 + 1e-9)
+        room = (q.shape[1] + 8) * np.finfo(np.float32).eps * (near + 2 * self.far + np.where(most < np.inf, most, 0.0)) + 1e-36
+        sides = np.concatenate([-2 * about, np.ones((len(q), 1))], axis=1).astype(np.float32)
+        with np.errstate(over="ignore"):
+            chosen = sides @ self.sides <= (most - near + 2 * room).astype(np.float32)[:, None]
+        return None if np.count_nonzero(chosen) > CROWDED * len(q) else np.divmod(np.flatnonzero(chosen), chosen.shape[1])
+
+
+def _merge(best: np.ndarray, names: np.ndarray, row: np.ndarray, d: np.ndarray, ids: np.ndarray) -> None:
+    """Take pairs into the lists of their queries: nearest first, ties by id."""
+    some, at = np.unique(row, return_inverse=True)
+    k = best.shape[1]
+    at, d, ids = np.r_[np.repeat(np.arange(len(some)), k), at], np.r_[best[some].ravel(), d], np.r_[names[some].ravel(), ids]
+    order = np.lexsort((ids, d, at))
+    taken = order[np.searchsorted(at[order], np.arange(len(some)))[:, None] + np.arange(k)]
+    best[some], names[some] = d[taken], ids[taken]
+
+
+def _compare_blocks(k: int):
+    """As ``_compare``, of a chunk of queries with the parts of a block; a query with the parts that its bits name."""
+
+    def run(queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"query": [], "neighbour": [], "distance": []}).astype({"query": "int64", "neighbour": "int64"})
+        if queries.empty or points.empty:
+            return empty
+        at = points["_at"].to_numpy()
+        order = np.argsort(at, kind="stable")
+        at, ids, p = at[order], points["_id"].to_numpy()[order], np.stack(points["_v"].to_numpy())[order]
+        starts = np.flatnonzero(np.diff(at, prepend=-1))  # of parts
+        cuts = [*starts[np.flatnonzero(np.diff(starts // TILE, prepend=-1))], len(at)]  # whole parts make a tile
+        tiles = [(a, b, Tile(p[a:b])) for a, b in zip(cuts, cuts[1:])]
+        asked, own, limit = queries["_id"].to_numpy(), queries["_self"].to_numpy(dtype=bool), queries["_r"].to_numpy()
+        out, piece = [], max(1, 4_000_000 // max(p.shape[1], 1))
+        for i in range(0, len(asked), 1024):
+            to = slice(i, i + 1024)
+            q = np.stack(queries["_v"].iloc[to].to_numpy()).astype(np.float64)
+            bits = np.unpackbits(np.frombuffer(b"".join(queries["_asked"].iloc[to]), np.uint8).reshape(len(q), -1), axis=1)
+            own_i, asked_i, within = own[to], asked[to], limit[to].copy()
+            best, names = np.full((len(q), k), np.inf), np.zeros((len(q), k), np.int64)
+            for a, b, tile in tiles:
+                some = np.flatnonzero(bits[:, at[a] : at[b - 1] + 1].any(axis=1))
+                if not len(some):
+                    continue
+                pairs = tile.pairs(q[some], within[some])
+                if pairs is None:
+                    skip = (bits[some][:, at[a:b]] == 0) | (own_i[some, None] & (asked_i[some, None] == ids[None, a:b]))
+                    pairs = _candidates(q[some] - tile.middle, p[a:b] - tile.middle, k, skip, within[some])
+                row, col = some[pairs[0]], a + pairs[1]
+                meant = (bits[row, at[col]] > 0) & ~(own_i[row] & (asked_i[row] == ids[col]))
+                row, col = row[meant], col[meant]
+                d = np.empty(len(row))
+                for j in range(0, len(row), piece):
+                    d[j : j + piece] = np.sqrt(((q[row[j : j + piece]] - p[col[j : j + piece]].astype(np.float64)) ** 2).sum(axis=1))
+                keep = np.isfinite(d) & (d <= within[row])
+                if keep.any():
+                    _merge(best, names, row[keep], d[keep], ids[col[keep]])
+                    within = np.where(best[:, k - 1] < within, best[:, k - 1], within)
+            row, col = np.nonzero(best < np.inf)
+            out.append(pd.DataFrame({"query": asked_i[row], "neighbour": names[row, col], "distance": best[row, col]}))
+        return pd.concat(out)
+
+    return run
+
+
 def _best(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query").orderBy("distance", "neighbour")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -245,13 +411,26 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 
 @dataclass
 class Search:
-    """Queries with their first part, and the parts that they look at after it (a row a query and part)."""
+    """Queries with their first part, and what they look at after it.
+
+    ``more``: a row a query and block, ``wanted``: a row a chunk of queries and part; ``cells`` at most to compare.
+    """
 
     table: PivotTable
     first: DataFrame
     found: DataFrame
     more: DataFrame
     settled: DataFrame
+    wanted: DataFrame
+    cells: int
+
+    def second_look(self, k: int) -> DataFrame:
+        cell = ["_chunk", "_block"]
+        tasks = max(int(self.more.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * self.cells)
+        # fresh names: both sides may come from the same table
+        p = self.table.points.join(self.wanted, "_part").select(*[F.col(c).alias(f"{c}_p") for c in cell], "_at", "_id", "_v")
+        q, p = self.more.repartition(tasks, *cell), p.repartition(tasks, *[f"{c}_p" for c in cell])
+        return q.groupBy(*cell).cogroup(p.groupBy(*[f"{c}_p" for c in cell])).applyInPandas(_compare_blocks(k), SCHEMA)
 
 
 def search(asks: DataFrame, table: PivotTable, k: int, size: int, seed: int) -> Search:
@@ -260,7 +439,8 @@ def search(asks: DataFrame, table: PivotTable, k: int, size: int, seed: int) ->
     Queries at distance 0 of k points are settled: nothing can be nearer, however many points are equal.
     """
     tables = list(table.tables())
-    looks = [asks.mapInPandas(_first_look(t, k), "_id long, _v array<double>, _self boolean, _part long, _promise double, _r double") for t in tables]
+    kind = asks.schema["_v"].dataType.simpleString()
+    looks = [asks.mapInPandas(_first_look(t, k), f"_id long, _v {kind}, _self boolean, _part long, _promise double, _r double") for t in tables]
     first = looks[0]
     if len(looks) > 1:  # the best of all pieces
         every = looks[0]
@@ -273,12 +453,14 @@ def search(asks: DataFrame, table: PivotTable, k: int, size: int, seed: int) ->
     kth = found.groupBy(F.col("query").alias("_id")).agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("_kth"))
     near = lookup(first, kth, ["_id"], {"_kth": None}).withColumn("_r", F.least("_r", "_kth")).withColumnRenamed("_part", "_home").drop("_kth")
     near = near.select("_id", "_v", "_self", "_r", "_home")
-    open_ = near.where(F.col("_r") > 0)
-    more = None
-    for t in tables:
-        reached = open_.mapInPandas(_reached(t), "_id long, _v array<double>, _self boolean, _r double, _part long")
-        more = reached if more is None else more.unionByName(reached)
-    return Search(table, first, found, more, near.where(F.col("_r") == 0).select(F.col("_id").alias("query")))
+    open_ = cut_lineage(near.where(F.col("_r") > 0).withColumn("_u", hash_order(["_id"], seed + 2)))
+    grid = Grid(tables, open_.groupBy("_home").count().toPandas(), table.width, 3 * asks.sparkSession.sparkContext.defaultParallelism)
+    more = wanted = None
+    for i, t in enumerate(tables):
+        reached = open_.mapInPandas(_reached(t, grid, i), f"_id long, _v {kind}, _self boolean, _r double, _chunk int, _block int, _asked binary")
+        parts = open_.mapInPandas(_wanted(t, grid, i), "_part long, _chunk int, _block int, _at int").distinct()
+        more, wanted = (reached, parts) if more is None else (more.unionByName(reached), wanted.unionByName(parts))
+    return Search(table, first, found, more, near.where(F.col("_r") == 0).select(F.col("_id").alias("query")), wanted, grid.cells)
 
 
 def nearest(queries: DataFrame, points: DataFrame, unique_id: str, vector: str, k: int, same: bool = False, size: int = 2048, seed: int = 42) -> DataFrame:
@@ -287,15 +469,18 @@ def nearest(queries: DataFrame, points: DataFrame, unique_id: str, vector: str,
     ``same`` says that queries are themselves points and must not find themselves. Vectors are arrays of doubles
     without nulls, all of one length. Without points there is no row.
     """
-    shape = lambda df: df.select(F.col(unique_id).cast("long").alias("_id"), F.col(vector).cast("array<double>").alias("_v"))
+    kind = "array<double>"
+    shape = lambda df: df.select(F.col(unique_id).cast("long").alias("_id"), F.col(vector).cast(kind).alias("_v"))
     if not same and (points.agg(F.max(F.size(vector))).first()[0] or NARROW + 1) <= NARROW:
         return _nearest_in_boxes(shape(queries), shape(points), k, size, seed)
+    if {df.schema[vector].dataType.simpleString() for df in (queries, points)} == {"array<float>"}:
+        kind = "array<float>"  # half the bytes to move; distances are of doubles all the same
     asks = shape(queries).withColumn("_self", F.lit(same))
     table = pivot_table(shape(points), size, seed)
     if table is None:
         return queries.sparkSession.createDataFrame([], T.StructType.fromDDL(SCHEMA + ", rank int"))
     s = search(asks, table, k, size, seed)
-    more = _pairwise(_chunked(s.more, size, seed + 1), table.points, k)
+    more = s.second_look(k)
     unsettled = s.found.join(s.settled, "query", "left_anti")
     return _best(unsettled.unionByName(more).unionByName(_equal_points(asks, table.points, s.settled, k)), k)
 

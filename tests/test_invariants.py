@@ -462,3 +462,83 @@ def test_borrowers_are_stored_before_their_neighbours_are_searched(spark, folder
     monkeypatch.setattr(credit, "impute", lambda df, *a, **k: searched.append(df) or impute(df, *a, **k))
     QUERIES["credit_imputed"].run(spark, folder)
     assert searched[0] is stored[0]
+
+
+def brute(x, ids, q, asked, k, same):
+    """(query, neighbour, distance) by rank, ties by id."""
+    d = np.sqrt(((q[:, None] - x[None]) ** 2).sum(axis=2))
+    if same:
+        d[asked[:, None] == ids[None, :]] = np.inf
+    return {int(a): [(int(ids[j]), float(d[i, j])) for j in np.lexsort((ids, d[i]))[:k] if np.isfinite(d[i, j])] for i, a in enumerate(asked)}
+
+
+def by_query(out):
+    got = {}
+    for r in sorted(out.collect(), key=lambda r: (r["query"], r["rank"])):
+        got.setdefault(r["query"], []).append((r.neighbour, r.distance))
+    return got
+
+
+def test_vectors_travel_once_a_block_where_all_parts_are_asked_for(spark):
+    x = np.random.default_rng(14).normal(size=(2500, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "_id long, _v array<float>")
+    table = N.pivot_table(df, 32, 42)
+    s = N.search(df.withColumn("_self", F.lit(True)), table, 5, 32, 42)
+    asked = sum(int.from_bytes(r._asked).bit_count() for r in s.more.select("_asked").collect())
+    blocks = s.more.agg(F.count_distinct("_block")).first()[0]
+    assert table.parts.count() > 100 and 5 <= blocks <= 24
+    assert s.more.count() <= 2500 * blocks and table.points.join(s.wanted, "_part").count() <= 2500 * 24
+    assert asked > 10 * s.more.count()  # each row stands for many parts
+    out = N.nearest(df, df, "_id", "_v", 5, same=True, size=32)
+    want = brute(x.astype(np.float64), np.arange(2500), x[::50].astype(np.float64), np.arange(2500)[::50], 5, True)
+    got = by_query(out)
+    assert len(got) == 2500 and all(got[q] == w for q, w in want.items())
+
+
+@pytest.mark.parametrize("crowded, block, plain", [(64, 1 << 26, 1e15), (0, 1 << 26, 1e15), (64, 1 << 13, 1e15), (64, 1 << 26, 0.0)])
+def test_blocks_chunks_and_products_of_either_precision_give_the_same_neighbours(spark, monkeypatch, crowded, block, plain):
+    monkeypatch.setattr(N, "CROWDED", crowded), monkeypatch.setattr(N, "BLOCK_BYTES", block), monkeypatch.setattr(N, "PLAIN", plain), monkeypatch.setattr(N, "TILE", 64)
+    rng = np.random.default_rng(15)
+    x = np.concatenate([rng.integers(0, 2, (300, 20)), rng.normal(size=(300, 20)), rng.normal(size=(100, 20)) * 1e-3 + 1e4]).astype(np.float64)  # ties, no structure, far off
+    ids = rng.permutation(700) * 3
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "id long, v array<double>")
+    assert by_query(N.nearest(df, df, "id", "v", 4, same=True, size=40)) == brute(x, ids, x, ids, 4, True)
+    asks = spark.createDataFrame([(i, (x[i] + 0.25).tolist()) for i in range(0, 700, 20)], "id long, v array<double>")  # few queries, not points
+    assert by_query(N.nearest(asks, df, "id", "v", 4, size=40)) == brute(x, ids, x[::20] + 0.25, np.arange(0, 700, 20), 4, False)
+
+
+def test_a_product_in_single_precision_rules_out_no_neighbour():
+    rng = np.random.default_rng(16)
+    for scale, off in ((1, 0), (1e-25, 0), (1e12, 0), (1, 1e6), (1e160, 0)):
+        p, q = rng.normal(size=(200, 30)) * scale + off, rng.normal(size=(50, 30)) * scale + off
+        with np.errstate(over="ignore"):
+            d = np.sqrt(((q[:, None] - p[None]) ** 2).sum(axis=2))
+            limit = np.sort(d, axis=1)[:, 3]
+            pairs = N.Tile(p).pairs(q, limit)
+        assert pairs is None or set(zip(*np.nonzero(d <= limit[:, None]))) <= set(zip(*pairs))
+        assert scale != 1 or off or len(pairs[0]) < 4 * 50 + 20
+    assert N.Tile(np.full((3, 2), np.nan)).pairs(np.zeros((1, 2)), np.ones(1)) is None
+
+
+def test_queries_of_clusters_ask_for_few_blocks_and_parts(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(30, 64))[np.arange(3000) % 30] * 3 + rng.normal(size=(3000, 64)) * 0.3
+    df = spark.createDataFrame(pd.DataFrame({"_id": np.arange(3000), "_v": x.tolist()}))
+    s = N.search(df.withColumn("_self", F.lit(True)), N.pivot_table(df, 64, 42), 5, 64, 42)
+    bits = sum(int.from_bytes(r._asked).bit_count() for r in s.more.select("_asked").collect())
+    parts, blocks = s.table.parts.count(), s.wanted.agg(F.count_distinct("_block")).first()[0]
+    assert bits + 3000 < 0.2 * parts * 3000 and s.more.count() < 0.6 * blocks * 3000
+    assert s.table.points.join(s.wanted, "_part").count() < 3000 * 4
+
+
+def test_an_id_that_asks_twice_finds_all_twice(spark):
+    x = np.random.default_rng(17).normal(size=(60, 20))
+    rows = [(i, x[i].tolist()) for i in [*range(60), 7, 7, 8]]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    got = by_query(N.nearest(df, df, "id", "v", 6, same=True, size=8))
+    ids = np.array([i for i, _ in rows])
+    for q in (7, 8, 9):
+        n = int((ids == q).sum())
+        d = np.sqrt(((x[q] - x[ids]) ** 2).sum(axis=1))
+        want = sorted((float(a), int(i)) for a, i in zip(d, ids) if i != q)
+        assert got[q] == [(i, a) for a, i in sorted(want * n)][:6]
