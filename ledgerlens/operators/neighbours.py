@@ -584,14 +584,16 @@ def knn_impute(df: DataFrame, unique_id: str, target: str, features: Sequence[st
 
 def _interpolate(base: DataFrame, rows: DataFrame, found: DataFrame, unique_id: str, vector: str, k: int, seed: int) -> DataFrame:
     """``base`` has an id and how many new rows it seeds (``_n``)."""
+    found = cut_lineage(found.select("query", "rank", "neighbour"))  # read twice
     wanted = base.where(F.col("_n") > 0).select(F.col(unique_id).cast("long").alias("query"), F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("copy"))
     near = found.groupBy("query").agg(F.count(F.lit(1)).alias("_near"))
     picked = wanted.join(near, "query").withColumn("rank", (F.pmod(F.xxhash64("query", "copy", F.lit(seed)), F.col("_near")) + 1).cast("int"))
-    pairs = picked.join(found.select("query", "rank", "neighbour"), ["query", "rank"])
-    vec = rows.select(F.col(unique_id).cast("long").alias("_i"), F.col(vector).cast("array<double>").alias("_v"))
+    pairs = picked.join(found, ["query", "rank"])
+    vec = rows.select(F.col(unique_id).cast("long").alias("_i"), F.col(vector).alias("_v"))
     pairs = pairs.join(vec.withColumnsRenamed({"_i": "query", "_v": "_a"}), "query").join(vec.withColumnsRenamed({"_i": "neighbour", "_v": "_b"}), "neighbour")
     u = hash_order(["query", "copy"], seed + 1)
-    mixed = F.zip_with("_a", "_b", lambda a, b: a + (b - a) * F.col("_u"))
+    a, b = (F.col(c).cast("array<double>") for c in ("_a", "_b"))
+    mixed = F.zip_with(a, b, lambda a, b: a + (b - a) * F.col("_u"))
     return pairs.withColumn("_u", u).select(F.col("query").alias("seed_id"), "neighbour", "copy", mixed.alias(vector))
 
 
@@ -613,7 +615,7 @@ def adasyn(df: DataFrame, unique_id: str, label: str, vector: str, ratio: float,
     total = max(0, int(round(ratio * sizes.value("b"))) - sizes.value("a"))
     around = nearest(rare, df.select(unique_id, vector), unique_id, vector, k, same=True)
     sides = df.select(F.col(unique_id).cast("long").alias("neighbour"), (F.col(label) != minority).cast("double").alias("_other"))
-    hard = around.join(sides, "neighbour").groupBy(F.col("query").alias(unique_id)).agg(F.avg("_other").alias("_hard"))
+    hard = cut_lineage(around.join(sides, "neighbour").groupBy(F.col("query").alias(unique_id)).agg(F.avg("_other").alias("_hard")))
     whole = only_row(hard.agg(F.sum("_hard").alias("s"))).value("s") or 1.0
     base = hard.select(unique_id, F.round(F.col("_hard") / whole * total).cast("int").alias("_n"))
     return _interpolate(base, rare, nearest(rare, rare, unique_id, vector, k, same=True), unique_id, vector, k, seed)

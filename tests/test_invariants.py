@@ -542,3 +542,23 @@ def test_an_id_that_asks_twice_finds_all_twice(spark):
         d = np.sqrt(((x[q] - x[ids]) ** 2).sum(axis=1))
         want = sorted((float(a), int(i)) for a, i in zip(d, ids) if i != q)
         assert got[q] == [(i, a) for a, i in sorted(want * n)][:6]
+
+
+def test_adasyn_searches_once_and_seeds_by_the_share_of_majority_neighbours(spark, monkeypatch):
+    stored, real = [], N.cut_lineage
+    monkeypatch.setattr(N, "cut_lineage", lambda df: stored.append(df.columns) or real(df))
+    rng = np.random.default_rng(18)
+    x, ids = rng.normal(size=(400, 20)).astype(np.float32), np.arange(400)
+    rare = ids % 4 == 0
+    df = spark.createDataFrame([(int(i), int(r), v.tolist()) for i, r, v in zip(ids, rare, x)], "id long, y int, v array<float>")
+    made = N.adasyn(df, "id", "y", "v", ratio=1.0, k=3)
+    assert stored.count(["id", "_hard"]) == 1 and stored.count(["query", "rank", "neighbour"]) == 1  # both are read twice
+    x = x.astype(np.float64)
+    around, near = brute(x, ids, x[rare], ids[rare], 3, True), brute(x[rare], ids[rare], x[rare], ids[rare], 3, True)
+    hard = {q: sum(not rare[i] for i, _ in w) / 3 for q, w in around.items()}
+    want = {q: n for q, h in hard.items() if (n := int(np.floor(h / sum(hard.values()) * 200 + 0.5)))}
+    rows = made.collect()
+    assert {q: sum(r.seed_id == q for r in rows) for q in want} == want and len(rows) == sum(want.values())
+    for r in rows:
+        a, b, m = x[r.seed_id], x[r.neighbour], np.array(r.v)
+        assert r.neighbour in [i for i, _ in near[r.seed_id]] and np.isclose(np.linalg.norm(m - a) + np.linalg.norm(b - m), np.linalg.norm(b - a))
