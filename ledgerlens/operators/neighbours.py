@@ -481,6 +481,8 @@ def nearest(queries: DataFrame, points: DataFrame, unique_id: str, vector: str,
         return queries.sparkSession.createDataFrame([], T.StructType.fromDDL(SCHEMA + ", rank int"))
     s = search(asks, table, k, size, seed)
     more = s.second_look(k)
+    if s.settled.isEmpty():  # then points need not be grouped by their vectors
+        return _best(s.found.unionByName(more), k)
     unsettled = s.found.join(s.settled, "query", "left_anti")
     return _best(unsettled.unionByName(more).unionByName(_equal_points(asks, table.points, s.settled, k)), k)
 

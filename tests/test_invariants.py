@@ -562,3 +562,13 @@ def test_adasyn_searches_once_and_seeds_by_the_share_of_majority_neighbours(spar
     for r in rows:
         a, b, m = x[r.seed_id], x[r.neighbour], np.array(r.v)
         assert r.neighbour in [i for i, _ in near[r.seed_id]] and np.isclose(np.linalg.norm(m - a) + np.linalg.norm(b - m), np.linalg.norm(b - a))
+
+
+def test_points_are_grouped_by_their_vectors_only_for_queries_that_have_equal_points(spark, monkeypatch):
+    calls, real = [], N._equal_points
+    monkeypatch.setattr(N, "_equal_points", lambda *a: calls.append(1) or real(*a))
+    x = np.random.default_rng(19).normal(size=(90, 20)).round(3)
+    points = lambda v: spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "id long, v array<double>")
+    assert by_query(N.nearest(points(x), points(x), "id", "v", 2, same=True, size=16)) == brute(x, np.arange(90), x, np.arange(90), 2, True) and not calls
+    x[5:9] = x[4]
+    assert by_query(N.nearest(points(x), points(x), "id", "v", 2, same=True, size=16)) == brute(x, np.arange(90), x, np.arange(90), 2, True) and calls
